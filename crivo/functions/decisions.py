@@ -192,7 +192,7 @@ def denial_reasons(
         F.when(
             ticket > income * 5,
             F.concat(
-                F.lit("Comprometimento de renda: "), fixed(ticket / months / income * 100, 1),
+                F.lit("Comprometimento de renda: "), fixed(F.try_divide(F.try_divide(ticket, months), income) * 100, 1),
                 F.lit("% (limite: 30%)"),
             ),
         ),

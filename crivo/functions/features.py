@@ -14,18 +14,18 @@ PLAIN = "aaaeeiooouAAAEEIOOOU"
 
 
 def installment(ticket: ColumnLike, rate_aa: ColumnLike, months: ColumnLike) -> Column:
-    """Constant monthly installment; straight division when the rate is zero."""
+    """Constant monthly installment; straight division when the rate is zero, NULL without a term."""
     ticket, months = as_col(ticket), as_col(months)
     monthly = as_col(rate_aa) / 12 / 100
     growth = F.pow(1 + monthly, months)
-    return F.when(monthly > 0, ticket * (monthly * growth) / (growth - 1)).otherwise(
-        ticket / months
-    )
+    return F.when(
+        monthly > 0, F.try_divide(ticket * (monthly * growth), growth - 1)
+    ).otherwise(F.try_divide(ticket, months))
 
 
 def income_commitment(payment: ColumnLike, income: ColumnLike) -> Column:
-    """Installment as a percentage of income."""
-    return as_col(payment) / as_col(income) * 100
+    """Installment as a percentage of income; NULL without income."""
+    return F.try_divide(as_col(payment), as_col(income)) * 100
 
 
 def high_commitment(percent: ColumnLike) -> Column:
@@ -70,7 +70,8 @@ def score_high(score: ColumnLike) -> Column:
 
 
 def ticket_income_ratio(ticket: ColumnLike, income: ColumnLike) -> Column:
-    return clip(as_col(ticket) / as_col(income), 0.0, 10.0)
+    ratio = F.try_divide(as_col(ticket), as_col(income))
+    return F.when(ratio.isNotNull(), clip(ratio, 0.0, 10.0))
 
 
 def month_number(month: ColumnLike) -> Column:

@@ -118,7 +118,7 @@ def min_profitable_rate(
         + ticket * K.OPERATING_COST
         + ticket * (margin / 100)
     )
-    return ceil_to(needed / ticket / years * 100, 10)
+    return ceil_to(F.try_divide(F.try_divide(needed, ticket), years) * 100, 10)
 
 
 def profitability(
@@ -133,7 +133,7 @@ def profitability(
     reserve = ticket * p_ * K.PROVISION_FACTOR
     operation = ticket * K.OPERATING_COST
     profit = interest - funding_cost - reserve - operation
-    roi = profit / ticket * 100
+    roi = F.try_divide(profit, ticket) * 100
     minimum = min_profitable_rate(ticket, months, p_, funding)
     return F.struct(
         interest.alias("receita_juros"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from crivo.functions.common import ColumnLike, as_col, fixed
 
 # Span patterns redacted in free text (mail, card, phone), applied in this order.
-TEXT_EMAIL = "([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})"
+# The word boundary keeps a long run of letters from being scanned once per letter.
+TEXT_EMAIL = "\\b([A-Za-z0-9_])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})"
 TEXT_CARD = "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?([0-9]{4})\\b"
 TEXT_PHONE = "\\(([0-9]{2})\\) ?9?[0-9]{4}-([0-9]{4})"
 

@@ -87,12 +87,12 @@ def amount_summary(
     df: DataFrame, label: str = "inadimplente", amount: str = "ticket"
 ) -> DataFrame:
     """Label sum and rate, amount mean, sum, minimum and maximum."""
-    money = F.col(amount).cast(MONEY)
+    money = F.col(amount).try_cast(MONEY)
     total = F.sum(money).cast("double")
     return df.agg(
         F.sum(label).alias("label_sum"),
         F.round(F.avg(label) * 100, 2).alias("label_rate"),
-        F.round(total / F.count(money), 6).alias("amount_mean"),
+        F.round(F.try_divide(total, F.count(money)), 6).alias("amount_mean"),
         total.alias("amount_sum"),
         F.min(amount).alias("amount_min"),
         F.max(amount).alias("amount_max"),
@@ -121,13 +121,13 @@ def portfolio_summary(
     df: DataFrame, score: str = "score", income: str = "renda", ticket: str = "ticket",
     loss: str = "perda_esperada", label: str = "inadimplente",
 ) -> DataFrame:
-    money = F.sum(F.col(ticket).cast(MONEY)).cast("double")
+    money = F.sum(F.col(ticket).try_cast(MONEY)).cast("double")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.avg(label) * 100).alias("default_rate"),
         F.avg(score).alias("score_mean"),
         F.avg(income).alias("income_mean"),
-        (money / F.count(ticket)).alias("ticket_mean"),
+        F.try_divide(money, F.count(ticket)).alias("ticket_mean"),
         money.alias("ticket_total"),
         F.sum(F.col(loss).cast("decimal(20,4)")).cast("double").alias("expected_loss_total"),
     )

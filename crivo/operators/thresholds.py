@@ -55,7 +55,7 @@ def interval_totals(
     label: str = "inadimplente",
 ) -> DataFrame:
     """Counts and money per grid interval, plus one zero row so an empty table still reports."""
-    money, bad, good = F.col(ticket).cast(MONEY), F.col(label) == 1, F.col(label) == 0
+    money, bad, good = F.col(ticket).try_cast(MONEY), F.col(label) == 1, F.col(label) == 0
     totals = df.groupBy(grid_position(_norm(score), grid).alias("position")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(bad).alias("n_bad"),
@@ -113,7 +113,7 @@ def threshold_metrics(
 
     A NULL or NaN score is rejected. An empty table gives zeros and the requested threshold.
     """
-    money, bad, good = F.col(ticket).cast(MONEY), F.col(label) == 1, F.col(label) == 0
+    money, bad, good = F.col(ticket).try_cast(MONEY), F.col(label) == 1, F.col(label) == 0
     passed = F.coalesce(_norm(score) >= F.lit(float(threshold)), F.lit(False))
     sums = df.agg(
         F.count(F.lit(1)).alias("total"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="crivo-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New folder name under the shared checkpoint folder (a temporary one in local sessions)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="crivo-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
