@@ -26,30 +26,32 @@ def get_session(app: str = "crivo", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through ``spark.checkpoint.dir``.
+def _shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder the cluster names, or a temporary one in local sessions that name none.
 
-    The folder the cluster names is used as it is. Only a local session that names none gets a
-    folder of its own; on a cluster a machine-local folder would be lost with its machine, so
-    there the missing setting is an error.
+    A machine-local folder would be lost with its machine, so on a cluster the missing setting is
+    an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="crivo-checkpoint-")
-        context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix=prefix)
+    return folder.rstrip("/")
+
+
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Points checkpoints at the shared folder, unless the session already does."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark, "crivo-checkpoint-"))
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder; survives the loss of executors."""
+    use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder name under the shared checkpoint folder (a temporary one in local sessions)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="crivo-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """New folder name under the shared folder."""
+    return f"{_shared_folder(spark, 'crivo-scratch-')}/{name}-{uuid.uuid4().hex}"

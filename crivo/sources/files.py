@@ -22,6 +22,8 @@ METRIC_SCHEMA = (
     "model_version string, metric_name string, metric_value decimal(10,6), recorded_at timestamp"
 )
 ROWS_PER_FILE = 5_000_000
+# Microseconds survive the text form.
+LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 # --- portfolio --------------------------------------------------------------------------------
@@ -95,6 +97,13 @@ def write_batch_results(results: DataFrame, path: str) -> None:
 
 
 # --- audit log --------------------------------------------------------------------------------
+def log_rows(events: DataFrame) -> DataFrame:
+    """Events as they are logged: time with its zone, and the day that names the partition."""
+    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn(
+        "event_date", F.to_date("timestamp")
+    )
+
+
 def write_audit(events: DataFrame, path: str) -> None:
     """Appends events as JSON lines to the partition of their day (UTC).
 
@@ -102,8 +111,8 @@ def write_audit(events: DataFrame, path: str) -> None:
     rolling to a new file at the row bound.
     """
     (
-        events.withColumn("event_date", F.to_date("timestamp"))
-        .write.mode("append").partitionBy("event_date")
+        log_rows(events).write.mode("append").partitionBy("event_date")
+        .option("timestampFormat", LOG_TIME)
         .option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
     )
 
@@ -115,7 +124,8 @@ def scan_audit(
     """JSON-lines log between two days; malformed lines are dropped, other days are not read."""
     log = (
         spark.read.schema(f"{schema}, event_date date, _bad string")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+        .option("timestampFormat", LOG_TIME).json(path)
     )
     if first_day is not None:
         log = log.filter(F.col("event_date") >= first_day)

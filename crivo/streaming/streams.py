@@ -13,7 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crivo.operators.requests import LIMITS, SECOND, Limits, micros, windowed_request_counts
 from crivo.operators.validation import normalize_aliases, validate_proposals
+from crivo.sources.files import LOG_TIME, log_rows
 
+# Fixed value: recorded requests are kept for an hour, or for the longest window if that is more.
 RETENTION = 3600 * SECOND
 ADMISSION_SCHEMA = (
     "event_id bigint, us bigint, ip string, endpoint string, decision string, remaining int, "
@@ -43,8 +45,8 @@ def audit_sink(
 ) -> StreamingQuery:
     """Appends every event to the JSON partition of its day, exactly once per checkpoint."""
     writer = (
-        events.withColumn("event_date", F.to_date("timestamp"))
-        .writeStream.format("json").partitionBy("event_date").outputMode("append")
+        log_rows(events).writeStream.format("json").option("timestampFormat", LOG_TIME)
+        .partitionBy("event_date").outputMode("append")
     )
     return _start(writer, path, checkpoint, available_now)
 
@@ -81,6 +83,8 @@ def admission_step(limits: Limits) -> Callable:
     are dropped.
     """
 
+    retention = max(RETENTION, limits.longest_window * SECOND)
+
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -108,7 +112,7 @@ def admission_step(limits: Limits) -> Callable:
                 out.append((event_id, us, ip, endpoint, "blocked", None, wait))
                 continue
             most, window, block = limits.match(endpoint)
-            times = [t for t in recorded.get(endpoint, ()) if t > us - RETENTION]
+            times = [t for t in recorded.get(endpoint, ()) if t > us - retention]
             count = sum(t > us - window * SECOND for t in times)
             if count >= most:
                 until = us + block * 60 * SECOND
@@ -117,10 +121,10 @@ def admission_step(limits: Limits) -> Callable:
                 times = [t for t in times if t > us - window * SECOND] + [us]
                 out.append((event_id, us, ip, endpoint, "admitted", max(0, most - count - 1), None))
             recorded[endpoint] = times
-        kept = {e: [t for t in ts if t > seen - RETENTION] for e, ts in recorded.items()}
+        kept = {e: [t for t in ts if t > seen - retention] for e, ts in recorded.items()}
         state.update((json.dumps([until, seen, {e: ts for e, ts in kept.items() if ts}]),))
         if seen >= 0:
-            idle = max(until, seen + RETENTION) // 1000
+            idle = max(until, seen + retention) // 1000
             state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(
             out, columns=["event_id", "us", "ip", "endpoint", "decision", "remaining", "retry_after"]
