@@ -123,15 +123,14 @@ def scan_audit(
 ) -> DataFrame:
     """JSON-lines log between two days; malformed lines are dropped, other days are not read."""
     log = (
-        spark.read.schema(f"{schema}, event_date date, _bad string")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+        spark.read.schema(f"{schema}, event_date date").option("mode", "DROPMALFORMED")
         .option("timestampFormat", LOG_TIME).json(path)
     )
     if first_day is not None:
         log = log.filter(F.col("event_date") >= first_day)
     if last_day is not None:
         log = log.filter(F.col("event_date") <= last_day)
-    return log.filter(F.col("_bad").isNull()).drop("_bad")
+    return log
 
 
 # --- model metrics ----------------------------------------------------------------------------
