@@ -283,7 +283,7 @@ ORACLES = {
          round(count(CASE WHEN d = 'Aprovar' THEN 1 END) / count(*) * 100, 1) AS pct_aprovados,
          round(count(CASE WHEN d = 'Negar' THEN 1 END) / count(*) * 100, 1) AS pct_negados,
          round(avg(p * 100), 1) AS risco_medio,
-         sum(cast(CASE WHEN d = 'Negar' AND p > 0.5 THEN valor * p ELSE 0 END AS decimal(20,4)))::double
+         sum(cast(CASE WHEN d = 'Negar' AND p > 0.5 THEN valor * p ELSE 0 END AS decimal(28,8)))::double
           AS perda_evitada_total FROM r""",
     "check_batch_size": BATCHES + """, known AS (SELECT DISTINCT batch_id FROM batches
           UNION SELECT DISTINCT batch_id + 1000000 FROM batches),

@@ -180,7 +180,7 @@ ORACLES = {
         round(sum(cast(ticket AS decimal(18,2)))::double / count(ticket), 6) AS ticket_mean,
         round(sum(cast(ticket AS decimal(18,2)))::double, 6) AS ticket_total,
         round(sum(cast(ticket * inadimplente * CASE tipo_credito WHEN 'CDC' THEN 0.55 WHEN 'Cartão' THEN 0.70
-         WHEN 'Imobiliário' THEN 0.35 ELSE 0.60 END::double AS decimal(20,4)))::double, 6) AS expected_loss_total
+         WHEN 'Imobiliário' THEN 0.35 ELSE 0.60 END::double AS decimal(28,8)))::double, 6) AS expected_loss_total
         FROM prop""",
     "batch_results": P6 + f""" SELECT cliente_id, 'Cliente ' || cliente_id AS nome, ticket AS valor,
         p AS probabilidade_inadimplencia, score AS score_credito, {_RECOMMEND} AS decisao,
@@ -193,7 +193,7 @@ ORACLES = {
          round(count(CASE WHEN d = 'Aprovar' THEN 1 END) / count(*) * 100, 1) AS pct_aprovados,
          round(count(CASE WHEN d = 'Negar' THEN 1 END) / count(*) * 100, 1) AS pct_negados,
          round(avg(p * 100), 1) AS risco_medio,
-         sum(cast(CASE WHEN p > 0.5 THEN ticket * p ELSE 0 END AS decimal(20,4)))::double AS perda_evitada_total
+         sum(cast(CASE WHEN p > 0.5 THEN ticket * p ELSE 0 END AS decimal(28,8)))::double AS perda_evitada_total
         FROM r""",
     "prediction_log_rollup": P6 + f""" SELECT '1.' || (proposta_id % 4) AS model_version,
         count(*) AS total_predictions,

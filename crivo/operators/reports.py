@@ -129,7 +129,7 @@ def portfolio_summary(
         F.avg(income).alias("income_mean"),
         F.try_divide(money, F.count(ticket)).alias("ticket_mean"),
         money.alias("ticket_total"),
-        F.sum(F.col(loss).cast("decimal(20,4)")).cast("double").alias("expected_loss_total"),
+        F.sum(F.col(loss).cast("decimal(28,8)")).cast("double").alias("expected_loss_total"),
     )
 
 
@@ -145,7 +145,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
         F.round(safe_ratio(approved, n) * 100, 1).alias("pct_aprovados"),
         F.round(safe_ratio(denied, n) * 100, 1).alias("pct_negados"),
         F.round(F.avg(risk), 1).alias("risco_medio"),
-        F.coalesce(F.sum(F.col("perda_evitada").cast("decimal(20,4)")).cast("double"), F.lit(0.0))
+        F.coalesce(F.sum(F.col("perda_evitada").cast("decimal(28,8)")).cast("double"), F.lit(0.0))
         .alias("perda_evitada_total"),
     )
 

@@ -10,7 +10,7 @@ every possible entry state and chained afterwards (see ``block_intervals``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,17 +185,36 @@ def _next_violation(since: np.ndarray, after: np.ndarray) -> np.ndarray:
     return first[np.searchsorted(since[by_since], after, side="right")]
 
 
-def _chunk_steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The chunk as a step function: entry states in [low, high) leave the chunk as ``leaves``.
-
-    Entry states at or above the last ``high`` pass through unchanged.
+def _chunks(
+    batches: Iterator[pd.DataFrame], columns: list[str]
+) -> Iterator[tuple[str, int, list[np.ndarray]]]:
+    """(ip, chunk, columns) of a stream sorted by (ip, chunk); a chunk may span batches."""
+    key, parts = None, []
+    for pdf in batches:
+        ips, chunks = pdf["ip"].to_numpy(), pdf["chunk"].to_numpy()
+        data = [pdf[c].to_numpy() for c in columns]
+        edges = np.flatnonzero((ips[1:] != ips[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(ips)]):
+            if start == end:
+                continue
+            if key != (ips[start], chunks[start]):
+                if parts:
+                    yield *key, [np.concatenate(c) for c in zip(*parts)]
+                key, parts = (ips[start], chunks[start]), []
+            parts.append([c[start:end] for c in data])
+    if parts:
+        yield *key, [np.concatenate(c) for c in zip(*parts)]
+
+
+def _steps_of(since: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk as a step function: entry states in [low, high) leave it as ``leaves``.
+
+    Entry states from the last ``high`` on pass through unchanged.
     """
-    pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-    since, until = pdf["since"].to_numpy(), pdf["until"].to_numpy()
     n = len(since)
-    following = np.append(_next_violation(since, until), n)
+    following = _next_violation(since, until)
     # Jump along the chain in doubling strides until every candidate knows its last one.
-    last = np.where(following[:n] < n, following[:n], np.arange(n))
+    last = np.where(following < n, following, np.arange(n))
     while True:
         further = last[last]
         if np.array_equal(further, last):
@@ -203,14 +222,16 @@ def _chunk_steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         last = further
     highs = np.unique(since)
     lows = np.append(np.int64(NEVER), highs[:-1])
-    first = _next_violation(since, lows)
-    leaves = until[last[first]]
-    keep = np.append(leaves[1:] != leaves[:-1], True)
-    starts = np.append(True, keep[:-1])
-    return pd.DataFrame(
-        {"ip": key[0], "chunk": key[1], "low": lows[starts], "high": highs[keep],
-         "leaves": leaves[keep]}
-    )
+    leaves = until[last[_next_violation(since, lows)]]
+    ends = np.append(leaves[1:] != leaves[:-1], True)
+    starts = np.append(True, ends[:-1])
+    return lows[starts], highs[ends], leaves[ends]
+
+
+def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ip, chunk, (since, until) in _chunks(batches, ["since", "until"]):
+        low, high, leaves = _steps_of(since, until)
+        yield pd.DataFrame({"ip": ip, "chunk": chunk, "low": low, "high": high, "leaves": leaves})
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,17 +251,38 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["ip", "chunk", "entry"])
 
 
-def _chunk_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The blocks a chunk starts, given its entry state."""
-    pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-    since, until = pdf["since"].to_numpy(), pdf["until"].to_numpy()
-    n, found = len(since), []
-    following = _next_violation(since, until)
-    at = _next_violation(since, pdf["entry"].to_numpy()[:1])[0]
-    while at < n:
-        found.append(at)
-        at = following[at]
-    return pdf.iloc[found][["ip", "endpoint", "event_id", "us", "until"]]
+def _chunk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of every chunk; its first row carries the entry state in ``since``."""
+    names = ["since", "until", "us", "event_id", "endpoint"]
+    for ip, _, (since, until, us, event_id, endpoint) in _chunks(batches, names):
+        entry, since, n = since[:1], since[1:], len(since) - 1
+        following = _next_violation(since, until[1:])
+        found, at = [], _next_violation(since, entry)[0]
+        while at < n:
+            found.append(at + 1)
+            at = following[at]
+        if found:
+            yield pd.DataFrame(
+                {"ip": ip, "endpoint": endpoint[found], "event_id": event_id[found],
+                 "us": us[found], "until": until[found]}
+            )
+
+
+def _batched(frames: Callable, rows: int = 10_000) -> Callable:
+    """Joins small output frames, so that a chunk of few rows does not cost a transfer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames(batches):
+            held.append(frame)
+            n += len(frame)
+            if n >= rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    return run
 
 
 def block_intervals(
@@ -251,30 +293,45 @@ def block_intervals(
     Candidates are cut into time chunks per address. Each chunk is solved for all entry states at
     once and reduced to a step function; the entry states follow by carrying one number per
     address through the steps in time order (streamed, never held); each chunk then lists its
-    blocks. Entry states lie at most one block past a chunk's start, so with chunks of many
-    blocks the streamed steps are a small part of the candidates.
+    blocks. Entry states lie at most one block past a chunk's start, so with chunks of several
+    blocks the streamed steps are a small part of the candidates. The unit of work is an address
+    in a chunk: a hot address spreads over as many tasks as it has chunks.
     """
     limits.check()
-    width = (chunk_seconds or max(24 * limits.longest_block, 86_400)) * SECOND
+    width = (chunk_seconds or 8 * limits.longest_block) * SECOND
     reach = limits.longest_block * SECOND
     found = violation_candidates(events, limits).withColumn(
         "chunk", F.floor(F.col("us") / F.lit(width)).cast("bigint")
     )
-    steps = found.groupBy("ip", "chunk").applyInPandas(
-        _chunk_steps, "ip string, chunk bigint, low bigint, high bigint, leaves bigint"
+    order = ("ip", "chunk", "us", "event_id")
+    steps = (
+        found.select(*order, "since", "until")
+        .repartition("ip", "chunk")
+        .sortWithinPartitions(*order)
+        .mapInPandas(
+            _batched(_chunk_steps),
+            "ip string, chunk bigint, low bigint, high bigint, leaves bigint",
+        )
+        # No state reaches further into a chunk than the longest block begun before it.
+        .filter(F.col("low") < F.col("chunk") * width + reach)
     )
-    # No state reaches further into a chunk than the longest block begun before it.
-    steps = steps.filter(F.col("low") < F.col("chunk") * width + reach)
     entries = (
         steps.repartition("ip")
         .sortWithinPartitions("ip", "chunk", "low")
         .mapInPandas(_chain, "ip string, chunk bigint, entry bigint")
     )
+    # The entry state travels as the first row of its chunk, which spares a join.
+    first = entries.select(
+        "ip", F.lit("").alias("endpoint"), F.lit(NEVER).cast("bigint").alias("us"),
+        F.lit(NEVER).cast("bigint").alias("event_id"), F.col("entry").alias("since"),
+        F.lit(NEVER).cast("bigint").alias("until"), "chunk",
+    )
     return (
-        found.join(entries, ["ip", "chunk"])
-        .groupBy("ip", "chunk")
-        .applyInPandas(
-            _chunk_blocks,
+        found.unionByName(first)
+        .repartition("ip", "chunk")
+        .sortWithinPartitions(*order)
+        .mapInPandas(
+            _batched(_chunk_blocks),
             "ip string, endpoint string, event_id bigint, us bigint, until bigint",
         )
     )
