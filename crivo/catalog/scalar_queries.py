@@ -295,9 +295,7 @@ _PRICED = f"""{_RATES}, base_rate AS (SELECT prop.*, code, display, name, lo::do
 def suggested_rate(spark, folder):
     rows = proposals(spark, folder)
     chance = F.when(F.col("proposta_id") % 5 == 0, F.lit(0.0)).otherwise(F.col("p"))
-    rows = rows.withColumn(
-        "s", P.suggested_rate("tipo_credito", "ticket", "score", "prazo_meses", "renda", chance)
-    )
+    rows = P.with_suggested_rate(rows, p=chance, out="s")
     return rows.select(
         "proposta_id", "s.taxa_sugerida", "s.taxa_minima", "s.taxa_maxima",
         "s.taxa_minima_rentavel", F.round("s.probabilidade", 6).alias("probabilidade"),
@@ -326,9 +324,7 @@ def check_rate(spark, folder):
 
 
 def rate_explanation(spark, folder):
-    rows = proposals(spark, folder).withColumn(
-        "s", P.suggested_rate("tipo_credito", "ticket", "score", "prazo_meses", "renda", "p")
-    )
+    rows = P.with_suggested_rate(proposals(spark, folder), p="p", out="s")
     text = P.rate_explanation("tipo_credito", "ticket", "score", "prazo_meses", F.col("s"))
     return rows.select("proposta_id", text.alias("texto"))
 

@@ -56,15 +56,21 @@ def _rate(key: Column, field: int) -> Column:
     return lookup(key, {code: row[field] for code, row in K.PRODUCT_RATES.items()})
 
 
+def rates_of(key: Column) -> tuple[Column, Column, Column, Column]:
+    """Minimum, mean, maximum and bank rate of a pricing key; defaults for unknown products."""
+    return (
+        F.coalesce(_rate(key, 2), F.lit(K.DEFAULT_MIN_RATE)),
+        F.coalesce(_rate(key, 3), F.lit(K.DEFAULT_MEAN_RATE)),
+        _rate(key, 4),
+        F.coalesce(_rate(key, 5), F.lit(K.DEFAULT_MEAN_RATE)),
+    )
+
+
 def product_rates(product: ColumnLike, literal: bool = False) -> Column:
     """Struct of minimum, mean, maximum and bank rate; defaults for unknown products."""
-    key = pricing_key(product, literal)
-    return F.struct(
-        F.coalesce(_rate(key, 2), F.lit(K.DEFAULT_MIN_RATE)).alias("taxa_minima"),
-        F.coalesce(_rate(key, 3), F.lit(K.DEFAULT_MEAN_RATE)).alias("taxa_media"),
-        _rate(key, 4).alias("taxa_maxima"),
-        F.coalesce(_rate(key, 5), F.lit(K.DEFAULT_MEAN_RATE)).alias("taxa_banco"),
-    )
+    names = ("taxa_minima", "taxa_media", "taxa_maxima", "taxa_banco")
+    rates = rates_of(pricing_key(product, literal))
+    return F.struct(*(rate.alias(name) for rate, name in zip(rates, names)))
 
 
 def with_product_rates(
@@ -147,38 +153,53 @@ def profitability(
     )
 
 
-def suggested_rate(
-    product: ColumnLike, ticket: ColumnLike, score: ColumnLike, months: ColumnLike,
-    income: ColumnLike, p: ColumnLike | None = None, literal: bool = False,
-) -> Column:
-    """Struct with the suggested rate, its limits and the factors it was built from."""
-    rates = product_rates(product, literal)
-    bank, lowest = rates["taxa_banco"], rates["taxa_minima"]
-    highest = rates["taxa_media"] * 2.0
-    by_score = score_rate_factor(score)
-    by_value = value_rate_factor(ticket, product, literal)
-    by_term = term_rate_factor(months, product, literal)
-    by_commitment = commitment_rate_factor(
-        income_commitment(installment(ticket, bank, months), income)
-    )
+SUGGESTION_FIELDS = (
+    "taxa_sugerida", "taxa_minima", "taxa_maxima", "taxa_minima_rentavel", "probabilidade",
+    "taxa_banco", "fator_score", "fator_valor", "fator_prazo", "fator_comprometimento",
+)
+
+
+def with_suggested_rate(
+    df: DataFrame, product: str = "tipo_credito", ticket: str = "ticket", score: str = "score",
+    months: str = "prazo_meses", income: str = "renda", p: ColumnLike | None = None,
+    literal: bool = False, out: str = "sugestao",
+) -> DataFrame:
+    """Adds a struct with the suggested rate, its limits and the factors it was built from.
+
+    A missing or zero probability is estimated from the score. Shared terms (the product's rates,
+    the installment, the profitable floor) are columns of their own projection, so each is
+    computed once per row.
+    """
     given = F.lit(None).cast("double") if p is None else as_col(p)
     chance = F.coalesce(F.nullif(given, F.lit(0.0)), pd_from_score(score))
-    floor_rate = min_profitable_rate(ticket, months, chance)
-    raw = F.greatest(bank * by_score * by_value * by_term * by_commitment, floor_rate)
-    clamped = F.greatest(lowest, F.least(raw, highest))
-    rate = F.greatest(half_up_to(clamped, 2), ceil_to(floor_rate, 2))
-    return F.struct(
-        rate.alias("taxa_sugerida"),
-        lowest.alias("taxa_minima"),
-        highest.alias("taxa_maxima"),
-        floor_rate.alias("taxa_minima_rentavel"),
-        chance.alias("probabilidade"),
-        bank.alias("taxa_banco"),
-        by_score.alias("fator_score"),
-        by_value.alias("fator_valor"),
-        by_term.alias("fator_prazo"),
-        by_commitment.alias("fator_comprometimento"),
+    rows = df.withColumns({"_key": pricing_key(product, literal), "_chance": chance})
+    rates = rates_of(F.col("_key"))
+    rows = rows.withColumns(
+        {
+            "_lowest": rates[0], "_highest": rates[1] * 2.0, "_bank": rates[3],
+            "_value": _by_product(F.col("_key"), F.col(ticket), VALUE_FACTORS),
+            "_term": _by_product(F.col("_key"), F.col(months), TERM_FACTORS),
+            "_score": score_rate_factor(score),
+            "_floor": min_profitable_rate(ticket, months, "_chance"),
+        }
+    )
+    rows = rows.withColumn(
+        "_percent", income_commitment(installment(ticket, "_bank", months), income)
     )
+    rows = rows.withColumn("_commitment", commitment_rate_factor("_percent"))
+    bank, lowest, highest = F.col("_bank"), F.col("_lowest"), F.col("_highest")
+    floor_rate = F.col("_floor")
+    factors = [F.col(c) for c in ("_score", "_value", "_term", "_commitment")]
+    raw = bank
+    for factor in factors:
+        raw = raw * factor
+    clamped = F.greatest(lowest, F.least(F.greatest(raw, floor_rate), highest))
+    rate = F.greatest(half_up_to(clamped, 2), ceil_to(floor_rate, 2))
+    values = (rate, lowest, highest, floor_rate, F.col("_chance"), bank, *factors)
+    return rows.withColumn(
+        out, F.struct(*(v.alias(n) for v, n in zip(values, SUGGESTION_FIELDS)))
+    ).drop("_key", "_lowest", "_highest", "_bank", "_chance", "_percent", "_floor", "_value",
+           "_term", "_score", "_commitment")
 
 
 def rate_range(product: ColumnLike, score: ColumnLike, literal: bool = False) -> Column:
@@ -194,7 +215,7 @@ def rate_range(product: ColumnLike, score: ColumnLike, literal: bool = False) ->
 def plain_number(x: Column) -> Column:
     """Shortest decimal text: no trailing zeros, no trailing point."""
     text = x.cast("decimal(20,4)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def check_rate(product: ColumnLike, rate: ColumnLike, literal: bool = False) -> Column:
@@ -231,21 +252,15 @@ def check_rate(product: ColumnLike, rate: ColumnLike, literal: bool = False) ->
 
 def grouped_number(x: Column) -> Column:
     """Number with '.' between thousands, ',' before at most three decimals."""
-    rounded = F.round(x, 3)
-    text = rounded.cast("decimal(30,3)").cast("string")
-    whole, cents = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(
-        text, F.lit("."), F.lit(2)
-    )
-    grouped = F.regexp_replace(whole, "(?<=[0-9])(?=(?:[0-9]{3})+$)", ".")
-    cents = F.regexp_replace(cents, "0+$", "")
-    return F.when(cents == "", grouped).otherwise(F.concat(grouped, F.lit(","), cents))
+    text = F.translate(F.format_number(F.round(x, 3), 3), ",.", ".,")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(","))
 
 
 def rate_explanation(
     product: ColumnLike, ticket: ColumnLike, score: ColumnLike, months: ColumnLike,
     suggestion: Column, source_label: str = "BACEN",
 ) -> Column:
-    """Multi-line text that lists what moved the suggested rate (a ``suggested_rate`` struct)."""
+    """Multi-line text that lists what moved the suggested rate (a ``with_suggested_rate`` struct)."""
     ticket, score, months = as_col(ticket), as_col(score), as_col(months)
     s = suggestion
 

@@ -65,7 +65,8 @@ def fit_label_encoder(
     ``fold`` strips accents before fitting. Up to ``window_values`` distinct values are ranked by
     a window per column; more of them are ranked by range partitions.
     """
-    values = _distinct_values(df, columns, fold)
+    # The distinct values are stored once: both the size check and the ranking read them.
+    values = reliable_checkpoint(_distinct_values(df, columns, fold))
     if values.limit(window_values + 1).count() <= window_values:
         ordered = Window.partitionBy("column").orderBy("value")
         return values.withColumn("code", F.row_number().over(ordered) - 1)

@@ -54,9 +54,16 @@ def interval_totals(
     df: DataFrame, grid: Sequence[float], score: str = "score", ticket: str = "ticket",
     label: str = "inadimplente",
 ) -> DataFrame:
-    """Counts and money per grid interval, plus one zero row so an empty table still reports."""
-    money, bad, good = F.col(ticket).try_cast(MONEY), F.col(label) == 1, F.col(label) == 0
-    totals = df.groupBy(grid_position(_norm(score), grid).alias("position")).agg(
+    """Counts and money per grid interval, plus one zero row so an empty table still reports.
+
+    The normalised score is a column of its own, so the bisection compares a value, not a formula.
+    """
+    rows = df.select(
+        _norm(score).alias("norm"), F.col(ticket).try_cast(MONEY).alias("money"),
+        F.col(label).alias("label"),
+    )
+    money, bad, good = F.col("money"), F.col("label") == 1, F.col("label") == 0
+    totals = rows.groupBy(grid_position(F.col("norm"), grid).alias("position")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(bad).alias("n_bad"),
         F.count_if(good).alias("n_good"),
@@ -222,8 +229,9 @@ def roc_curve(
 
     A missing score is rejected at no threshold but stays in the denominators.
     """
-    bad, good = F.col(label) == 1, F.col(label) == 0
-    totals = df.groupBy(grid_position(_norm(score), grid).alias("position")).agg(
+    bad, good = F.col("label") == 1, F.col("label") == 0
+    rows = df.select(_norm(score).alias("norm"), F.col(label).alias("label"))
+    totals = rows.groupBy(grid_position(F.col("norm"), grid).alias("position")).agg(
         F.count_if(bad).alias("n_bad"), F.count_if(good).alias("n_good")
     )
     zero = F.lit(0).cast("bigint")

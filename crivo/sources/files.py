@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crivo import constants as K
 from crivo.functions.common import fixed
-from crivo.operators.audit import AUDIT_SCHEMA
+from crivo.operators.audit import AUDIT_SCHEMA, retain_audit
 
 # Header of the result file and the columns behind it.
 RESULT_HEADER = (
@@ -107,11 +107,12 @@ def log_rows(events: DataFrame) -> DataFrame:
 def write_audit(events: DataFrame, path: str) -> None:
     """Appends events as JSON lines to the partition of their day (UTC).
 
-    Rows stay in their tasks; a day that holds most of the log is written by many of them, each
-    rolling to a new file at the row bound.
+    The rebalance hint gathers a day's rows, so a day is a few files instead of one per task, and
+    lets the adaptive planner split a day that holds most of the log.
     """
     (
-        log_rows(events).write.mode("append").partitionBy("event_date")
+        log_rows(events).hint("rebalance", "event_date")
+        .write.mode("append").partitionBy("event_date")
         .option("timestampFormat", LOG_TIME)
         .option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
     )
@@ -133,6 +134,16 @@ def scan_audit(
     return log
 
 
+def write_retained(events: DataFrame, path: str, asof: Column | None = None, days: int = 90) -> None:
+    """The surviving days of a log, written to a new location; the old one is left as it is."""
+    kept = retain_audit(events, asof, days)
+    (
+        kept.hint("rebalance", "event_date").write.mode("errorifexists").partitionBy("event_date")
+        .option("timestampFormat", LOG_TIME)
+        .option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
+    )
+
+
 # --- model metrics ----------------------------------------------------------------------------
 def seed_metrics(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(

@@ -99,7 +99,7 @@ def test_suggested_rate_never_below_the_profitable_one(spark):
         for income, p in ((2000.0, 0.0), (20000.0, 0.4))
     ]
     df = spark.createDataFrame(rows, "k string, v double, s int, n int, r double, p double")
-    out = df.select(P.suggested_rate("k", "v", "s", "n", "r", "p").alias("x")).select("x.*").collect()
+    out = P.with_suggested_rate(df, "k", "v", "s", "n", "r", "p").select("sugestao.*").collect()
     assert all(r.taxa_sugerida >= r.taxa_minima_rentavel for r in out)
     assert all(r.taxa_sugerida * 2 == int(r.taxa_sugerida * 2) for r in out)
 

@@ -169,6 +169,18 @@ def test_retention(spark):
     assert sorted(r.event_date for r in kept.collect()) == ["2024-01-20", "notes"]
 
 
+def test_retained_days_go_to_a_new_place(spark):
+    log, kept = scratch_path(spark, "log"), scratch_path(spark, "kept")
+    rows = spark.range(40).select(
+        F.expr("timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, cast(id AS int))").alias("timestamp"),
+        F.lit("logout").alias("event_type"),
+    )
+    files.write_audit(rows, log)
+    files.write_retained(files.scan_audit(spark, log), kept, days=10)
+    assert files.scan_audit(spark, kept).count() == 10
+    assert files.scan_audit(spark, log).count() == 40
+
+
 def test_empty_audit_log(spark):
     rows = spark.createDataFrame([], A.AUDIT_SCHEMA + ", event_date date")
     got = {r.metric: r.value for r in A.audit_summary(rows, F.current_timestamp()).collect()}
