@@ -297,8 +297,11 @@ ORACLES = {
          23 AS n_columns, round(avg(inadimplente) * 100, 2) AS label_rate FROM prop
         UNION ALL SELECT 1, '', count(*), 24, round(avg(inadimplente) * 100, 2) FROM prop""",
     "resolve_columns": PROP + " SELECT proposta_id, inadimplente, ticket FROM prop",
-    "check_feature_contract": """SELECT * FROM (VALUES ('features_present', true, ''), ('feature_count', true, '21'),
-        ('encoders_present', false, 'tipo_credito'), ('encoder_count', false, '7')) t("check", ok, detail)""",
+    "check_feature_contract": PROP + """, n AS (SELECT cast(count(*) AS varchar) AS n, count(*) > 0 AS filled FROM prop)
+        SELECT * FROM (VALUES ('features_present', true, ''), ('feature_count', true, '21'),
+         ('encoders_present', false, 'tipo_credito'), ('encoder_count', false, '7'),
+         ('rows_complete', true, '0')) t("check", ok, detail)
+        UNION ALL SELECT 'rows_present', filled, n FROM n""",
     "coerce_csv": UPLOADS + " SELECT cliente_id, "
     + ", ".join(_number_sql(c, kind, default) for c, (kind, default) in K.CSV_NUMBERS.items())
     + ", " + ", ".join(

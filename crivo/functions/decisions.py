@@ -283,13 +283,22 @@ def score_response(
     )
 
 
+def client_or(client: ColumnLike, prefix: str, columns: list[str]) -> Column:
+    """The client id, or a stand-in made from the row's content when it is missing."""
+    number = F.pmod(F.xxhash64(*columns), F.lit(100_000)).cast("string")
+    return F.coalesce(
+        F.nullif(as_col(client), F.lit("")), F.concat(F.lit(prefix), number)
+    )
+
+
 def batch_result(df: DataFrame, p: str = "p") -> DataFrame:
     """Nine-column row of the batch page, from a proposal with a probability."""
     prob, decision = F.col(p), recommendation(p)
     name = F.col("nome") if "nome" in df.columns else F.lit(None).cast("string")
+    client = client_or("cliente_id", "CLI-", ["score", "ticket", "renda", "prazo_meses"])
     return df.select(
-        "cliente_id",
-        F.coalesce(name, F.concat(F.lit("Cliente "), F.col("cliente_id"))).alias("nome"),
+        client.alias("cliente_id"),
+        F.coalesce(name, F.concat(F.lit("Cliente "), client)).alias("nome"),
         F.col("ticket").alias("valor"),
         prob.alias("probabilidade_inadimplencia"),
         F.col("score").alias("score_credito"),

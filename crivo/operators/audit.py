@@ -174,13 +174,14 @@ def audit_from_activity(df: DataFrame) -> DataFrame:
 def recent_events(
     df: DataFrame, limit: int = 100, event_type: str | None = None, severity: str | None = None
 ) -> DataFrame:
-    """Newest day first; inside a day in log order (time, then id), up to ``limit`` rows."""
+    """Newest day first; inside a day in log order (time, then id if there is one), up to ``limit`` rows."""
     out = df
     if event_type:
         out = out.filter(F.col("event_type") == event_type)
     if severity:
         out = out.filter(F.col("severity") == severity)
-    return out.orderBy(F.desc("event_date"), "timestamp", "event_id").limit(limit)
+    ids = [c for c in ("event_id",) if c in df.columns]
+    return out.orderBy(F.desc("event_date"), "timestamp", *ids).limit(limit)
 
 
 def filter_events(

@@ -13,7 +13,7 @@ from crivo.functions.features import default_code, strip_accents, with_features
 from crivo.session import reliable_checkpoint
 
 WINDOW_VALUES = 1_000_000
-LITERAL_VALUES = 1_000
+LITERAL_VALUES = 256
 
 
 def _distinct_values(df: DataFrame, columns: Sequence[str], fold: bool) -> DataFrame:

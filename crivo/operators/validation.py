@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crivo import constants as K
+from crivo.functions.decisions import client_or
 from crivo.functions.ingest import number_or
 
 
@@ -127,16 +128,35 @@ def check_feature_contract(
     df: DataFrame, expected: Sequence[str], encoders: Sequence[str] = (),
     expected_encoders: Sequence[str] = K.ENCODED_COLUMNS,
 ) -> DataFrame:
-    """Report rows (check, ok, detail) comparing a model's contract with a feature table."""
+    """Report rows (check, ok, detail) comparing a model's contract with a feature table.
+
+    The names are compared on the schema; the rows are scanned once for missing inputs.
+    """
     missing = [c for c in expected if c not in df.columns]
     absent = [c for c in expected_encoders if c not in encoders]
-    rows = [
-        ("features_present", not missing, ",".join(missing)),
-        ("feature_count", len(expected) == len(K.FEATURE_ORDER), str(len(expected))),
-        ("encoders_present", not absent, ",".join(absent)),
-        ("encoder_count", len(encoders) == len(expected_encoders), str(len(encoders))),
-    ]
-    return df.sparkSession.createDataFrame(rows, "check string, ok boolean, detail string")
+
+    def row(check: str, ok: Column | bool, detail: Column | str) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), F.lit(ok).alias("ok"), F.lit(detail).alias("detail")
+        )
+
+    known = [F.col(c).isNull() for c in expected if c in df.columns]
+    gap = F.lit(False)
+    for part in known:
+        gap = gap | part
+    scanned = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"))
+    return scanned.select(
+        F.inline(
+            F.array(
+                row("features_present", not missing, ",".join(missing)),
+                row("feature_count", len(expected) == len(K.FEATURE_ORDER), str(len(expected))),
+                row("encoders_present", not absent, ",".join(absent)),
+                row("encoder_count", len(encoders) == len(expected_encoders), str(len(encoders))),
+                row("rows_present", F.col("n") > 0, F.col("n").cast("string")),
+                row("rows_complete", F.col("gaps") == 0, F.col("gaps").cast("string")),
+            )
+        )
+    )
 
 
 def error_rows(quarantine: DataFrame) -> DataFrame:
@@ -144,7 +164,9 @@ def error_rows(quarantine: DataFrame) -> DataFrame:
     columns = set(quarantine.columns)
     name = F.col("nome") if "nome" in columns else F.lit(None).cast("string")
     return quarantine.select(
-        "cliente_id",
+        client_or(
+            "cliente_id", "CLI-ERROR-", [c for c in ("score", "ticket", "renda") if c in columns]
+        ).alias("cliente_id"),
         F.coalesce(name, F.lit("Erro")).alias("nome"),
         F.coalesce(number_or(F.col("ticket").cast("string"), "float", 0.0), F.lit(0.0)).alias(
             "valor"

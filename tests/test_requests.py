@@ -145,3 +145,17 @@ def test_admission_stream_in_many_batches(spark):
     ).trigger(availableNow=True).start(out).awaitTermination()
     got = {r.event_id: (r.decision, r.remaining) for r in spark.read.parquet(out).collect()}
     assert got == simulate(events, SMALL)
+
+
+def test_idle_state_is_dropped(spark):
+    """An address that stays away longer than its block and the retention leaves no state."""
+    source, late = scratch_path(spark, "in"), 6 * 3600 * Q.SECOND
+    for event_id, us, ip in ((0, BASE, "a"), (1, BASE + late, "b"), (2, BASE + late + 1, "b")):
+        table(spark, [(event_id, us, ip, "/x")]).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    query = streams.admission_stream(stream, SMALL).writeStream.format("noop").option(
+        "checkpointLocation", scratch_path(spark, "cp")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(sizes) == 2 and sizes[-1] == 1
