@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crivo import constants as K
 from crivo.catalog.dirty import drafts
 from crivo.catalog.fixture_sql import PROP
-from crivo.catalog.intake_queries import _CHECKED
+from crivo.catalog.intake_queries import _CHECKED, _hash_sql
 from crivo.functions import features as X
 from crivo.operators import encoding as E
 from crivo.operators import reports as R
@@ -169,19 +169,101 @@ def make_flat(spark, folder):
     return G.make_flat(_ids(spark, folder))
 
 
-def make_portfolio_checked(spark, folder):
-    """Counts of a generated table that its rules fix whatever the draws are."""
-    rows = G.make_portfolio(_ids(spark, folder))
-    inside = (
-        F.col("score").between(300, 949) & F.col("idade").between(18, 69)
-        & F.col("qtd_produtos").between(1, 5) & F.col("tempo_cliente_meses").between(1, 119)
-        & F.col("taxa_juros_aa").between(8.0, 20.0) & F.col("inadimplente").isin(0, 1)
+def _rules(rows, name, *rules):
+    """How many rows a generator made and how many keep all of its rules."""
+    kept = F.lit(True)
+    for rule in rules:
+        kept = kept & rule
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(kept).alias("n_kept")).select(
+        F.lit(name).alias("tabela"), "n_rows", "n_kept"
     )
+
+
+def _outcome_rules():
+    late, days = F.col("inadimplente") == 1, F.col("dias_atraso")
+    stage = F.when(late, "Stage 3").when(F.col("score") < 600, "Stage 2").otherwise("Stage 1")
+    return (
+        F.col("score").between(300, 950), F.col("idade").between(18, 80),
+        F.col("qtd_produtos_ativos").between(1, 10), F.col("ticket").between(1000, 500000),
+        F.col("lgd").between(0.2, 0.9), F.when(late, days.between(91, 359)).otherwise(days == 0),
+        F.col("perda_esperada") == F.when(late, F.col("ticket") * F.col("lgd")).otherwise(0),
+        F.col("provisao_stage") == stage,
+    )
+
+
+def generated_rules(spark, folder):
+    """Rules the generated tables keep whatever the draws are."""
+    ids = _ids(spark, folder)
+    product, term = F.col("tipo_produto"), F.col("prazo")
+
+    def per_product(table_, rule):
+        return G._by(product, {p: rule(values) for p, values in table_.items()})
+
+    portfolio = _rules(
+        G.make_portfolio(ids), "portfolio", F.col("score").between(300, 949),
+        F.col("idade").between(18, 69), F.col("qtd_produtos").between(1, 5),
+        F.col("tempo_cliente_meses").between(1, 119), F.col("taxa_juros_aa").between(8.0, 20.0),
+        F.col("renda").isin(*G.INCOMES), F.col("ticket").isin(*G.TICKETS),
+        F.col("prazo_meses").isin(*G.TERMS), F.col("inadimplente").isin(0, 1),
+        F.col("qtd_atrasos_12m") <= F.when(F.col("score") < 500, 5).when(
+            F.col("score") < 700, 2).otherwise(1),
+    )
+    large = _rules(
+        G.make_portfolio_large(ids), "large", F.col("score_credito").between(300, 950),
+        F.col("renda_mensal").between(1200, 35000), F.col("idade").between(18, 75),
+        F.col("tempo_relacionamento").between(1, 200), F.col("qtd_produtos_ativos").between(1, 5),
+        per_product(G.PRODUCT_VALUE_RANGES, lambda v: F.col("valor").between(v[0], v[1] - 1)),
+        per_product(G.PRODUCT_TERMS, lambda v: term.isin(*v)),
+        F.col("taxa").between(0.0149, 0.3501),
+        (F.col("regiao") == G.MISSING) == (F.col("canal_aquisicao") == G.MISSING),
+        F.col("mes_referencia").isin(*G.MONTHS),
+    )
+    minimal = _rules(
+        G.make_minimal(ids), "minimal",
+        F.coalesce(F.col("score").between(300, 950), F.lit(True)),
+        F.col("renda").between(800, 600000), F.col("ticket").between(1000, 500000),
+    )
+    demo = _rules(
+        enrich_portfolio(spark, folder), "demo", *_outcome_rules(),
+        per_product(G.TERM_RANGE_BY_PRODUCT, lambda v: term.between(v[0], v[1] - 1)),
+    )
+    windows = _rules(
+        enrich_portfolio_windows(spark, folder), "windows", *_outcome_rules(),
+        per_product(G.TERM_BY_PRODUCT, lambda v: term.between(max(v - 6, 1), v + 6)),
+    )
+    flat = _rules(
+        G.make_flat(ids), "flat", *_outcome_rules(),
+        per_product(G.TERM_BY_PRODUCT, lambda v: term == v),
+        per_product(G.RATE_BY_PRODUCT, lambda v: F.col("taxa") == v),
+    )
+    return S.union_slices([portfolio, large, minimal, demo, windows, flat])
+
+
+def held_out_counts(spark, folder):
+    """Held-out rows and defaults the evaluation has seen."""
+    return _trained(spark, folder)[1].select(
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
+        (F.col("fn") + F.col("tp")).alias("n_bad"),
+        F.col("auc").between(0.5, 1.0).cast("int").alias("auc_ok"),
+    )
+
+
+def scored_responses(spark, folder):
+    """Responses of valid rows, counted by whether they agree with their probability."""
+    model, _ = _trained(spark, folder)
+    rows = M.score_batch(model, drafts(spark, folder))
+    p = F.col("probability")
+    agrees = (
+        p.between(0, 1)
+        & (F.abs(F.col("risk_score") - p * 100) <= 0.0101)
+        & F.col("recommendation").isin("Aprovar", "Revisar", "Negar")
+        & F.col("confidence").between(0.6, 1.0)
+        & F.col("prediction").isin(0, 1)
+    )
+    empty = p.isNull() & F.col("recommendation").isNull() & F.col("prediction").isNull()
     return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_inside"),
-        F.count_if(F.col("renda").isin(*G.INCOMES) & F.col("ticket").isin(*G.TICKETS)).alias(
-            "n_listed"
-        ),
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("ok") & agrees).alias("n_valid"),
+        F.count_if(~F.col("ok") & empty).alias("n_invalid"),
     )
 
 
@@ -192,7 +274,7 @@ QUERIES = {
         train_forest, tune, evaluate_model, score_batch, score_batch_counters, expected_vs_actual,
         extreme_profiles, save_model_run, append_model_metrics, make_portfolio,
         make_portfolio_large, make_minimal, enrich_portfolio, enrich_portfolio_windows, make_flat,
-        make_portfolio_checked,
+        generated_rules, held_out_counts, scored_responses,
     )
 }
 
@@ -207,6 +289,12 @@ ORACLES = {
         cast(avg(inadimplente) AS decimal(10,6)) AS metric_value FROM prop GROUP BY tipo_credito
         UNION ALL SELECT * FROM (VALUES """
     + ", ".join(f"('{v}', '{n}', {x}::decimal(10,6))" for v, n, x in K.SEED_METRICS) + ")",
-    "make_portfolio_checked": """SELECT count(*) AS n_rows, count(*) AS n_inside,
-        count(*) AS n_listed FROM orders""",
+    "generated_rules": """SELECT tabela, count(*) AS n_rows, count(*) AS n_kept FROM orders
+        JOIN (VALUES ('portfolio'), ('large'), ('minimal'), ('demo'), ('windows'), ('flat')) t(tabela) ON true
+        GROUP BY tabela""",
+    "held_out_counts": PROP + f""" SELECT count(*) AS n_test,
+        count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok
+        FROM prop WHERE {_hash_sql(42)} % 10000 < 2000""",
+    "scored_responses": _CHECKED + """ SELECT count(*) AS n_rows, count(CASE WHEN erros = '' THEN 1 END) AS n_valid,
+        count(CASE WHEN erros <> '' THEN 1 END) AS n_invalid FROM checked""",
 }

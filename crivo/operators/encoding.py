@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crivo import constants as K
 from crivo.functions.common import lookup
 from crivo.functions.features import default_code, strip_accents, with_features
+from crivo.operators.quantiles import exact_quantiles
 from crivo.session import reliable_checkpoint
 
 WINDOW_VALUES = 1_000_000
@@ -139,11 +140,16 @@ def feature_table(
                                 for c in K.FEATURE_ORDER))
 
 
-def impute_score_median(df: DataFrame, score: str = "score", exact_rows: int = 10_000_000) -> DataFrame:
+def impute_score_median(
+    df: DataFrame, score: str = "score", window_rows: int = 10_000_000
+) -> DataFrame:
     """Missing scores become the median; all are rounded half-even and clipped to 300-950."""
-    known = F.when(~F.isnan(score), F.col(score))
-    exact = df.count() <= exact_rows
-    middle = F.median(known) if exact else F.percentile_approx(known, 0.5, 100_000)
-    filled = F.coalesce(known, df.agg(middle.cast("double")).scalar())
-    bounded = F.least(F.greatest(F.bround(filled, 0), F.lit(K.SCORE_MIN)), F.lit(K.SCORE_MAX))
+    known = F.when(~F.isnan(score), F.col(score)).cast("double")
+    if df.count() <= window_rows:
+        middle = df.agg(F.median(known)).scalar()
+    else:
+        middle = exact_quantiles(df, [score], [0.5]).agg(F.max("value")).scalar()
+    bounded = F.least(
+        F.greatest(F.bround(F.coalesce(known, middle), 0), F.lit(K.SCORE_MIN)), F.lit(K.SCORE_MAX)
+    )
     return df.withColumn(score, bounded.cast("int"))

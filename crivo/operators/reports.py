@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crivo.operators.quantiles import exact_quantiles
 from crivo.operators.thresholds import MONEY, safe_ratio
 
 EXACT_QUANTILE_ROWS = 10_000_000
@@ -19,44 +20,41 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def profile(df: DataFrame, exact_rows: int = EXACT_QUANTILE_ROWS, accuracy: int = 100_000) -> DataFrame:
-    """Describe every numeric column: one row per column.
+def profile(df: DataFrame, window_rows: int = EXACT_QUANTILE_ROWS) -> DataFrame:
+    """Describe every numeric column: one row per column, quartiles interpolated.
 
-    Exact quartiles hold every distinct value in memory, so they are used only up to
-    ``exact_rows`` rows (counted from the file footers); larger tables get ``percentile_approx``
-    with a relative rank error of ``1 / accuracy``.
+    ``percentile`` holds every distinct value in memory, so it serves tables up to ``window_rows``
+    rows (counted from the file footers); larger ones get the two-pass ``exact_quantiles``.
     """
-    names = numeric_columns(df)
-    exact = df.count() <= exact_rows
-    quarters = [0.25, 0.5, 0.75]
+    names, quarters = numeric_columns(df), (0.25, 0.5, 0.75)
+    in_memory = df.count() <= window_rows
     stats = []
     for name in names:
         x = F.col(name).cast("double")
-        if exact:
-            cuts = F.percentile(x, F.array(*(F.lit(q) for q in quarters)))
-        else:
-            cuts = F.percentile_approx(x, quarters, accuracy)
-        stats.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(x).alias("n"),
-                F.count_if(x.isNull()).alias("n_null"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                cuts.alias("cuts"),
-                F.max(x).alias("max"),
-            ).alias(name)
-        )
-    return (
-        df.agg(*stats)
-        .select(F.inline(F.array(*(F.col(n) for n in names))))
-        .select(
-            "column", "n", "n_null", F.round("mean", 6).alias("mean"),
-            F.round("std", 6).alias("std"), "min",
-            *(F.round(F.col("cuts")[i], 6).alias(f"q{25 * (i + 1)}") for i in range(3)),
-            "max",
+        parts = [
+            F.lit(name).alias("column"),
+            F.count(x).alias("n"),
+            F.count_if(x.isNull()).alias("n_null"),
+            F.round(F.avg(x), 6).alias("mean"),
+            F.round(F.stddev_samp(x), 6).alias("std"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+        ]
+        if in_memory:
+            parts.append(F.percentile(x, F.array(*(F.lit(q) for q in quarters))).alias("cuts"))
+        stats.append(F.struct(*parts).alias(name))
+    rows = df.agg(*stats).select(F.inline(F.array(*(F.col(n) for n in names))))
+    if not in_memory:
+        found = exact_quantiles(df, names, quarters).groupBy("column").agg(
+            F.array(
+                *(F.max(F.when(F.col("prob") == q, F.col("value"))) for q in quarters)
+            ).alias("cuts")
         )
+        rows = rows.join(found, "column", "left")
+    return rows.select(
+        "column", "n", "n_null", "mean", "std", "min",
+        *(F.round(F.col("cuts")[i], 6).alias(f"q{25 * (i + 1)}") for i in range(3)),
+        "max",
     )
 
 

@@ -431,31 +431,41 @@ def rate_limit_stats(
 ) -> DataFrame:
     """(metric, key, value): tracked addresses, (address, endpoint) pairs, requests, open blocks
     with their remaining seconds, and the busiest addresses."""
-    pairs = df.groupBy("ip", "endpoint").agg(F.count(F.lit(1)).alias("n"))
-    per_ip = pairs.groupBy("ip").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
-    now = micros(asof)
-    open_blocks = blocks.filter((F.col("us") <= now) & (F.col("until") >= now)).select(
-        "ip", F.greatest(F.lit(0), F.floor((F.col("until") - now) / SECOND)).alias("left")
+    per_ip = (
+        df.groupBy("ip", "endpoint").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("ip").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
     )
+    now, none = micros(asof), F.lit("")
+    left = F.greatest(F.lit(0), F.floor((F.col("until") - now) / SECOND))
+    open_blocks = blocks.filter((F.col("us") <= now) & (F.col("until") >= now))
 
-    def rows(source: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
-        return source.select(
+    def cell(metric: str, key: Column, value: Column | int) -> Column:
+        value = F.lit(value) if isinstance(value, int) else value
+        return F.struct(
             F.lit(metric).alias("metric"), key.alias("key"), value.cast("bigint").alias("value")
         )
 
-    none = F.lit("")
-    totals = per_ip.agg(
-        F.count(F.lit(1)).alias("ips"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("requests"),
-    )
-    busiest = per_ip.orderBy(F.desc("n"), "ip").limit(k)
-    return (
-        rows(totals, "tracked_ips", none, F.col("ips"))
-        .unionByName(rows(totals, "tracked_pairs", none, F.col("pairs")))
-        .unionByName(rows(totals, "tracked_requests", none, F.col("requests")))
+    def cells(source: DataFrame, *parts: Column) -> DataFrame:
+        return source.select(F.inline(F.array(*parts)))
+
+    counters = ("tracked_ips", "tracked_pairs", "tracked_requests", "blocked_ips")
+    summed = (
+        cells(
+            per_ip,
+            cell("tracked_ips", none, 1),
+            cell("tracked_pairs", none, F.col("pairs")),
+            cell("tracked_requests", none, F.col("n")),
+        )
         .unionByName(
-            rows(open_blocks.agg(F.count(F.lit(1)).alias("n")), "blocked_ips", none, F.col("n"))
+            cells(
+                open_blocks,
+                cell("blocked_ips", none, 1),
+                cell("blocked_remaining", F.col("ip"), left),
+            )
         )
-        .unionByName(rows(open_blocks, "blocked_remaining", F.col("ip"), F.col("left")))
-        .unionByName(rows(busiest, "top_ip", F.col("ip"), F.col("n")))
+        .unionByName(cells(df.sparkSession.range(1), *(cell(c, none, 0) for c in counters)))
+        .groupBy("metric", "key")
+        .agg(F.sum("value").alias("value"))
     )
+    busiest = per_ip.orderBy(F.desc("n"), "ip").limit(k)
+    return summed.unionByName(cells(busiest, cell("top_ip", F.col("ip"), F.col("n"))))

@@ -9,6 +9,7 @@ from crivo.operators import encoding as E
 from crivo.operators import reports as R
 from crivo.operators import sampling as S
 from crivo.operators import validation as V
+from crivo.operators.quantiles import exact_quantiles
 from crivo.plans import generators as G
 from crivo.plans import training as M
 from crivo.session import scratch_path
@@ -200,6 +201,23 @@ def test_profile_quantiles(spark):
     assert (row.n, row.n_null, row.q25, row.q50, row.q75) == (4, 1, 1.75, 2.5, 3.25)
 
 
+def test_large_table_quantiles_are_exact(spark):
+    df = spark.range(0, 30_000).select(
+        F.when(F.col("id") % 3 == 0, 7.5).otherwise((F.col("id") * 7919 % 30_011) / 10).alias("hot"),
+        F.when(F.col("id") % 50 != 0, F.col("id") % 11).alias("few"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    assert sorted(R.profile(df, window_rows=0).collect()) == sorted(R.profile(df).collect())
+    coarse = exact_quantiles(df, ["hot", "few"], [0.0, 0.01, 0.5, 0.999, 1.0], accuracy=50)
+    for r in coarse.collect():
+        expected = df.agg(F.percentile(r["column"], F.lit(r.prob))).first()[0]
+        assert r.value == pytest.approx(expected)
+    scores = df.select(F.col("hot").alias("score"))
+    assert E.impute_score_median(scores, window_rows=0).agg(F.sum("score")).first() == (
+        E.impute_score_median(scores).agg(F.sum("score")).first()
+    )
+
+
 def test_scan_reads_only_what_is_asked(spark, folder):
     path = scratch_path(spark, "loans")
     files.write_portfolio(proposals(spark, folder), path)
