@@ -23,6 +23,13 @@ from crivo.functions.common import ColumnLike, as_col
 
 SECOND = 1_000_000
 NEVER = -(1 << 62)
+# Fixed value: recorded requests are kept for an hour, or for the longest window if that is more.
+RETENTION = 3600 * SECOND
+DECISION_COLUMNS = ["event_id", "us", "ip", "endpoint", "decision", "remaining", "retry_after"]
+DECISION_SCHEMA = (
+    "event_id bigint, us bigint, ip string, endpoint string, decision string, remaining int, "
+    "retry_after int"
+)
 
 
 @dataclass(frozen=True)
@@ -51,13 +58,18 @@ class Limits:
     def longest_block(self) -> int:
         return max(b * 60 for _, _, b in self.choices())
 
-    def check(self) -> None:
-        shortest = min(b * 60 for _, _, b in self.choices())
-        if shortest < self.longest_window:
-            raise ValueError("a block must last at least as long as the longest window")
+    @property
+    def blocks_outlast_windows(self) -> bool:
+        """True when nothing recorded before a block still counts after it."""
+        return min(b * 60 for _, _, b in self.choices()) >= self.longest_window
+
+    @property
+    def retention(self) -> int:
+        """How long a recorded request is kept, in microseconds."""
+        return max(RETENTION, self.longest_window * SECOND)
 
     def match(self, endpoint: tuple[str, ...] | str) -> tuple[int, int, int]:
-        """The rule of one endpoint (used by the streaming state function)."""
+        """The rule of one endpoint, for the sequential decisions."""
         for pattern, n, window, block in self.ordered():
             if pattern in endpoint:
                 return n, window, block
@@ -67,6 +79,42 @@ class Limits:
 LIMITS = Limits()
 
 
+class Gate:
+    """One address, decided request by request in time order.
+
+    It stays small whatever the traffic: an endpoint keeps no more times than its limit, because
+    requests over the limit are rejected and not recorded.
+    """
+
+    def __init__(self, limits: Limits, until: int = -1, recorded: dict | None = None):
+        self.limits, self.until, self.recorded = limits, until, recorded or {}
+
+    def decide(self, ip: str, us: int, endpoint: str) -> tuple[str, int | None, int | None]:
+        """(decision, remaining, retry after)."""
+        if ip in self.limits.whitelist:
+            return "whitelist", None, None
+        if us <= self.until:
+            return "blocked", None, max(0, (self.until - us) // SECOND)
+        most, window, block = self.limits.match(endpoint)
+        times = [t for t in self.recorded.get(endpoint, ()) if t > us - window * SECOND]
+        if len(times) >= most:
+            self.until = us + block * 60 * SECOND
+            return "limit", 0, window
+        self.recorded[endpoint] = [*times, us]
+        return "admitted", max(0, most - len(times) - 1), None
+
+    def forget(self, now: int) -> None:
+        """Drops what is past the retention."""
+        limit = now - self.limits.retention
+        kept = {e: [t for t in times if t > limit] for e, times in self.recorded.items()}
+        self.recorded = {e: times for e, times in kept.items() if times}
+
+
+def decision_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=DECISION_COLUMNS)
+    return frame.astype({"remaining": "Int32", "retry_after": "Int32"})
+
+
 def endpoint_limits(df: DataFrame, limits: Limits = LIMITS, endpoint: str = "endpoint") -> DataFrame:
     """Adds ``max_requests``, ``window_seconds`` and ``block_minutes`` of the matching rule."""
     path, out = F.col(endpoint), {}
@@ -296,8 +344,15 @@ def block_intervals(
     blocks. Entry states lie at most one block past a chunk's start, so with chunks of several
     blocks the streamed steps are a small part of the candidates. The unit of work is an address
     in a chunk: a hot address spreads over as many tasks as it has chunks.
+
+    Limits whose blocks can end while their windows still count are decided in order instead.
     """
-    limits.check()
+    if not limits.blocks_outlast_windows:
+        decided = endpoint_limits(_decided_in_order(events, limits), limits)
+        until = F.col("us") + F.col("block_minutes") * (60 * SECOND)
+        return decided.filter(F.col("decision") == "limit").select(
+            "ip", "endpoint", "event_id", "us", until.alias("until")
+        )
     width = (chunk_seconds or 8 * limits.longest_block) * SECOND
     reach = limits.longest_block * SECOND
     found = violation_candidates(events, limits).withColumn(
@@ -337,6 +392,30 @@ def block_intervals(
     )
 
 
+def _decided_in_order(events: DataFrame, limits: Limits) -> DataFrame:
+    """Decisions taken one by one per address, rows streamed in time order with a small state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, at = None, None
+        for pdf in batches:
+            out = []
+            columns = (pdf[c].tolist() for c in ("event_id", "us", "ip", "endpoint"))
+            for event_id, us, ip, endpoint in zip(*columns):
+                if ip != at:
+                    gate, at = Gate(limits), ip
+                out.append((event_id, us, ip, endpoint, *gate.decide(ip, us, endpoint)))
+            if out:
+                gate.forget(out[-1][1])
+                yield decision_frame(out)
+
+    return (
+        events.select("event_id", micros("ts").alias("us"), "ip", "endpoint")
+        .repartition("ip")
+        .sortWithinPartitions("ip", "us", "event_id")
+        .mapInPandas(run, DECISION_SCHEMA)
+    )
+
+
 def _mark_blocked(events: DataFrame, blocks: DataFrame, limits: Limits) -> DataFrame:
     """Adds the block a request falls into, by an equi-join on (address, hour-like slot).
 
@@ -376,7 +455,10 @@ def admit_requests(
     ``remaining`` is what the limit still allows after an admitted request; ``retry_after`` is in
     seconds for rejected ones. Needs columns event_id, ts, ip, endpoint.
     """
-    limits.check()
+    if not limits.blocks_outlast_windows:
+        return _decided_in_order(events, limits).withColumn("ts", F.timestamp_micros("us")).select(
+            "event_id", "ts", "ip", "endpoint", "decision", "remaining", "retry_after"
+        )
     blocks = block_intervals(events, limits) if blocks is None else blocks
     free = F.col("ip").isin(*limits.whitelist)
     marked = _mark_blocked(_ruled(events, limits), blocks, limits)

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from crivo.operators.requests import LIMITS, SECOND, Limits, micros, windowed_request_counts
+from crivo.operators.requests import (
+    DECISION_SCHEMA,
+    LIMITS,
+    Gate,
+    Limits,
+    decision_frame,
+    micros,
+    windowed_request_counts,
+)
 from crivo.operators.validation import normalize_aliases, validate_proposals
 from crivo.sources.files import LOG_TIME, log_rows
 
-# Fixed value: recorded requests are kept for an hour, or for the longest window if that is more.
-RETENTION = 3600 * SECOND
-ADMISSION_SCHEMA = (
-    "event_id bigint, us bigint, ip string, endpoint string, decision string, remaining int, "
-    "retry_after int"
-)
-
 
 def read_files(
     spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000
@@ -76,14 +77,7 @@ def score_stream(
 
 # --- stateful admission -----------------------------------------------------------------------
 def admission_step(limits: Limits) -> Callable:
-    """State function of one address: recorded times per endpoint, block end, last time seen.
-
-    The state stays small whatever the traffic: an endpoint keeps no more times than its limit,
-    because requests over the limit are rejected and not recorded, and times past the retention
-    are dropped.
-    """
-
-    retention = max(RETENTION, limits.longest_window * SECOND)
+    """State function of one address: its gate as text, and the last time seen."""
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -92,44 +86,25 @@ def admission_step(limits: Limits) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        until, seen, recorded = -1, -1, {}
+        seen, gate = -1, Gate(limits)
         if state.exists:
-            until, seen, recorded = json.loads(state.get[0])
+            seen, until, recorded = json.loads(state.get[0])
+            gate = Gate(limits, until, recorded)
         # A trigger's rows of one address: bounded by the source's files-per-batch setting.
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
         out = []
-        for event_id, us, endpoint in zip(rows["event_id"], rows["us"], rows["endpoint"]):
-            event_id, us = int(event_id), int(us)
-            if ip in limits.whitelist:
-                out.append((event_id, us, ip, endpoint, "whitelist", None, None))
-                continue
-            if us < seen:
+        columns = (rows[c].tolist() for c in ("event_id", "us", "endpoint"))
+        for event_id, us, endpoint in zip(*columns):
+            if us < seen and ip not in limits.whitelist:
                 out.append((event_id, us, ip, endpoint, "late", None, None))
                 continue
             seen = us
-            if us <= until:
-                wait = max(0, (until - us) // SECOND)
-                out.append((event_id, us, ip, endpoint, "blocked", None, wait))
-                continue
-            most, window, block = limits.match(endpoint)
-            times = [t for t in recorded.get(endpoint, ()) if t > us - retention]
-            count = sum(t > us - window * SECOND for t in times)
-            if count >= most:
-                until = us + block * 60 * SECOND
-                out.append((event_id, us, ip, endpoint, "limit", 0, window))
-            else:
-                times = [t for t in times if t > us - window * SECOND] + [us]
-                out.append((event_id, us, ip, endpoint, "admitted", max(0, most - count - 1), None))
-            recorded[endpoint] = times
-        kept = {e: [t for t in ts if t > seen - retention] for e, ts in recorded.items()}
-        state.update((json.dumps([until, seen, {e: ts for e, ts in kept.items() if ts}]),))
-        if seen >= 0:
-            idle = max(until, seen + retention) // 1000
-            state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(
-            out, columns=["event_id", "us", "ip", "endpoint", "decision", "remaining", "retry_after"]
-        )
-        yield frame.astype({"remaining": "Int32", "retry_after": "Int32"})
+            out.append((event_id, us, ip, endpoint, *gate.decide(ip, us, endpoint)))
+        gate.forget(seen)
+        state.update((json.dumps([seen, gate.until, gate.recorded]),))
+        idle = max(gate.until, seen + limits.retention) // 1000
+        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
+        yield decision_frame(out)
 
     return run
 
@@ -147,6 +122,6 @@ def admission_stream(
         .select("event_id", "ts", micros("ts").alias("us"), "ip", "endpoint")
     )
     return rows.groupBy("ip").applyInPandasWithState(
-        admission_step(limits), ADMISSION_SCHEMA, "body string", "append",
+        admission_step(limits), DECISION_SCHEMA, "body string", "append",
         GroupStateTimeout.EventTimeTimeout,
     )

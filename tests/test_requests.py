@@ -94,10 +94,16 @@ def test_reference_limits_reject_the_request_over_sixty(spark):
     assert [got[i] for i in (59, 60, 61, 64)] == ["admitted", "limit", "blocked", "blocked"]
 
 
-def test_short_blocks_are_refused(spark):
-    limits = Q.Limits(rules=(("/a", 3, 3600, 15),))
-    with pytest.raises(ValueError):
-        Q.block_intervals(table(spark, traffic(5, Q.SECOND, 1)), limits)
+def test_blocks_shorter_than_windows(spark):
+    """Requests recorded before a block can count after it; these limits are decided in order."""
+    limits = Q.Limits(rules=(("/api/v1/predict", 4, 600, 2),), default=(6, 300, 1), whitelist=())
+    assert not limits.blocks_outlast_windows and SMALL.blocks_outlast_windows
+    events = traffic(1200, 3600 * Q.SECOND, 5, hot=0.6)
+    df, expected = table(spark, events), simulate(events, limits)
+    got = {r.event_id: (r.decision, r.remaining) for r in Q.admit_requests(df, limits).collect()}
+    assert got == expected
+    blocks = {r.event_id for r in Q.block_intervals(df, limits).collect()}
+    assert blocks == {i for i, (d, _) in expected.items() if d == "limit"}
 
 
 def test_old_requests_leave_the_window(spark):
