@@ -216,7 +216,7 @@ def impute_score_median(spark, folder):
 
 # --- samples ----------------------------------------------------------------------------------
 def _hash_sql(seed: int) -> str:
-    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', cast(proposta_id AS varchar))), 1, 15) AS bigint)"
+    return f"substr(md5(concat_ws('|', '{seed}', cast(proposta_id AS varchar))), 1, 15)"
 
 
 def sample_n(spark, folder):
@@ -344,11 +344,12 @@ ORACLES = {
     "stratified_cap": PROP + f""", r AS (SELECT proposta_id, inadimplente,
          row_number() OVER (PARTITION BY inadimplente ORDER BY {_hash_sql(42)}) AS k FROM prop)
         SELECT proposta_id, inadimplente FROM r WHERE k <= 400""",
-    "stratified_split": PROP + f" SELECT proposta_id, ({_hash_sql(42)} % 10000 < 2000)::int AS is_test FROM prop",
+    "stratified_split": PROP + f" SELECT proposta_id, ({_hash_sql(42)} < '{S.share_edge(0.2)}')::int AS is_test FROM prop",
     "stratified_split_exact": PROP + f""", r AS (SELECT proposta_id,
          row_number() OVER (PARTITION BY inadimplente ORDER BY {_hash_sql(42)}) AS k,
          count(*) OVER (PARTITION BY inadimplente) AS n FROM prop)
         SELECT proposta_id, (k <= round(n * 0.2::double))::int AS is_test FROM r""",
-    "stratified_folds": PROP + f" SELECT proposta_id, {_hash_sql(43)} % 3 AS fold FROM prop",
+    "stratified_folds": PROP + f""" SELECT proposta_id, ({_hash_sql(43)} >= '{S.share_edge(1 / 3)}')::int
+        + ({_hash_sql(43)} >= '{S.share_edge(2 / 3)}')::int AS fold FROM prop""",
     "union_slices": PROP + " SELECT proposta_id, score, ticket FROM prop",
 }

@@ -294,7 +294,7 @@ ORACLES = {
         GROUP BY tabela""",
     "held_out_counts": PROP + f""" SELECT count(*) AS n_test,
         count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok
-        FROM prop WHERE {_hash_sql(42)} % 10000 < 2000""",
+        FROM prop WHERE {_hash_sql(42)} < '{S.share_edge(0.2)}'""",
     "scored_responses": _CHECKED + """ SELECT count(*) AS n_rows, count(CASE WHEN erros = '' THEN 1 END) AS n_valid,
         count(CASE WHEN erros <> '' THEN 1 END) AS n_invalid FROM checked""",
 }

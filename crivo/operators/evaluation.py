@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crivo.operators.thresholds import safe_ratio
 
-DIGITS = 6
+STEPS = 1_000_000
 
 
 def probability_histogram(
@@ -23,13 +23,14 @@ def probability_histogram(
     called = prob >= F.lit(float(threshold))
     return (
         df.filter(prob.isNotNull() & F.col(y).isNotNull() & ~F.isnan(prob))
-        .groupBy(F.round(prob, DIGITS).alias("p"))
+        .groupBy(F.floor(prob * STEPS + 0.5).alias("step"))
         .agg(
             F.count_if(pos).alias("pos"),
             F.count_if(neg).alias("neg"),
             F.count_if(pos & called).alias("tp"),
             F.count_if(neg & called).alias("fp"),
         )
+        .select((F.col("step") / STEPS).alias("p"), "pos", "neg", "tp", "fp")
     )
 
 

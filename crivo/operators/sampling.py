@@ -1,9 +1,10 @@
 """Samples, caps, splits and folds decided by a hash of the row's key.
 
-The hash is the head of an MD5 digest, so any engine can reproduce a draw. Exact sizes need the
-n-th smallest hash of a class. It is found by counting, not sorting: two passes over 65 536
-buckets narrow the hash range until only a handful of rows are ranked; the final cut is a plain
-row filter, so rows never move to a task of their class.
+The hash is the head of an MD5 digest as hexadecimal text, so any engine can reproduce a draw and
+text order is number order. Exact sizes need the n-th smallest hash of a class. It is found by
+counting, not sorting: 65 536 buckets locate it, as many again inside that bucket, and only the
+handful of rows left is ranked; the final cut is a plain row filter, so rows never move to a task
+of their class.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BITS = 60
-STEP_BITS = 16
+HASH_DIGITS = 15
+BUCKET_DIGITS = 4
+LEVELS = 2
 MAX_CLASSES = 1_000
 
 
 def stable_hash(*keys: str, seed: int) -> Column:
-    """60-bit number from the seed and the key columns."""
+    """Fifteen hexadecimal digits from the seed and the key columns."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    return F.substring(F.md5(text), 1, HASH_DIGITS)
 
 
-def _bucket(h: Column, level: int) -> Column:
-    return F.shiftright(h, HASH_BITS - STEP_BITS * level).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+def share_edge(share: float) -> str:
+    """The hash below which a share of all hashes lies."""
+    edge = int(share * 16**HASH_DIGITS)
+    return f"{edge:0{HASH_DIGITS}x}" if edge < 16**HASH_DIGITS else "g"
 
 
 def _crossing(counts: DataFrame, need: Column) -> DataFrame:
@@ -65,34 +69,20 @@ def smallest_hashes(
     tagged = df.withColumns(
         {"h": stable_hash(*keys, seed=seed), "cls": F.lit(0) if cls is None else cls}
     )
-    slim = tagged.select("cls", "h", *keys) if "cls" not in keys else tagged.select("h", *keys)
-    whole = Window.partitionBy("cls")
-    counts = slim.groupBy("cls", _bucket(F.col("h"), 1).alias("b")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    first = {
-        r["cls"]: (r["b"], r["left"])
-        for r in _bounded(_crossing(counts, size(F.sum("n").over(whole))))
-    }
-    # A class whose size covers all its rows crosses in its last bucket as well.
-    edge1 = slim.filter(
-        _bucket(F.col("h"), 1) == _by_class({c: b for c, (b, _) in first.items()}, F.lit(-1))
-    )
-    counts = edge1.groupBy("cls", _bucket(F.col("h"), 2).alias("b")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    left = _by_class({c: n for c, (_, n) in first.items()}, F.lit(0))
-    second = {r["cls"]: (r["b"], r["left"]) for r in _bounded(_crossing(counts, left))}
-    edge2 = edge1.filter(
-        _bucket(F.col("h"), 2) == _by_class({c: b for c, (b, _) in second.items()}, F.lit(-1))
-    )
+    edge = tagged.select("cls", "h", *keys)
+    need = size(F.sum("n").over(Window.partitionBy("cls")))
+    for level in range(LEVELS):
+        bucket = F.substring("h", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS)
+        counts = edge.groupBy("cls", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        found = {r["cls"]: (r["b"], r["left"]) for r in _bounded(_crossing(counts, need))}
+        edge = edge.filter(bucket == _by_class({c: b for c, (b, _) in found.items()}, F.lit("")))
+        need = _by_class({c: n for c, (_, n) in found.items()}, F.lit(0))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("h", *keys))
-    last = _by_class({c: n for c, (_, n) in second.items()}, F.lit(0))
     cuts = {
         r["cls"]: r["h"]
-        for r in _bounded(edge2.withColumn("rank", rank).filter(F.col("rank") == last))
+        for r in _bounded(edge.withColumn("rank", rank).filter(F.col("rank") == need))
     }
-    chosen = F.col("h") <= _by_class(cuts, F.lit(-1))
+    chosen = F.col("h") <= _by_class(cuts, F.lit(""))
     return tagged.withColumn("chosen", chosen).drop("h", "cls")
 
 
@@ -125,8 +115,7 @@ def stratified_split(
     ``round(share * rows)`` of every class.
     """
     if not exact:
-        limit = int(round(test_share * 10_000))
-        return df.withColumn("is_test", F.pmod(stable_hash(*keys, seed=seed), F.lit(10_000)) < limit)
+        return df.withColumn("is_test", stable_hash(*keys, seed=seed) < share_edge(test_share))
     out = smallest_hashes(
         df, keys, seed, lambda total: F.round(total * F.lit(test_share)).cast("bigint"),
         F.col(label),
@@ -136,7 +125,10 @@ def stratified_split(
 
 def stratified_folds(df: DataFrame, keys: list[str], k: int = 3, seed: int = 42) -> DataFrame:
     """Adds ``fold`` in 0..k-1, drawn apart from the split of the same seed."""
-    return df.withColumn("fold", F.pmod(stable_hash(*keys, seed=seed + 1), F.lit(k)).cast("int"))
+    h, fold = stable_hash(*keys, seed=seed + 1), F.lit(0)
+    for i in range(1, k):
+        fold = fold + (h >= share_edge(i / k)).cast("int")
+    return df.withColumn("fold", fold)
 
 
 def union_slices(slices: list[DataFrame]) -> DataFrame:
