@@ -276,33 +276,57 @@ def _steps_of(since: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndar
     return lows[starts], highs[ends], leaves[ends]
 
 
-def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _framed(groups: Callable, columns: list[str], rows: int = 20_000) -> Callable:
+    """Output frames of many (ip, chunk, arrays) groups, so that a small group costs no frame."""
+
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        sizes = [len(arrays[0]) for _, _, arrays in held]
+        out = {
+            "ip": np.repeat(np.array([ip for ip, _, _ in held], dtype=object), sizes),
+            "chunk": np.repeat(np.array([chunk for _, chunk, _ in held], dtype=np.int64), sizes),
+        }
+        parts = zip(*(arrays for _, _, arrays in held))
+        out |= {name: np.concatenate(part) for name, part in zip(columns, parts)}
+        return pd.DataFrame(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for group in groups(batches):
+            held.append(group)
+            n += len(group[2][0])
+            if n >= rows:
+                yield frame(held)
+                held, n = [], 0
+        if held:
+            yield frame(held)
+
+    return run
+
+
+def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for ip, chunk, (since, until) in _chunks(batches, ["since", "until"]):
-        low, high, leaves = _steps_of(since, until)
-        yield pd.DataFrame({"ip": ip, "chunk": chunk, "low": low, "high": high, "leaves": leaves})
+        if len(since) == 1:
+            yield ip, chunk, (np.array([NEVER]), since, until)
+        else:
+            yield ip, chunk, _steps_of(since, until)
 
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entry state of every chunk, carrying one number per address through sorted step rows."""
-    ip, chunk, state, entry = None, None, NEVER, NEVER
-    for pdf in batches:
-        out = []
-        columns = (pdf[c].tolist() for c in ("ip", "chunk", "low", "high", "leaves"))
-        for row_ip, row_chunk, low, high, leaves in zip(*columns):
-            if row_ip != ip:
-                ip, chunk, state = row_ip, None, NEVER
-            if row_chunk != chunk:
-                chunk, entry = row_chunk, state
-                out.append((ip, chunk, entry))
-            if low <= entry < high:
-                state = leaves
-        yield pd.DataFrame(out, columns=["ip", "chunk", "entry"])
-
-
-def _chunk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Entry state of every chunk, carrying one number per address through the sorted steps."""
+    at, state = None, NEVER
+    for ip, chunk, (low, high, leaves) in _chunks(batches, ["low", "high", "leaves"]):
+        if ip != at:
+            at, state = ip, NEVER
+        yield ip, chunk, (np.array([state]),)
+        step = np.searchsorted(low, state, side="right") - 1
+        if step >= 0 and state < high[step]:
+            state = leaves[step]
+
+
+def _chunk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """The blocks of every chunk; its first row carries the entry state in ``since``."""
     names = ["since", "until", "us", "event_id", "endpoint"]
-    for ip, _, (since, until, us, event_id, endpoint) in _chunks(batches, names):
+    for ip, chunk, (since, until, us, event_id, endpoint) in _chunks(batches, names):
         entry, since, n = since[:1], since[1:], len(since) - 1
         following = _next_violation(since, until[1:])
         found, at = [], _next_violation(since, entry)[0]
@@ -310,27 +334,7 @@ def _chunk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found.append(at + 1)
             at = following[at]
         if found:
-            yield pd.DataFrame(
-                {"ip": ip, "endpoint": endpoint[found], "event_id": event_id[found],
-                 "us": us[found], "until": until[found]}
-            )
-
-
-def _batched(frames: Callable, rows: int = 10_000) -> Callable:
-    """Joins small output frames, so that a chunk of few rows does not cost a transfer."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for frame in frames(batches):
-            held.append(frame)
-            n += len(frame)
-            if n >= rows:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return run
+            yield ip, chunk, (endpoint[found], event_id[found], us[found], until[found])
 
 
 def block_intervals(
@@ -364,7 +368,7 @@ def block_intervals(
         .repartition("ip", "chunk")
         .sortWithinPartitions(*order)
         .mapInPandas(
-            _batched(_chunk_steps),
+            _framed(_chunk_steps, ["low", "high", "leaves"]),
             "ip string, chunk bigint, low bigint, high bigint, leaves bigint",
         )
         # No state reaches further into a chunk than the longest block begun before it.
@@ -373,7 +377,7 @@ def block_intervals(
     entries = (
         steps.repartition("ip")
         .sortWithinPartitions("ip", "chunk", "low")
-        .mapInPandas(_chain, "ip string, chunk bigint, entry bigint")
+        .mapInPandas(_framed(_chain, ["entry"]), "ip string, chunk bigint, entry bigint")
     )
     # The entry state travels as the first row of its chunk, which spares a join.
     first = entries.select(
@@ -386,9 +390,10 @@ def block_intervals(
         .repartition("ip", "chunk")
         .sortWithinPartitions(*order)
         .mapInPandas(
-            _batched(_chunk_blocks),
-            "ip string, endpoint string, event_id bigint, us bigint, until bigint",
+            _framed(_chunk_blocks, ["endpoint", "event_id", "us", "until"]),
+            "ip string, chunk bigint, endpoint string, event_id bigint, us bigint, until bigint",
         )
+        .drop("chunk")
     )
 
 

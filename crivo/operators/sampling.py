@@ -3,7 +3,7 @@
 The hash is the head of an MD5 digest as hexadecimal text, so any engine can reproduce a draw and
 text order is number order. Exact sizes need the n-th smallest hash of a class. It is found by
 counting, not sorting: 65 536 buckets locate it, as many again inside that bucket, and only the
-handful of rows left is ranked; the final cut is a plain row filter, so rows never move to a task
+handful of hashes left is ordered; the final cut is a plain row filter, so rows never move to a task
 of their class.
 """
 
@@ -39,7 +39,7 @@ def _crossing(counts: DataFrame, need: Column) -> DataFrame:
         counts.withColumn("upto", F.sum("n").over(upto))
         .withColumn("need", need)
         .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-        .select("cls", "b", (F.col("need") - (F.col("upto") - F.col("n"))).alias("left"))
+        .select("cls", "b", "n", (F.col("need") - (F.col("upto") - F.col("n"))).alias("left"))
     )
 
 
@@ -64,7 +64,7 @@ def smallest_hashes(
 ) -> DataFrame:
     """Adds ``chosen``: the row is among the ``size(class rows)`` smallest hashes of its class.
 
-    Only one cut-off per class (at most ``MAX_CLASSES``) reaches the driver.
+    ``keys`` must identify a row; a key that repeats across the cut is an error. Only one cut-off per class (at most ``MAX_CLASSES``) reaches the driver.
     """
     tagged = df.withColumns(
         {"h": stable_hash(*keys, seed=seed), "cls": F.lit(0) if cls is None else cls}
@@ -77,11 +77,12 @@ def smallest_hashes(
         found = {r["cls"]: (r["b"], r["left"]) for r in _bounded(_crossing(counts, need))}
         edge = edge.filter(bucket == _by_class({c: b for c, (b, _) in found.items()}, F.lit("")))
         need = _by_class({c: n for c, (_, n) in found.items()}, F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("h", *keys))
-    cuts = {
-        r["cls"]: r["h"]
-        for r in _bounded(edge.withColumn("rank", rank).filter(F.col("rank") == need))
-    }
+    # Rows of one hash are counted first, so a repeated key is one number here, not a group.
+    counts = edge.groupBy("cls", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    last = _bounded(_crossing(counts, need))
+    if any(r["left"] != r["n"] for r in last):
+        raise ValueError(f"the keys {keys} repeat: an exact size needs one row per key")
+    cuts = {r["cls"]: r["b"] for r in last}
     chosen = F.col("h") <= _by_class(cuts, F.lit(""))
     return tagged.withColumn("chosen", chosen).drop("h", "cls")
 

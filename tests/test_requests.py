@@ -88,7 +88,7 @@ def test_steady_attack(spark):
     assert got == simulate(events, SMALL)
 
 
-def test_reference_limits_reject_the_request_over_sixty(spark):
+def test_standard_limits_reject_the_request_over_sixty(spark):
     events = [(i, BASE + i * 100_000, "10.0.0.2", "/api/v1/predict") for i in range(65)]
     got = {r.event_id: r.decision for r in Q.admit_requests(table(spark, events)).collect()}
     assert [got[i] for i in (59, 60, 61, 64)] == ["admitted", "limit", "blocked", "blocked"]

@@ -110,6 +110,14 @@ def test_sample_sizes_are_exact(spark):
     assert {r.y: r.n for r in split.collect()} == {0: 3920, 1: 80}
 
 
+def test_repeated_keys_are_refused(spark):
+    df = spark.range(0, 900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("id"))
+    h = S.stable_hash("id", seed=42)
+    ahead = df.filter(h < df.filter("id = 0").select(h.alias("h")).agg(F.min("h")).scalar()).count()
+    with pytest.raises(ValueError):
+        S.sample_n(df, ahead + 100, ["id"])
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     one = G.make_portfolio(G.make_ids(spark, 500, partitions=1))
     many = G.make_portfolio(G.make_ids(spark, 500, partitions=16))
