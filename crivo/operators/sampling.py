@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crivo.session import reliable_checkpoint
+
 HASH_DIGITS = 15
 BUCKET_DIGITS = 4
 LEVELS = 2
@@ -69,13 +71,16 @@ def smallest_hashes(
     tagged = df.withColumns(
         {"h": stable_hash(*keys, seed=seed), "cls": F.lit(0) if cls is None else cls}
     )
-    edge = tagged.select("cls", "h", *keys)
+    edge = tagged.select("cls", "h")
     need = size(F.sum("n").over(Window.partitionBy("cls")))
     for level in range(LEVELS):
         bucket = F.substring("h", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS)
         counts = edge.groupBy("cls", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
         found = {r["cls"]: (r["b"], r["left"]) for r in _bounded(_crossing(counts, need))}
         edge = edge.filter(bucket == _by_class({c: b for c, (b, _) in found.items()}, F.lit("")))
+        if level == 0:
+            # One bucket in 65 536: stored, so the table is not read again to look inside it.
+            edge = reliable_checkpoint(edge)
         need = _by_class({c: n for c, (_, n) in found.items()}, F.lit(0))
     # Rows of one hash are counted first, so a repeated key is one number here, not a group.
     counts = edge.groupBy("cls", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("n"))
