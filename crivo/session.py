@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +32,20 @@ def get_session(app: str = "crivo", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, for functions that run in Python there."""
+    if getattr(spark.sparkContext, "_crivo_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="crivo-package-")  # the driver serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(
+        f"{root}/crivo", f"{folder}/code/crivo", ignore=shutil.ignore_patterns("__pycache__")
+    )
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/crivo", "zip", f"{folder}/code"))
+    spark.sparkContext._crivo_shipped = True
+
+
 def _shared_folder(spark: SparkSession, prefix: str) -> str:
     """The folder the cluster names, or a temporary one in local sessions that name none.
 
