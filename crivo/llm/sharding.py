@@ -88,7 +88,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 42, source_rows: i
         rows_of, f"{source} int, ends array<array<long>>"
     )
     repeated = Window.partitionBy(source, "doc_id", F.xxhash64("text")).orderBy("doc_id")
-    ranked = placed.withColumn(AGAIN, F.row_number().over(repeated)).withColumn(
+    # one exchange by partition serves both windows
+    ranked = placed.repartition(source).withColumn(AGAIN, F.row_number().over(repeated)).withColumn(
         rank, F.row_number().over(Window.partitionBy(source).orderBy(*_identity(seed, 1))) - 1
     )
     passed = lambda ends: F.size(F.filter(ends, lambda e: e <= F.col(rank)))
