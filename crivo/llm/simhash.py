@@ -28,7 +28,7 @@ from crivo.session import ship_package
 
 SEED = 42
 #: Variants written out at a time by one task.
-PASS_VARIANTS = 1 << 22
+PASS_VARIANTS = 1 << 21
 #: Variants a bucket should hold, and the least number of buckets as a power of two.
 BUCKET_VARIANTS, LEAST_BITS = 1 << 27, 6
 
@@ -148,14 +148,15 @@ def bucket_links(values: np.ndarray, bucket: int, bits: int, half: int) -> tuple
         for cls, rows in of_value.items():
             if (chosen := of_mask.get(target ^ cls)) is not None:
                 made.append((values[rows][:, None] ^ masks[chosen][None, :]).ravel())
-                owner.append(np.repeat(rows, len(chosen)))
+                owner.append(np.repeat(rows.astype(np.int32), len(chosen)))
         if not made:
             continue
         variants, owners = np.concatenate(made), np.concatenate(owner)
+        del made, owner
         order = np.argsort(variants)
-        variants, owners = variants[order], owners[order]
+        variants = variants[order]
         same = np.flatnonzero(variants[1:] == variants[:-1])
-        x, y = owners[same], owners[same + 1]
+        x, y = owners[order[same]], owners[order[same + 1]]
         near = np.bitwise_count(values[x] ^ values[y]) <= 2 * half
         a, b = _forest(len(values), np.concatenate([a, x[near]]), np.concatenate([b, y[near]]))
     return values[a], values[b]
