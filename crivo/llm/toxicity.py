@@ -11,12 +11,13 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from crivo.session import ship_package
 TOXIC_SAMPLE, CLEAN_SAMPLE, LEXICON = 3000, 6000, 5000
 #: Lengths of word beginnings that may become terms.
 STEMS = range(4, 9)
-#: A term needs this many contexts in toxic documents and this log-odds.
-LEAST_CONTEXTS, LEAST_WEIGHT = 5, 2.0
+#: A term needs this many toxic documents, near copies counted once, and this log-odds.
+LEAST_SUPPORT, LEAST_WEIGHT = 5, 4.2
 #: Words added to every text's length, so that a single word of a short text isn't everything.
 PRIOR_WORDS = 12.0
 THRESHOLD = 0.7
@@ -60,18 +61,13 @@ def fold(text: str) -> str:
     return text
 
 
-def terms_of(words: list[str]) -> Iterator[tuple[str, str]]:
-    """(term, context): each word as ` word `, its beginnings as ` word`, with the word before.
-
-    The context of a beginning is the word before and the word itself.
-    """
-    before = ""
+def terms_of(words: Iterable[str]) -> Iterator[str]:
+    """Each word as ` word ` and its beginnings as ` word`."""
     for word in words:
-        yield f" {word} ", before
+        yield f" {word} "
         for n in STEMS:
             if n < len(word):
-                yield f" {word[:n]}", f"{before} {word}"
-        before = word
+                yield f" {word[:n]}"
 
 
 def phrases_of(words: list[str], terms: set[str]) -> Iterator[tuple[str, str]]:
@@ -168,47 +164,51 @@ def _per_document(rows: DataFrame, found: Callable, *names: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
-def _candidates(rows: DataFrame) -> list[str]:
-    """Terms with enough different contexts in toxic documents; copies of a text add none."""
-    toxic = _per_document(
-        rows.filter("toxic = 1"), lambda words, _: set(terms_of(words)), "term", "context"
-    )
-    contexts = toxic.groupBy("term", F.xxhash64("context").alias("context")).agg(F.lit(1).alias("one"))
-    often = contexts.groupBy("term").agg(F.sum("one").alias("n")).filter(F.col("n") >= LEAST_CONTEXTS)
-    return [r.term for r in often.select("term").collect()]
+def _support(rows: DataFrame) -> dict[str, int]:
+    """Toxic documents of each term that has enough of them, and of all under the empty term.
+
+    A document counts by the smallest hash among its words, which near copies nearly always share.
+    """
+
+    def marked(words: list[str], _: int) -> set[tuple[str, str]]:
+        if not words:
+            return set()
+        mark = str(min(map(xxhash.xxh64_intdigest, words)))
+        return {(t, mark) for t in {"", *terms_of(words)}}
+
+    found = _per_document(rows.filter("toxic = 1"), marked, "term", "mark")
+    marks = found.groupBy("term", F.xxhash64("mark").alias("mark")).agg(F.lit(1).alias("one"))
+    often = marks.groupBy("term").agg(F.sum("one").alias("n")).filter(F.col("n") >= LEAST_SUPPORT)
+    return {r.term: r.n for r in often.collect()}
 
 
-def _weights(rows: DataFrame, candidates: list[str]) -> dict[str, float]:
-    """Log-odds of the candidates that mark toxic documents; a longer term must beat its beginning."""
-    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
+def _weights(rows: DataFrame, support: dict[str, int]) -> dict[str, float]:
+    """Log-odds of the terms that mark toxic documents; a longer term must beat its beginning."""
+    toxic = support.get("", 0)
+    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(support))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        sums: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = dict.fromkeys(_WORD.findall(fold(text or "")))
-                sums[toxic].update({t for t, _ in terms_of(list(words)) if t in wanted.value})
-                sums[toxic][""] += 1  # documents
-        terms = list(sums[0].keys() | sums[1].keys())
-        yield pa.record_batch({
-            "term": pa.array(terms, pa.string()),
-            "clean": pa.array([sums[0][t] for t in terms], pa.int64()),
-            "toxic": pa.array([sums[1][t] for t in terms], pa.int64()),
-        })
-
-    partial = rows.mapInArrow(counted, "term string, clean long, toxic long")
-    sums = {r.term: (r.clean, r.toxic) for r in partial.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
-    clean, toxic = sums.pop("", (0, 0))
+            for text in batch.column("text").to_pylist():
+                sums.update({t for t in terms_of(dict.fromkeys(_WORD.findall(fold(text or "")))) if t in wanted.value})
+                sums[""] += 1  # documents
+        yield pa.record_batch({"term": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.int64())})
+
+    partial = rows.filter("toxic = 0").mapInArrow(counted, "term string, n long")
+    clean = {r.term: r.n for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    documents = clean.get("", 0)
     odds = {
-        t: math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1)) for t, (a, b) in sums.items()
+        t: math.log((n + 0.5) / (toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (documents + 1))
+        for t, n in support.items()
+        if t
     }
-    strong = {t: w for t, w in odds.items() if w >= LEAST_WEIGHT and sums[t][1] >= LEAST_CONTEXTS}
     chosen: dict[str, float] = {}
-    for term in sorted(strong, key=len):
+    for term in sorted((t for t, w in odds.items() if w >= LEAST_WEIGHT), key=len):
         begun = max((chosen.get(term[: n + 1], 0.0) for n in STEMS if n + 1 < len(term)), default=0.0)
-        if strong[term] > begun + 0.7:
-            chosen[term] = strong[term]
-    ranked = sorted(chosen, key=lambda t: (-chosen[t] * sums[t][1], t))
+        if odds[term] > begun + 0.7:
+            chosen[term] = odds[term]
+    ranked = sorted(chosen, key=lambda t: (-chosen[t] * support[t], t))
     return {t: chosen[t] for t in ranked[:LEXICON]}
 
 
@@ -250,7 +250,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, c
     ship_package(docs.sparkSession)
     rows = training_rows(docs, labels, toxic, clean).persist()
     try:
-        weights = _weights(rows, _candidates(rows))
+        weights = _weights(rows, _support(rows))
         lexicon = Lexicon(weights, _exceptions(rows, set(weights)))
         if weights:
             scored = with_density(rows, lexicon, "density").select("density", "toxic")

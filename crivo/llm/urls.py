@@ -90,7 +90,7 @@ def fit_url_model(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel:
         HashingTF(inputCol="__llm_grams", outputCol="__llm_features", numFeatures=BUCKETS, binary=True),
         LogisticRegression(
             featuresCol="__llm_features", labelCol="label", probabilityCol="__llm_probability",
-            rawPredictionCol="__llm_raw", predictionCol="__llm_prediction", regParam=0.01, maxIter=50,
+            rawPredictionCol="__llm_raw", predictionCol="__llm_prediction", regParam=0.001, maxIter=100, standardization=False,
         ),
     ]
     return Pipeline(stages=stages).fit(_features(rows.coalesce(1), "url"))
