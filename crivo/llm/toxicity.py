@@ -167,13 +167,14 @@ def _per_document(rows: DataFrame, found: Callable, *names: str) -> DataFrame:
 def _support(rows: DataFrame) -> dict[str, int]:
     """Toxic documents of each term that has enough of them, and of all under the empty term.
 
-    A document counts by the smallest hash among its words, which near copies nearly always share.
+    A document counts by the smallest hash among its word triples, which near copies mostly share.
     """
 
     def marked(words: list[str], _: int) -> set[tuple[str, str]]:
         if not words:
             return set()
-        mark = str(min(map(xxhash.xxh64_intdigest, words)))
+        triples = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
+        mark = str(min(xxhash.xxh64_intdigest(" ".join(t)) for t in triples))
         return {(t, mark) for t in {"", *terms_of(words)}}
 
     found = _per_document(rows.filter("toxic = 1"), marked, "term", "mark")

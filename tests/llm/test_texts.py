@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -193,12 +194,13 @@ def test_exception_phrases_and_length_lower_the_score():
 
 
 def insults(spark, n=400):
-    rude, kind = ["grumbler", "numbskull"], ["garden", "window", "river", "music"]
+    rng = random.Random(3)
+    rude = ["grumbler", "numbskull"]
     rows, labels = [], []
     for k in range(n):
-        words = [kind[(k * j) % 4] + str((k * 7 + j) % 23) for j in range(40)]
+        words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(40)]
         if k % 4 == 0:
-            words[k % 30] = words[(k * 3) % 30] = rude[k % 8 // 4]
+            words[rng.randrange(40)] = words[rng.randrange(40)] = rng.choice(rude)
         rows.append((k, " ".join(words)))
         labels.append((k, 1, int(k % 4 == 0)))
     return docs_of(spark, rows + [(None, "x"), (9000, None), (9001, "")]), spark.createDataFrame(
