@@ -11,12 +11,15 @@ from crivo.llm.exact import exact_groups
 from crivo.llm.licenses import scan_licenses
 from crivo.llm.lm import lm_scores
 from crivo.llm.mixing import mix_sources, tempered_rates
+from crivo.llm.oracles import ORACLES
 from crivo.llm.sharding import shard_rows
 from crivo.llm.simhash import simhash_groups
 from crivo.llm.toxicity import THRESHOLD, fit_lexicon, held_out, with_toxicity
 from crivo.llm.urls import Rule, filter_urls, fit_url_model
 from crivo.llm.warc import archive_folder, read_warc, write_warc
 
+__all__ = ["ORACLES", "QUERIES"]
+
 SHARDS = 40
 RULES = (
     Rule("allow", "org", "/"),
@@ -34,13 +37,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("places")
+    scanned = scan_licenses(read_table(spark, sf_dir, "documents")).drop("places")
+    return scanned.withColumn("score", F.round("score", 6))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     mixed = mix_sources(docs, tempered_rates(docs))
-    return mixed.select("doc_id", "copy", "source", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    return mixed.select("doc_id", "copy", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +74,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(read_table(spark, sf_dir, "documents"))
+    scored = lm_scores(read_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_score")})
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +129,3 @@ QUERIES = {
     "op10_exact": op10_exact,
     "pipeline": pipeline,
 }
-
-_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLES = {
-    "op10_exact": f"""
-WITH d AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents)
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, text_sha256
-FROM d WINDOW g AS (PARTITION BY text_sha256)
-""",
-}
