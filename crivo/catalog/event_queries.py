@@ -62,6 +62,14 @@ def audit_statistics_latest(spark, folder):
     return A.audit_statistics(audit_events(spark, folder), None, 30)
 
 
+def audit_statistics_empty_type(spark, folder):
+    """Events without a type or severity are groups of their own."""
+    rows = audit_events(spark, folder)
+    blank = F.col("event_id") % 50 == 0
+    rows = rows.withColumns({c: F.when(blank, "").otherwise(F.col(c)) for c in ("event_type", "severity")})
+    return A.audit_statistics(rows, _asof(), 7)
+
+
 def audit_summary(spark, folder):
     return A.audit_summary(audit_events(spark, folder), _asof(), 7)
 
@@ -135,7 +143,7 @@ def audit_from_activity(spark, folder):
     return A.audit_from_activity(_activity(spark, folder)).select(
         d["event"].cast("bigint").alias("event_id"), "event_type", "severity", "user_id",
         d["cpf"].alias("cpf"), F.length(d["stack_trace"]).alias("n_trace"),
-        d["reason"].alias("reason"), d["operation"].alias("operation"),
+        d["reason"].alias("reason"), d["operation"].alias("operation"), d["success"].alias("success"),
         F.size(F.col("compliance")).alias("n_flags"),
     )
 
@@ -202,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         recent_events, recent_events_filtered, filter_events, filter_events_user,
-        audit_statistics, audit_statistics_latest, audit_summary, retain_audit,
+        audit_statistics, audit_statistics_latest, audit_statistics_empty_type, audit_summary, retain_audit,
         audit_from_predictions, audit_from_drift, audit_from_activity, endpoint_limits, client_ip,
         sliding_request_counts, sliding_request_counts_hot, windowed_request_counts,
         block_intervals, admit_requests, top_ips, rate_limit_stats,
@@ -212,8 +220,8 @@ QUERIES = {
 _NOW = "TIMESTAMP '2024-01-20 12:00:00'"
 
 
-def _stats(since: str) -> str:
-    return AUDIT + f""", f AS (SELECT * FROM audit WHERE "timestamp" >= {since})
+def _stats(since: str, rows: str = "*") -> str:
+    return AUDIT + f""", f AS (SELECT {rows} FROM audit WHERE "timestamp" >= {since})
  SELECT 'total_events' AS metric, '' AS "key", count(*) AS value FROM f
  UNION ALL SELECT 'events_by_type', event_type, count(*) FROM f GROUP BY event_type
  UNION ALL SELECT 'events_by_severity', severity, count(*) FROM f GROUP BY severity
@@ -255,6 +263,11 @@ ORACLES = {
     "filter_events_user": AUDIT + "SELECT * FROM audit WHERE user_id = '7'",
     "audit_statistics": _stats(f"{_NOW} - INTERVAL 7 DAYS"),
     "audit_statistics_latest": _stats('(SELECT max("timestamp") FROM audit) - INTERVAL 30 DAYS'),
+    "audit_statistics_empty_type": _stats(
+        f"{_NOW} - INTERVAL 7 DAYS",
+        """user_id, ip_address, CASE WHEN event_id % 50 = 0 THEN '' ELSE event_type END AS event_type,
+           CASE WHEN event_id % 50 = 0 THEN '' ELSE severity END AS severity""",
+    ),
     "audit_summary": AUDIT + f""", f AS (SELECT * FROM audit WHERE "timestamp" >= {_NOW} - INTERVAL 7 DAYS)
         SELECT 'total_events' AS metric, '' AS "key", count(*) AS value FROM f
         UNION ALL SELECT 'events_by_type', event_type, count(*) FROM f GROUP BY event_type
@@ -292,6 +305,7 @@ ORACLES = {
          CASE WHEN kind = 'system_error' THEN 500 ELSE 600 END AS n_trace,
          CASE WHEN kind = 'authentication' AND u % 2 = 1 THEN 'Invalid credentials' END AS reason,
          CASE WHEN kind = 'data_access' THEN CASE WHEN u % 2 = 0 THEN 'export' ELSE 'access' END END AS operation,
+         CASE WHEN kind = 'authentication' THEN CASE WHEN u % 2 = 0 THEN 'true' ELSE 'false' END END AS success,
          3 AS n_flags FROM a""",
     "endpoint_limits": REQUESTS + """SELECT event_id, endpoint,
         CASE endpoint WHEN '/api/v1/predict' THEN 60 WHEN '/api/v1/predict/batch' THEN 10 WHEN '/api/v1/metrics' THEN 100 ELSE 5 END AS max_requests,

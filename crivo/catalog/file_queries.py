@@ -48,6 +48,18 @@ def scan_proposals_csv(spark, folder):
     return rows.select("cliente_id", *K.CSV_NUMBERS, *K.CSV_TEXTS)
 
 
+def scan_proposals_csv_by_name(spark, folder):
+    """The same uploads in two files: columns reversed, a name added, and as they are."""
+    path = scratch_path(spark, "uploads")
+    rows = uploads(spark, folder)
+    odd = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 1
+    named = rows.filter(odd).withColumn("nome", F.lit("Ana, \"B\""))
+    files.write_proposals_csv(named.select(*reversed(named.columns)), f"{path}/a")
+    files.write_proposals_csv(rows.filter(~odd), f"{path}/b")
+    found = I.coerce_csv(files.scan_proposals_csv(spark, f"{path}/*"))
+    return found.select("cliente_id", *K.CSV_NUMBERS, *K.CSV_TEXTS)
+
+
 def write_batch_results(spark, folder):
     path = scratch_path(spark, "results")
     files.write_batch_results(D.batch_result(proposals(spark, folder)), path)
@@ -150,7 +162,8 @@ def score_stream(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_portfolio, scan_training, append_portfolio, scan_proposals_csv, write_batch_results,
+        scan_portfolio, scan_training, append_portfolio, scan_proposals_csv,
+        scan_proposals_csv_by_name, write_batch_results,
         write_audit, audit_sink, request_count_stream, admission_stream, score_stream,
     )
 }
@@ -165,6 +178,7 @@ ORACLES = {
         round(avg(inadimplente) * 100, 2) AS label_rate FROM prop""",
     "append_portfolio": PROP + " SELECT proposta_id, score, ticket FROM prop",
     "scan_proposals_csv": INTAKE_SQL["coerce_csv"],
+    "scan_proposals_csv_by_name": INTAKE_SQL["coerce_csv"],
     "write_batch_results": PROP + f""", r AS (SELECT *, {_RECOMMEND} AS d, {_REASON} AS m,
           CASE WHEN p > 0.5 THEN ticket * p ELSE 0 END AS loss FROM prop)
         SELECT cliente_id AS "ID", 'Cliente ' || cliente_id AS "Cliente", {_TWO.format(x='ticket')} AS "Valor",

@@ -162,14 +162,14 @@ def fit_label_encoder(spark, folder):
 def fit_label_encoder_wide(spark, folder):
     """The range-partitioned ranking, on a column with one value per customer."""
     rows = raw_proposals(spark, folder)
-    return E.fit_label_encoder(rows, ["cliente_id", "uf"], window_values=10)
+    return E.fit_label_encoder(rows, ["cliente_id", "uf"])
 
 
 def encode_labels(spark, folder):
     rows = X.with_features(raw_proposals(spark, folder))
     seen = rows.filter("genero = 'Masculino' AND uf <> 'RJ'")
     encoder = E.fit_label_encoder(seen, K.ENCODED_COLUMNS, fold=True)
-    out = E.encode_labels(rows, encoder, K.ENCODED_COLUMNS, fold=True)
+    out = E.encode_labels(rows, encoder, K.ENCODED_COLUMNS, fold=True, literal=True)
     return out.select("proposta_id", *(f"{c}_encoded" for c in K.ENCODED_COLUMNS))
 
 
@@ -177,7 +177,7 @@ def encode_labels_joined(spark, folder):
     """The join path for encoders too large for a literal."""
     rows = raw_proposals(spark, folder)
     encoder = E.fit_label_encoder(rows, ["cliente_id"])
-    out = E.encode_labels(rows, encoder, ["cliente_id"], literal_values=10)
+    out = E.encode_labels(rows, encoder, ["cliente_id"])
     return out.select("proposta_id", "cliente_id_encoded")
 
 

@@ -14,7 +14,7 @@ from crivo.operators import reports as R
 from crivo.operators import sampling as S
 from crivo.plans import generators as G
 from crivo.plans import training as M
-from crivo.session import scratch_path
+from crivo.session import scratch_path, stored
 from crivo.sources import files
 from crivo.sources.star import proposals, raw_proposals, table
 
@@ -25,13 +25,29 @@ _MODELS: dict = {}
 
 
 def _trained(spark, folder):
-    """One quick model per session and folder, shared by the queries that only serve it."""
+    """One quick run per session and folder, shared by the queries that only serve it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
-        _MODELS[key] = M.training_run(proposals(spark, folder), KEY, **QUICK)
+        _MODELS[key] = M.fitted_run(proposals(spark, folder), KEY, **QUICK)
     return _MODELS[key]
 
 
+def _report(model, metrics, floor=0.7):
+    """What a training run must show whatever its trees are: size, weights, counts, a floor."""
+    weights = model.featureImportances.toArray()
+    return metrics.select(
+        F.lit(model.getNumTrees).alias("n_trees"), F.lit(model.numFeatures).alias("n_features"),
+        F.lit(round(float(weights.sum()), 6)).alias("importance_sum"),
+        F.lit(int((weights < 0).sum())).alias("n_negative"),
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
+        (F.col("fn") + F.col("tp")).alias("n_bad"), (F.col("auc") >= floor).cast("int").alias("auc_ok"),
+    )
+
+
+def _held_out(rows):
+    return S.stratified_split(rows, "inadimplente", KEY)
+
+
 def assemble_features(spark, folder):
     rows = M.assemble_features(raw_proposals(spark, folder))
     values = M.vector_to_array("features")
@@ -42,23 +58,40 @@ def assemble_features(spark, folder):
 
 
 def train_gbt(spark, folder):
-    model, _ = M.training_run(proposals(spark, folder), KEY, **QUICK)
-    return M.importances(model, spark, 10)
+    run = M.fitted_run(proposals(spark, folder), KEY, **QUICK)
+    return _report(run.model, run.metrics)
+
+
+def feature_importance_top(spark, folder):
+    """The ten largest importances: in order, distinct, and known by name."""
+    run = _trained(spark, folder)
+    top = [tuple(r) for r in M.importances(run.model, spark, 10).collect()]
+    ordered = top == sorted(top, key=lambda r: (-r[1], r[0]))
+    known = len({n for n, _ in top} & set(run.features))
+    given = proposals(spark, folder).agg(F.count(F.lit(1)).alias("n_rows"))
+    return given.select(
+        "n_rows", F.lit(len(top)).alias("n_top"), F.lit(known).alias("n_known"),
+        F.lit(int(ordered)).alias("ordered"),
+        F.lit(int(dict(top) == run.explained())).alias("served"),
+    )
 
 
 def train_regularised(spark, folder):
     recipe = M.REGULARISED | {"maxIter": 6, "maxDepth": 4}
-    _, metrics = M.training_run(proposals(spark, folder), KEY, **recipe)
-    return metrics
+    run = M.fitted_run(proposals(spark, folder), KEY, **recipe)
+    return _report(run.model, run.metrics)
 
 
 def train_early_stopping(spark, folder):
-    rows = M.assemble_features(proposals(spark, folder))
-    rows = S.stratified_split(rows, "inadimplente", KEY)
-    model = M.train_gbt(rows, validation="is_test", maxIter=12, maxDepth=3, stepSize=0.3)
-    return M.evaluate(model, rows.filter("is_test")).withColumn(
-        "n_trees", F.lit(model.getNumTrees)
+    """Stops on a part of the training rows and reports on rows it has not seen."""
+    rows = _held_out(M.assemble_features(proposals(spark, folder)))
+    parts = S.stratified_folds(rows, KEY, 5).withColumn("checks", F.col("fold") == 0)
+    model, losses = M.train_with_patience(
+        parts.filter(~F.col("is_test")), "checks", patience=3, maxIter=12, maxDepth=3, stepSize=0.3
     )
+    shown = _report(model, M.evaluate(model, rows.filter("is_test")))
+    upto = losses[: model.getNumTrees]
+    return shown.drop("n_trees").withColumn("best_round", F.lit(int(upto[-1] == min(upto))))
 
 
 def train_compact(spark, folder):
@@ -72,58 +105,90 @@ def train_compact(spark, folder):
 
 
 def train_forest(spark, folder):
-    rows = proposals(spark, folder)
-    model = M.train_forest(rows)
-    scored = M.with_probability(model, M.assemble(rows, K.FOREST_FEATURES))
-    return M.evaluation_summary(scored.select("p", "inadimplente"))
+    rows = _held_out(proposals(spark, folder))
+    model = M.train_forest(rows.filter(~F.col("is_test")))
+    scored = M.with_probability(model, M.assemble(rows.filter("is_test"), K.FOREST_FEATURES))
+    return _report(model, M.evaluation_summary(scored.select("p", "inadimplente")))
 
 
 def tune(spark, folder):
+    """A short search over all parameters; the trials in order, each inside the space."""
     rows = M.assemble_features(proposals(spark, folder))
-    space = {"maxIter": (2, 4, False), "maxDepth": (2, 3, False), "stepSize": (0.05, 0.3, True)}
-    _, trials = M.tune(rows, KEY, n=2, folds=3, space=space)
-    return trials
+    space = M.SPACE | {"maxIter": (2, 4, False), "maxDepth": (2, 3, False)}
+    model, trials = M.tune(rows, KEY, n=2, folds=3, space=space)
+    best = trials.agg(F.max("mean_auc")).scalar()
+    return trials.select(
+        "trial", F.col("mean_auc").between(0.7, 1.0).cast("int").alias("auc_ok"),
+        *(F.col("params").contains(f"'{name}'").cast("int").alias(name) for name in M.SPACE),
+        F.lit(model.numFeatures).alias("n_features"), (best >= F.col("mean_auc")).cast("int").alias("best_ok"),
+    )
 
 
 def evaluate_model(spark, folder):
-    return _trained(spark, folder)[1]
+    """The counts of the report by the rows' own probabilities, and rates that follow from them."""
+    run = _trained(spark, folder)
+    rows = _held_out(proposals(spark, folder)).filter("is_test")
+    scored = M.with_probability(run.model, run.assemble(rows)).select("p", "inadimplente")
+    called, bad = F.col("p") >= 0.5, F.col("inadimplente") == 1
+    counts = stored(scored, "scored").agg(
+        F.count_if(~called & ~bad).alias("tn_"), F.count_if(called & ~bad).alias("fp_"),
+        F.count_if(~called & bad).alias("fn_"), F.count_if(called & bad).alias("tp_"),
+    )
+    same = (F.col("tn") == F.col("tn_")) & (F.col("fp") == F.col("fp_")) & (
+        F.col("fn") == F.col("fn_")) & (F.col("tp") == F.col("tp_"))
+    rates = F.abs(F.col("recall") - F.col("tp") / (F.col("tp") + F.col("fn"))) < 1e-7
+    return run.metrics.join(counts, F.lit(True)).select(
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
+        same.cast("int").alias("same_counts"), rates.cast("int").alias("recall_ok"),
+        F.col("ks").between(0.3, 1).cast("int").alias("ks_ok"),
+    )
 
 
 def score_batch(spark, folder):
-    model, _ = _trained(spark, folder)
-    return M.score_batch(model, drafts(spark, folder)).select(
-        "proposta_id", "ok", "prediction", "probability", "risk_score", "recommendation",
-        "confidence", F.array_join("errors", ";").alias("erros"),
+    """Every draft back, with its errors, and responses that follow from the probability."""
+    rows = _trained(spark, folder).score(drafts(spark, folder))
+    p = F.col("probability")
+    decision = F.when(p <= 0.10, "Aprovar").when(p <= 0.30, "Revisar").otherwise("Negar")
+    near = F.least(F.abs(p - 0.10), F.abs(p - 0.30), F.abs(p - 0.5)) < 1e-4  # shown with four digits
+    follows = near | (
+        (F.col("recommendation") == decision) & (F.col("prediction") == (p >= 0.5).cast("int"))
+    )
+    return rows.select(
+        "proposta_id", F.col("ok").cast("int").alias("ok"), F.array_join("errors", ";").alias("erros"),
+        F.coalesce(p.between(0, 1), F.lit(False)).cast("int").alias("scored"),
+        F.coalesce(follows, F.lit(True)).cast("int").alias("follows"),
+        F.size("explainability").alias("n_explained"),
     )
 
 
 def score_batch_counters(spark, folder):
-    model, _ = _trained(spark, folder)
     rows = drafts(spark, folder).withColumn("batch_id", F.floor(F.col("proposta_id") / 900))
-    return R.batch_counters(M.score_batch(model, rows), "batch_id")
+    return R.batch_counters(_trained(spark, folder).score(rows), "batch_id")
 
 
 def expected_vs_actual(spark, folder):
-    model, _ = _trained(spark, folder)
-    return M.expected_vs_actual(model, M.profile_rows(spark))
+    run = _trained(spark, folder)
+    return M.expected_vs_actual(run.model, M.profile_rows(spark), run.encoder)
 
 
 def extreme_profiles(spark, folder):
-    return M.extreme_profiles(_trained(spark, folder)[0], spark)
+    return M.extreme_profiles(_trained(spark, folder).model, spark)
 
 
 def save_model_run(spark, folder):
-    model, metrics = _trained(spark, folder)
+    """A saved and reloaded run reports the very metrics of its training run."""
+    run = _trained(spark, folder)
     path = scratch_path(spark, "run")
-    encoder = E.fit_label_encoder(
-        X.with_features(raw_proposals(spark, folder)), K.ENCODED_COLUMNS, fold=True
-    )
-    M.save_model_run(model, path, metrics, encoder)
-    again = M.load_model(path)
-    rows = M.assemble_features(proposals(spark, folder), spark.read.parquet(f"{path}/encoder"))
-    return M.evaluate(again, rows).withColumn(
-        "n_features", spark.read.parquet(f"{path}/metrics").select("n_features").scalar()
+    M.save_run(run, path)
+    again = M.load_run(spark, path)
+    rows = _held_out(proposals(spark, folder)).filter("is_test")
+    both = run.metrics.unionByName(stored(M.evaluate(again.model, again.assemble(rows)), "metrics"))
+    saved = spark.read.parquet(f"{path}/metrics").select("n_features", "model_type")
+    versions = both.agg(
+        F.count_distinct(F.struct(*both.columns)).alias("n_versions"), F.count(F.lit(1)).alias("n_reports"),
+        F.max(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
     )
+    return versions.join(saved, F.lit(True)).withColumn("n_named", F.lit(len(again.features)))
 
 
 def append_model_metrics(spark, folder):
@@ -241,7 +306,7 @@ def generated_rules(spark, folder):
 
 def held_out_counts(spark, folder):
     """Held-out rows and defaults the evaluation has seen."""
-    return _trained(spark, folder)[1].select(
+    return _trained(spark, folder).metrics.select(
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
         (F.col("fn") + F.col("tp")).alias("n_bad"),
         F.col("auc").between(0.5, 1.0).cast("int").alias("auc_ok"),
@@ -250,8 +315,7 @@ def held_out_counts(spark, folder):
 
 def scored_responses(spark, folder):
     """Responses of valid rows, counted by whether they agree with their probability."""
-    model, _ = _trained(spark, folder)
-    rows = M.score_batch(model, drafts(spark, folder))
+    rows = _trained(spark, folder).score(drafts(spark, folder))
     p = F.col("probability")
     agrees = (
         p.between(0, 1)
@@ -270,7 +334,7 @@ def scored_responses(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        assemble_features, train_gbt, train_regularised, train_early_stopping, train_compact,
+        assemble_features, train_gbt, feature_importance_top, train_regularised, train_early_stopping, train_compact,
         train_forest, tune, evaluate_model, score_batch, score_batch_counters, expected_vs_actual,
         extreme_profiles, save_model_run, append_model_metrics, make_portfolio,
         make_portfolio_large, make_minimal, enrich_portfolio, enrich_portfolio_windows, make_flat,
@@ -278,7 +342,32 @@ QUERIES = {
     )
 }
 
+_TEST = PROP + f""", test AS (SELECT * FROM prop WHERE {_hash_sql(42)} < '333333333333333')"""
+
+
+def _trees(trees, features):
+    return _TEST + f"""SELECT {trees} AS n_trees, {features} AS n_features, 1.0 AS importance_sum,
+        0 AS n_negative, count(*) AS n_test, count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad,
+        1 AS auc_ok FROM test"""
+
+
 ORACLES = {
+    "train_gbt": _trees(8, 21),
+    "train_regularised": _trees(6, 21),
+    "train_forest": _trees(10, 9),
+    "train_early_stopping": _TEST + """SELECT 21 AS n_features, 1.0 AS importance_sum, 0 AS n_negative,
+        count(*) AS n_test, count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok,
+        1 AS best_round FROM test""",
+    "feature_importance_top": PROP + """ SELECT count(*) AS n_rows, 10 AS n_top, 10 AS n_known,
+        1 AS ordered, 1 AS served FROM prop""",
+    "tune": """SELECT unnest([0, 1]) AS trial, 1 AS auc_ok, 1 AS "maxIter", 1 AS "stepSize", 1 AS "maxDepth",
+        1 AS "minInstancesPerNode", 1 AS "subsamplingRate", 1 AS "featureSubsetStrategy",
+        21 AS n_features, 1 AS best_ok""",
+    "evaluate_model": _TEST + """SELECT count(*) AS n_test, 1 AS same_counts, 1 AS recall_ok, 1 AS ks_ok FROM test""",
+    "score_batch": _CHECKED + """ SELECT proposta_id, CASE WHEN erros = '' THEN 1 ELSE 0 END AS ok, erros,
+        CASE WHEN erros = '' THEN 1 ELSE 0 END AS scored, 1 AS follows, 10 AS n_explained FROM checked""",
+    "save_model_run": _TEST + """SELECT 1 AS n_versions, 2 AS n_reports, count(*) AS n_test, 21 AS n_features,
+        'GBTClassificationModel' AS model_type, 21 AS n_named FROM test""",
     "assemble_features": PROP + """ SELECT proposta_id, 21 AS n, idade, score,
         CASE tipo_credito WHEN 'CDC' THEN 0 WHEN 'Imobiliário' THEN 1 WHEN 'Cartão' THEN 2 ELSE 3 END
         AS tipo_credito_encoded FROM prop""",

@@ -80,15 +80,37 @@ def encrypt_round_trip(spark, folder):
 
 
 def redact_text(spark, folder):
-    return table(spark, folder, "documents").select(
-        "doc_id", F.md5(P.redact_text("text")).alias("digest"),
-        F.length(P.redact_text("text")).alias("n_redacted"),
-    )
+    rows = table(spark, folder, "documents").select("doc_id", P.redact_text("text").alias("shown"))
+    return rows.select("doc_id", F.md5("shown").alias("digest"), F.length("shown").alias("n_redacted"))
+
+
+# What must not be left in a redacted text, by kind.
+LEFT = {
+    "mail": "[A-Za-z0-9_%+-]@[A-Za-z0-9-]+[.][A-Za-z]{2,}",
+    "card": "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b",
+    "phone": "[(][0-9]{2,3}[)] ?[0-9]{3,5}[ .-]?[0-9]{4}|[+][0-9]{1,3}[ .-]?[0-9(]",
+}
+
+
+def redaction_leftovers(spark, folder):
+    """Documents in which each kind was found before and after the redaction."""
+    rows = table(spark, folder, "documents").select("text", P.redact_text("text").alias("shown"))
+    cells = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.count_if(F.col("shown").rlike(pattern)).alias("n_left"),
+        )
+        for kind, pattern in LEFT.items()
+    ]
+    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (masks, mask_id, hashes, sanitize, sanitize_map, encrypt_round_trip, redact_text)
+    for f in (
+        masks, mask_id, hashes, sanitize, sanitize_map, encrypt_round_trip, redact_text,
+        redaction_leftovers,
+    )
 }
 
 
@@ -134,7 +156,11 @@ def _or_empty(x, mask):
 
 _REDACT = "text"
 for _pattern, _put in (
-    (P.TEXT_EMAIL, r"\1***@\2"), (P.TEXT_CARD, r"**** **** **** \1"), (P.TEXT_PHONE, r"(\1) ****-\2"),
+    (r"\b(\w)[\w.%+-]*@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", r"\1***@\2"),
+    (r"\b(?:\d{4}[ -]?){3}(\d{4})\b", r"**** **** **** \1"),
+    (r"(?:\+\d{1,3}[ .-]?)?(?:\((\d\d\d?)\)[ .-]?\d{3,5}[ .-]?(\d{4})\b|\b(\d\d\d?)[ .-]\d{3,5}[ .-](\d{4})\b)",
+     r"(\1\3) ****-\2\4"),
+    (r"\+\d{6,11}(\d{4})\b", r"****-\1"),
 ):
     _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_put}', 'g')"
 
@@ -160,5 +186,7 @@ ORACLES = {
         '***' AS password, 5 AS n FROM people""",
     "encrypt_round_trip": PEOPLE + """SELECT c_custkey, cpf, email, nome, 1 AS email_hidden,
         CASE WHEN cpf = '' THEN '' ELSE 'x' END AS cpf_token FROM people""",
+    "redaction_leftovers": """SELECT kind, count(*) FILTER (doc_id IS NULL) AS n_left
+        FROM documents, (VALUES ('mail'), ('card'), ('phone')) k(kind) GROUP BY kind""",
     "redact_text": f"""SELECT doc_id, md5({_REDACT}) AS digest, length({_REDACT}) AS n_redacted FROM documents""",
 }

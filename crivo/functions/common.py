@@ -58,11 +58,6 @@ def fixed(x: Column, digits: int) -> Column:
     return F.round(x, digits).cast(f"decimal(38,{digits})").cast("string")
 
 
-def join_lines(*parts: Column) -> Column:
-    """Newline-joined text that leaves out the NULL parts."""
-    return F.concat_ws("\n", *parts)
-
-
 def drop_nan(x: Column) -> Column:
     """NaN becomes NULL, so comparisons on it are never true."""
     return F.when(~F.isnan(x), x)

@@ -11,7 +11,12 @@ from crivo.functions.common import ColumnLike, as_col, fixed
 # The word boundary keeps a long run of letters from being scanned once per letter.
 TEXT_EMAIL = "\\b([A-Za-z0-9_])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})"
 TEXT_CARD = "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?([0-9]{4})\\b"
-TEXT_PHONE = "\\(([0-9]{2})\\) ?9?[0-9]{4}-([0-9]{4})"
+# A phone has an area code of two or three digits in brackets or set apart, maybe a country prefix.
+TEXT_PHONE = (
+    "(?:\\+[0-9]{1,3}[ .-]?)?(?:\\(([0-9]{2,3})\\)[ .-]?[0-9]{3,5}[ .-]?([0-9]{4})\\b"
+    "|\\b([0-9]{2,3})[ .-][0-9]{3,5}[ .-]([0-9]{4})\\b)"
+)
+TEXT_PHONE_PLAIN = "\\+[0-9]{6,11}([0-9]{4})\\b"
 
 
 def digits(text: ColumnLike) -> Column:
@@ -204,4 +209,5 @@ def redact_text(text: ColumnLike) -> Column:
     """Masks mail addresses, card numbers and phone numbers anywhere in a text."""
     out = F.regexp_replace(as_col(text), TEXT_EMAIL, "$1***@$2")
     out = F.regexp_replace(out, TEXT_CARD, "**** **** **** $1")
-    return F.regexp_replace(out, TEXT_PHONE, "($1) ****-$2")
+    out = F.regexp_replace(out, TEXT_PHONE, "($1$3) ****-$2$4")
+    return F.regexp_replace(out, TEXT_PHONE_PLAIN, "****-$1")

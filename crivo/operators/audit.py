@@ -23,14 +23,6 @@ ACTIVITY = {
     "security": ("suspicious_activity", "warning"),
     "model": ("model_loaded", "info"),
 }
-# The event types of the log.
-EVENT_TYPES = (
-    "login_success", "login_failed", "logout", "token_refresh", "token_expired",
-    "prediction_request", "prediction_success", "prediction_failed", "batch_prediction",
-    "data_access", "data_export", "user_created", "user_updated", "user_deleted",
-    "permission_changed", "unauthorized_access", "permission_denied", "rate_limit_exceeded",
-    "suspicious_activity", "model_loaded", "model_updated", "drift_detected", "system_error",
-)
 DEFAULT_FLAGS = {"lgpd_compliant": True, "bacen_audit": True, "pci_dss": False}
 PREDICTION_FLAGS = {"lgpd_compliant": True, "bacen_audit": True, "data_masked": True}
 DRIFT_FLAGS = {"lgpd_compliant": True, "bacen_audit": True, "model_risk_management": True}
@@ -41,10 +33,6 @@ AUDIT_SCHEMA = (
     "timestamp timestamp, event_type string, severity string, user_id string, username string, "
     "ip_address string, details map<string,string>, compliance map<string,boolean>"
 )
-AUDIT_COLUMNS = (
-    "timestamp", "event_type", "severity", "user_id", "username", "ip_address", "details",
-    "compliance",
-)
 
 
 def _flags(values: dict[str, bool]) -> Column:
@@ -141,12 +129,21 @@ def audit_from_activity(df: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     filled = F.when(
         (kind == "authentication") & ~success & details["reason"].isNull(),
-        extra("reason", F.lit("Invalid credentials")),
+        F.map_concat(extra("reason", F.lit("Invalid credentials")), extra("success", F.lit("false"))),
+    ).when(
+        kind == "authentication", extra("success", success.cast("string")),
     ).when(
-        (kind == "data_access") & details["operation"].isNull(),
-        extra("operation", F.coalesce(details["action"], F.lit("access"))),
+        # the action names the operation; an operation field stands in for it
+        kind == "data_access",
+        extra("operation", F.coalesce(details["action"], details["operation"], F.lit("access"))),
     ).otherwise(none)
-    shown = F.map_filter(details, lambda k, _: ~((kind == "data_access") & (k == "action")))
+    shown = F.map_filter(
+        details,
+        lambda k, _: ~(
+            ((kind == "data_access") & k.isin("action", "operation"))
+            | ((kind == "authentication") & (k == "success"))
+        ),
+    )
     cut = F.transform_values(
         shown,
         lambda k, v: F.when(
@@ -206,9 +203,23 @@ def latest(df: DataFrame) -> Column:
     return df.agg(F.max("timestamp")).scalar()
 
 
+def _newest(df: DataFrame) -> Column:
+    """Time of the newest event; of a log by day only the last day's times are read."""
+    if "event_date" not in df.columns:
+        return latest(df)
+    day = F.col("event_date").try_cast("date")
+    last = df.agg(F.max(day)).scalar()
+    return latest(df.filter(day.isNull() | (day >= last)))
+
+
 def _since(df: DataFrame, asof: Column | None, days: int) -> DataFrame:
-    start = (latest(df) if asof is None else asof) - F.expr(f"INTERVAL {days} DAYS")
-    return df.filter(F.col("timestamp") >= start)
+    """Events of the last days; a log partitioned by day is pruned by the same bound."""
+    start = (_newest(df) if asof is None else asof) - F.expr(f"INTERVAL {days} DAYS")
+    out = df.filter(F.col("timestamp") >= start)
+    if "event_date" not in df.columns:
+        return out
+    day = F.col("event_date").try_cast("date")
+    return out.filter(day.isNull() | (day >= start.cast("date")))
 
 
 def _counts(df: DataFrame, cells: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -252,7 +263,8 @@ def audit_statistics(df: DataFrame, asof: Column | None = None, days: int = 7) -
     distinct = F.col("metric").isin("unique_users", "unique_ips")
     keyed = F.col("metric").isin("events_by_type", "events_by_severity")
     return (
-        counts.filter(~(keyed & (F.col("key") == "")))
+        # without the zero rows; an empty type or severity is a group of its own
+        counts.filter(~(keyed & (F.col("key") == "") & (F.col("n") == 0)))
         .groupBy("metric", F.when(distinct, "").otherwise(F.col("key")).alias("key"))
         .agg(
             F.sum(F.when(distinct, (F.col("key") != "").cast("bigint")).otherwise(F.col("n")))

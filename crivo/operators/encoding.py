@@ -11,10 +11,7 @@ from crivo import constants as K
 from crivo.functions.common import lookup
 from crivo.functions.features import default_code, strip_accents, with_features
 from crivo.operators.quantiles import exact_quantiles
-from crivo.session import reliable_checkpoint
-
-WINDOW_VALUES = 1_000_000
-LITERAL_VALUES = 256
+from crivo.session import reliable_checkpoint, stored
 
 
 def _distinct_values(df: DataFrame, columns: Sequence[str], fold: bool) -> DataFrame:
@@ -59,46 +56,42 @@ def position_in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def fit_label_encoder(
-    df: DataFrame, columns: Sequence[str], fold: bool = False, window_values: int = WINDOW_VALUES
+    df: DataFrame, columns: Sequence[str], fold: bool = False
 ) -> DataFrame:
     """(column, value, code): the code is the rank of the value among the column's sorted values.
 
-    ``fold`` strips accents before fitting. Up to ``window_values`` distinct values are ranked by
-    a window per column; more of them are ranked by range partitions.
+    ``fold`` strips accents before fitting. Distinct values are ranked by range partitions and
+    written once, so later joins know the encoder's size.
     """
-    # The distinct values are stored once: both the size check and the ranking read them.
-    values = reliable_checkpoint(_distinct_values(df, columns, fold))
-    if values.limit(window_values + 1).count() <= window_values:
-        ordered = Window.partitionBy("column").orderBy("value")
-        return values.withColumn("code", F.row_number().over(ordered) - 1)
-    ranked = position_in_order(values, ("column", "value"))
+    ranked = position_in_order(_distinct_values(df, columns, fold), ("column", "value"))
     first = ranked.groupBy("column").agg(F.min("position").alias("first"))
     # One row per encoded column.
-    return ranked.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("position") - F.col("first")).cast("int").alias("code")
+    return stored(
+        ranked.join(F.broadcast(first), "column").select(
+            "column", "value", (F.col("position") - F.col("first")).cast("int").alias("code")
+        ),
+        "encoder",
     )
 
 
 def encode_labels(
     df: DataFrame, encoder: DataFrame, columns: Sequence[str], fold: bool = False,
-    literal_values: int = LITERAL_VALUES,
+    literal: bool = False,
 ) -> DataFrame:
     """Adds ``<column>_encoded``; unknown and NULL values give 0.
 
-    A small encoder becomes a literal lookup inside the projection. A larger one is joined per
-    column on (column, value), where the adaptive planner sizes the join.
+    The encoder is joined per column on (column, value), and the planner sizes the join. For an
+    encoder known to be small, ``literal`` reads it once into a lookup inside the projection.
     """
 
     def text(name: str) -> Column:
         value = F.col(name).cast("string")
         return strip_accents(value) if fold else value
 
-    rows = encoder.limit(literal_values + 1).collect()
-    if len(rows) <= literal_values:
+    if literal:
         codes: dict[str, dict[str, int]] = {c: {} for c in columns}
-        for row in rows:
-            if row["column"] in codes:
-                codes[row["column"]][row["value"]] = row["code"]
+        for row in encoder.filter(F.col("column").isin(list(columns))).collect():
+            codes[row["column"]][row["value"]] = row["code"]
         return df.withColumns(
             {
                 f"{c}_encoded": F.coalesce(lookup(text(c), codes[c]), F.lit(0))
@@ -140,15 +133,10 @@ def feature_table(
                                 for c in K.FEATURE_ORDER))
 
 
-def impute_score_median(
-    df: DataFrame, score: str = "score", window_rows: int = 10_000_000
-) -> DataFrame:
+def impute_score_median(df: DataFrame, score: str = "score") -> DataFrame:
     """Missing scores become the median; all are rounded half-even and clipped to 300-950."""
     known = F.when(~F.isnan(score), F.col(score)).cast("double")
-    if df.count() <= window_rows:
-        middle = df.agg(F.median(known)).scalar()
-    else:
-        middle = exact_quantiles(df, [score], [0.5]).agg(F.max("value")).scalar()
+    middle = exact_quantiles(df, [score], [0.5]).agg(F.max("value")).scalar()
     bounded = F.least(
         F.greatest(F.bround(F.coalesce(known, middle), 0), F.lit(K.SCORE_MIN)), F.lit(K.SCORE_MAX)
     )

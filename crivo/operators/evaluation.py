@@ -96,9 +96,10 @@ def pr_curve_best_f1(df: DataFrame, p: str = "p", y: str = "inadimplente") -> Da
 def classification_report(
     df: DataFrame, p: str = "p", y: str = "inadimplente", threshold: float = 0.5
 ) -> DataFrame:
-    """Counts and precision, recall, F1 of ``p >= threshold``."""
+    """Counts and precision, recall, F1 of ``p >= threshold``; rows with a missing or NaN ``p`` or label are left out."""
     called, pos = F.col(p) >= F.lit(float(threshold)), F.col(y) == 1
-    counts = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).agg(
+    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) & F.col(y).isNotNull()
+    counts = df.filter(known).agg(
         F.count_if(~called & ~pos).alias("tn"),
         F.count_if(called & ~pos).alias("fp"),
         F.count_if(~called & pos).alias("fn"),

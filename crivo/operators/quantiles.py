@@ -1,9 +1,9 @@
-"""Exact interpolated quantiles of tables too large to hold their distinct values.
+"""Exact interpolated quantiles by refining histograms.
 
-A first pass brackets every wanted rank with an approximate quantile of guaranteed rank error.
-A second pass counts the rows below each bracket and the values inside it, with a map-side
-combine, and reads the two order statistics off the running count. A bracket holds about
-``4 / accuracy`` of the rows, fewer where values repeat.
+A pass counts the rows of equal-width buckets between the smallest and largest value; the bucket
+that holds a wanted rank is cut again until its smallest and largest value are one. A bucket hands
+over only its count, minimum and maximum, so no task ever holds or sorts the values, however many
+there are; the width falls by the number of buckets with every pass.
 """
 
 from __future__ import annotations
@@ -14,80 +14,86 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+BUCKETS = 4096
 
 
 def _number(name: str) -> Column:
+    """The column as a double; NaN counts as missing, infinities as the largest numbers."""
     x = F.col(name).cast("double")
-    return F.when(~F.isnan(x), x)
+    edge = 1.7976931348623157e308
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(-edge)), F.lit(edge)))
 
 
-def _brackets(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int
-) -> list[tuple[str, float, int, float, float]]:
-    """(column, prob, rows, low, high); one aggregated row reaches the driver."""
-    margin = 2 / accuracy
-    ranks = [r for q in probs for r in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    row = df.agg(
-        *(
-            F.struct(
-                F.count(_number(c)).alias("n"),
-                F.percentile_approx(_number(c), ranks, accuracy).alias("cuts"),
-            ).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        )
-    ).first()
-    out = []
-    for i, c in enumerate(columns):
-        for j, q in enumerate(probs):
-            n, cuts = row[i]["n"], row[i]["cuts"]
-            if n:
-                out.append((c, q, n, cuts[2 * j], cuts[2 * j + 1]))
-    return out
+def _bucket(x: Column, low: float, high: float, buckets: int) -> Column:
+    """Bucket of x inside [low, high]; halves keep the difference finite."""
+    share = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+    return F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """(column, prob, value), linearly interpolated; columns without values are left out."""
+def _refine(
+    df: DataFrame, columns: Sequence[str], ranks: set[tuple[int, int]], spans: dict, buckets: int
+) -> dict:
+    """One pass: the span of every open (column, rank) becomes the bucket that holds the rank.
+
+    A span is (low, high, rows below it). Ranks in one span share its histogram.
+    """
     spark = df.sparkSession
-    found = _brackets(df, columns, probs, accuracy)
-    if not found:
-        return spark.createDataFrame([], "column string, prob double, value double")
-    cells, wanted = [], []
-    for i, (c, q, n, low, high) in enumerate(found):
-        x, position = _number(c), q * (n - 1)
-        k = math.floor(position)
-        wanted.append((i, c, q, k, min(k + 1, n - 1), position - k))
-        # Rows below the bracket are counted under a NULL value.
-        cells.append(
-            F.when(x < low, F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
-            .when(x <= high, F.struct(F.lit(i).alias("i"), x.alias("v")))
-        )
+    todo = [(i, k) for i, k in sorted(ranks) if spans[i, k][0] < spans[i, k][1]]
+    held = {(i, *spans[i, k]) for i, k in todo}
+    cells, order = [], sorted(held)
+    for n, (i, low, high, _) in enumerate(order):
+        x = _number(columns[i])
+        b = _bucket(x, low, high, buckets)
+        cells.append(F.when(x.between(low, high), F.struct(F.lit(n).alias("s"), b.alias("b"), x.alias("x"))))
     counts = (
         df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-        .groupBy("cell.i", "cell.v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("cell.s", "cell.b")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("cell.x").alias("low"), F.max("cell.x").alias("high"))
     )
-    upto = Window.partitionBy("i").orderBy(F.asc_nulls_first("v")).rowsBetween(
-        Window.unboundedPreceding, 0
+    # At most `buckets` rows a span; a rank picks one of them.
+    upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = spark.createDataFrame(
+        [(order.index((i, *spans[i, k])), i, k, k - spans[i, k][2]) for i, k in todo],
+        "s int, i int, k bigint, inside bigint",
     )
-    # One row per wanted quantile.
-    ranks = F.broadcast(
-        spark.createDataFrame(
-            wanted, "i int, column string, prob double, k bigint, k1 bigint, share double"
-        )
-    )
-    picked = (
+    found = (
         counts.withColumn("upto", F.sum("n").over(upto))
-        .join(ranks, "i")
-        .groupBy("i", "column", "prob", "share")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("k"), F.col("v"))).alias("low"),
-            F.min(F.when(F.col("upto") > F.col("k1"), F.col("v"))).alias("high"),
-        )
-    )
-    return picked.select(
-        "column", "prob",
-        (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"),
+        .join(F.broadcast(wanted), "s")
+        .filter((F.col("upto") > F.col("inside")) & (F.col("upto") - F.col("n") <= F.col("inside")))
+        .select("i", "k", "low", "high", (F.col("upto") - F.col("n")).alias("below"))
     )
+    return spans | {
+        (r.i, r.k): (r.low, r.high, spans[r.i, r.k][2] + r.below) for r in found.collect()
+    }
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int = BUCKETS
+) -> DataFrame:
+    """(column, prob, value), linearly interpolated; columns without values are left out."""
+    spark = df.sparkSession
+    ends = df.agg(
+        *(
+            F.struct(
+                F.count(_number(c)).alias("n"), F.min(_number(c)).alias("low"),
+                F.max(_number(c)).alias("high"),
+            ).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        )
+    ).first()
+    places = {
+        (i, q): q * (ends[i]["n"] - 1) for i in range(len(columns)) if ends[i]["n"] for q in probs
+    }
+    last = {i: ends[i]["n"] - 1 for i, _ in places}
+    ranks = {
+        (i, k) for (i, _), at in places.items() for k in (math.floor(at), min(math.floor(at) + 1, last[i]))
+    }
+    spans = {(i, k): (ends[i]["low"], ends[i]["high"], 0) for i, k in ranks}
+    while any(low < high for low, high, _ in spans.values()):
+        spans = _refine(df, columns, ranks, spans, buckets)
+    out = []
+    for (i, q), at in places.items():
+        k = math.floor(at)
+        low, high = spans[i, k][0], spans[i, min(k + 1, last[i])][0]
+        out.append((columns[i], float(q), low + (high - low) * (at - k)))
+    return spark.createDataFrame(out, "column string, prob double, value double")

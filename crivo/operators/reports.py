@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from crivo.operators.quantiles import exact_quantiles
 from crivo.operators.thresholds import MONEY, safe_ratio
 
-EXACT_QUANTILE_ROWS = 10_000_000
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -20,14 +18,9 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def profile(df: DataFrame, window_rows: int = EXACT_QUANTILE_ROWS) -> DataFrame:
-    """Describe every numeric column: one row per column, quartiles interpolated.
-
-    ``percentile`` holds every distinct value in memory, so it serves tables up to ``window_rows``
-    rows (counted from the file footers); larger ones get the two-pass ``exact_quantiles``.
-    """
+def profile(df: DataFrame) -> DataFrame:
+    """Describe every numeric column: one row per column, quartiles interpolated and exact."""
     names, quarters = numeric_columns(df), (0.25, 0.5, 0.75)
-    in_memory = df.count() <= window_rows
     stats = []
     for name in names:
         x = F.col(name).cast("double")
@@ -40,17 +33,14 @@ def profile(df: DataFrame, window_rows: int = EXACT_QUANTILE_ROWS) -> DataFrame:
             F.min(x).alias("min"),
             F.max(x).alias("max"),
         ]
-        if in_memory:
-            parts.append(F.percentile(x, F.array(*(F.lit(q) for q in quarters))).alias("cuts"))
         stats.append(F.struct(*parts).alias(name))
     rows = df.agg(*stats).select(F.inline(F.array(*(F.col(n) for n in names))))
-    if not in_memory:
-        found = exact_quantiles(df, names, quarters).groupBy("column").agg(
-            F.array(
-                *(F.max(F.when(F.col("prob") == q, F.col("value"))) for q in quarters)
-            ).alias("cuts")
-        )
-        rows = rows.join(found, "column", "left")
+    found = exact_quantiles(df, names, quarters).groupBy("column").agg(
+        F.array(
+            *(F.max(F.when(F.col("prob") == q, F.col("value"))) for q in quarters)
+        ).alias("cuts")
+    )
+    rows = rows.join(found, "column", "left")
     return rows.select(
         "column", "n", "n_null", "mean", "std", "min",
         *(F.round(F.col("cuts")[i], 6).alias(f"q{25 * (i + 1)}") for i in range(3)),

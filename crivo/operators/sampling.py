@@ -14,12 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crivo.session import reliable_checkpoint
+from crivo.session import stored
 
 HASH_DIGITS = 15
 BUCKET_DIGITS = 4
 LEVELS = 2
-MAX_CLASSES = 1_000
 
 
 def stable_hash(*keys: str, seed: int) -> Column:
@@ -45,51 +44,47 @@ def _crossing(counts: DataFrame, need: Column) -> DataFrame:
     )
 
 
-def _bounded(rows: DataFrame) -> list:
-    found = rows.limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: not a class column")
-    return found
-
-
-def _by_class(values: dict, rest: Column) -> Column:
-    out = None
-    for cls, value in values.items():
-        hit = F.col("cls").isNull() if cls is None else F.col("cls") == F.lit(cls)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return rest if out is None else out.otherwise(rest)
-
-
 def smallest_hashes(
     df: DataFrame, keys: list[str], seed: int, size: Callable[[Column], Column],
     cls: Column | None = None,
 ) -> DataFrame:
     """Adds ``chosen``: the row is among the ``size(class rows)`` smallest hashes of its class.
 
-    ``keys`` must identify a row; a key that repeats across the cut is an error. Only one cut-off per class (at most ``MAX_CLASSES``) reaches the driver.
+    ``keys`` must identify a row; a key that repeats across the cut is an error. The cut-offs are
+    a table of one row per class, joined by class; only the answer to that check reaches the
+    driver, so there may be any number of classes.
     """
     tagged = df.withColumns(
-        {"h": stable_hash(*keys, seed=seed), "cls": F.lit(0) if cls is None else cls}
+        {"__hash": stable_hash(*keys, seed=seed), "__class": F.lit(0) if cls is None else cls}
     )
-    edge = tagged.select("cls", "h")
+    edge = tagged.select(F.col("__class").alias("cls"), F.col("__hash").alias("h"))
     need = size(F.sum("n").over(Window.partitionBy("cls")))
     for level in range(LEVELS):
         bucket = F.substring("h", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS)
         counts = edge.groupBy("cls", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        found = {r["cls"]: (r["b"], r["left"]) for r in _bounded(_crossing(counts, need))}
-        edge = edge.filter(bucket == _by_class({c: b for c, (b, _) in found.items()}, F.lit("")))
-        if level == 0:
-            # One bucket in 65 536: stored, so the table is not read again to look inside it.
-            edge = reliable_checkpoint(edge)
-        need = _by_class({c: n for c, (_, n) in found.items()}, F.lit(0))
+        if level:
+            counts = counts.join(needed, F.col("cls").eqNullSafe(F.col("of"))).drop("of")
+        found = stored(
+            _crossing(counts, need).select(F.col("cls").alias("of"), F.col("b").alias("at"), "left"),
+            "cuts",
+        )
+        # One bucket in 65 536 a class: stored, so the table is not read again to look inside it.
+        inside = F.col("cls").eqNullSafe(F.col("of")) & (bucket == F.col("at"))
+        edge = stored(edge.join(found, inside, "left_semi"), "edge")
+        needed, need = found.select("of", F.col("left").alias("need_left")), F.col("need_left")
     # Rows of one hash are counted first, so a repeated key is one number here, not a group.
     counts = edge.groupBy("cls", F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    last = _bounded(_crossing(counts, need))
-    if any(r["left"] != r["n"] for r in last):
+    counts = counts.join(needed, F.col("cls").eqNullSafe(F.col("of"))).drop("of")
+    last = stored(_crossing(counts, need), "cuts")
+    if not last.filter(F.col("left") != F.col("n")).isEmpty():
         raise ValueError(f"the keys {keys} repeat: an exact size needs one row per key")
-    cuts = {r["cls"]: r["b"] for r in last}
-    chosen = F.col("h") <= _by_class(cuts, F.lit(""))
-    return tagged.withColumn("chosen", chosen).drop("h", "cls")
+    cuts = last.select(F.col("cls").alias("__cut_class"), F.col("b").alias("__cut"))
+    chosen = F.coalesce(F.col("__hash") <= F.col("__cut"), F.lit(False))
+    return (
+        tagged.join(cuts, F.col("__class").eqNullSafe(F.col("__cut_class")), "left")
+        .withColumn("chosen", chosen)
+        .drop("__hash", "__class", "__cut_class", "__cut")
+    )
 
 
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

@@ -126,13 +126,15 @@ def resolve_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def check_feature_contract(
     df: DataFrame, expected: Sequence[str], encoders: Sequence[str] = (),
-    expected_encoders: Sequence[str] = K.ENCODED_COLUMNS,
+    expected_encoders: Sequence[str] = K.ENCODED_COLUMNS, model=None,
 ) -> DataFrame:
     """Report rows (check, ok, detail) comparing a model's contract with a feature table.
 
-    The names are compared on the schema; the rows are scanned once for missing inputs.
+    The number of expected features must be the one the model was trained on (``numFeatures``);
+    without a model, the one of the published contract. The names are compared on the schema; the rows are scanned once for missing inputs.
     """
     missing = [c for c in expected if c not in df.columns]
+    width = len(K.FEATURE_ORDER) if model is None else int(model.numFeatures)
     absent = [c for c in expected_encoders if c not in encoders]
 
     def row(check: str, ok: Column | bool, detail: Column | str) -> Column:
@@ -149,7 +151,7 @@ def check_feature_contract(
         F.inline(
             F.array(
                 row("features_present", not missing, ",".join(missing)),
-                row("feature_count", len(expected) == len(K.FEATURE_ORDER), str(len(expected))),
+                row("feature_count", len(expected) == width, str(len(expected))),
                 row("encoders_present", not absent, ",".join(absent)),
                 row("encoder_count", len(encoders) == len(expected_encoders), str(len(encoders))),
                 row("rows_present", F.col("n") > 0, F.col("n").cast("string")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -14,17 +15,18 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crivo import constants as K
 from crivo.functions import decisions as D
 from crivo.functions.features import default_code, with_features
-from crivo.operators.encoding import encode_labels
+from crivo.operators.encoding import encode_labels, fit_label_encoder
 from crivo.operators.evaluation import class_weight, evaluation_summary, feature_importance_top
 from crivo.operators.sampling import stratified_folds, stratified_split
 from crivo.operators.validation import normalize_aliases, validate_proposals
-from crivo.session import use_checkpoint_dir
+from crivo.session import stored, use_checkpoint_dir
 
 # The recipes, in the terms this learner has (no leaf count, no L1/L2).
 PREMIUM = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 10, "minInstancesPerNode": 20,
@@ -81,13 +83,14 @@ def assemble_features(df: DataFrame, encoder: DataFrame | None = None) -> DataFr
             {f"{c}_encoded": default_code(c, c) for c in K.ENCODED_COLUMNS}
         )
     else:
-        rows = encode_labels(rows, encoder, K.ENCODED_COLUMNS, fold=True)
+        # the codes of eight short lists of categories, as small as the lists
+        rows = encode_labels(rows, encoder, K.ENCODED_COLUMNS, fold=True, literal=True)
     return assemble(rows, K.FEATURE_ORDER)
 
 
 def assemble_compact(df: DataFrame, encoder: DataFrame) -> DataFrame:
     """The twelve-input recipe: nine numbers and three fitted codes."""
-    rows = encode_labels(df, encoder, K.COMPACT_ENCODED)
+    rows = encode_labels(df, encoder, K.COMPACT_ENCODED, literal=True)
     return assemble(rows, K.COMPACT_NUMERIC + tuple(f"{c}_encoded" for c in K.COMPACT_ENCODED))
 
 
@@ -124,6 +127,31 @@ def train_gbt(
     return learner.fit(_training_rows(df, label, *more))
 
 
+def train_with_patience(
+    df: DataFrame, validation: str, label: str = "inadimplente", patience: int = 100, seed: int = 42,
+    **params,
+) -> tuple[GBTClassificationModel, list[float]]:
+    """Boosted trees cut at the best round on the validation rows, and the loss of every round.
+
+    Rounds after the first ``patience`` rounds in a row without a smaller loss do not count. The
+    trees of a round depend on the earlier ones and the seed, so fitting again up to the best
+    round gives the same trees.
+    """
+    training = df.filter(~F.col(validation))
+    model = train_gbt(training, label, seed, **params)
+    checked = _training_rows(df.filter(validation), label)
+    losses = model.evaluateEachIteration(checked)
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    if best + 1 < len(losses):
+        model = train_gbt(training, label, seed, **(params | {"maxIter": best + 1}))
+    return model, losses
+
+
 def train_forest(df: DataFrame, label: str = "inadimplente", seed: int = 42, **params):
     """Random forest on the nine raw inputs."""
     rows = assemble(df, K.FOREST_FEATURES).select(
@@ -296,18 +324,60 @@ def save_model_run(
     record.write.mode("overwrite").parquet(f"{path}/metrics")
 
 
-def load_model(path: str) -> GBTClassificationModel:
-    return GBTClassificationModel.load(f"{path}/model")
+def load_model(path: str):
+    """The saved model, whatever its class; the class is read from the model's own metadata."""
+    spark = SparkSession.getActiveSession()
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
 
 
-def metric_rows(metrics: DataFrame, model_version: str) -> DataFrame:
-    """A metrics row in the long (version, name, value) format of the metric log."""
-    names = [f.name for f in metrics.schema.fields if f.dataType.typeName() in ("double", "long")]
-    cells = F.array(
-        *(F.struct(F.lit(n).alias("metric_name"),
-                   F.col(n).try_cast("decimal(10,6)").alias("metric_value")) for n in names)
-    )
-    return metrics.select(F.inline(cells)).select(
-        F.lit(model_version).alias("model_version"), "metric_name", "metric_value",
-        F.current_timestamp().alias("recorded_at"),
+@dataclass(frozen=True)
+class Run:
+    """A trained model with what serving it needs: encoder, feature order and held-out metrics."""
+
+    model: object
+    encoder: DataFrame
+    features: tuple[str, ...]
+    metrics: DataFrame
+
+    def assemble(self, df: DataFrame) -> DataFrame:
+        """Feature vectors by the codes the model was trained with."""
+        return assemble_features(df, self.encoder)
+
+    def explained(self, k: int = 10) -> dict[str, float]:
+        """The largest importances by feature name."""
+        weights = zip(self.features, self.model.featureImportances.toArray().tolist())
+        return dict(sorted(weights, key=lambda w: (-w[1], w[0]))[:k])
+
+    def score(self, df: DataFrame, threshold: float = 0.5, model_version: str = "1.0.0") -> DataFrame:
+        """Scored batch with the run's codes and explanations."""
+        return score_batch(self.model, df, self.encoder, threshold, model_version, self.explained())
+
+
+def fitted_run(
+    df: DataFrame, keys: list[str], label: str = "inadimplente", seed: int = 42,
+    test_share: float = 0.2, **params,
+) -> Run:
+    """Split, fit the encoder on the training rows, train with it, evaluate on the held-out rows."""
+    rows = stratified_split(df, label, keys, test_share, seed)
+    training = with_features(rows.filter(~F.col("is_test")))
+    encoder = fit_label_encoder(training, K.ENCODED_COLUMNS, fold=True)
+    table = assemble_features(rows, encoder).select("features", label, "is_test")
+    model = train_gbt(table.filter(~F.col("is_test")), label, seed, **params)
+    metrics = stored(evaluate(model, table.filter("is_test"), label), "metrics")
+    return Run(model, encoder, tuple(K.FEATURE_ORDER), metrics)
+
+
+def save_run(run: Run, path: str, model_version: str = "1.0.0") -> None:
+    save_model_run(run.model, path, run.metrics, run.encoder, model_version, run.features)
+
+
+def load_run(spark: SparkSession, path: str) -> Run:
+    """A saved run, ready to assemble and score; refuses one whose parts do not fit together."""
+    order = spark.read.parquet(f"{path}/features").orderBy("position").collect()
+    run = Run(
+        load_model(path), spark.read.parquet(f"{path}/encoder"), tuple(r.feature for r in order),
+        spark.read.parquet(f"{path}/metrics"),
     )
+    if run.model.numFeatures != len(run.features):
+        raise ValueError(f"{path}: a model of {run.model.numFeatures} inputs with {len(run.features)} names")
+    return run

@@ -72,6 +72,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to the shared folder once and reads them back: lineage ends here.
+
+    The files outlive executors and tell the planner their size; the owner of the shared folder
+    removes them with the run.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New folder name under the shared folder."""
     return f"{_shared_folder(spark, 'crivo-scratch-')}/{name}-{uuid.uuid4().hex}"

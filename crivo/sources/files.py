@@ -63,12 +63,30 @@ def append_portfolio(df: DataFrame, path: str) -> None:
 def scan_proposals_csv(
     spark: SparkSession, path: str, columns: Sequence[str] = K.CSV_COLUMNS
 ) -> DataFrame:
-    """Header CSV as text columns; wholly empty lines are skipped, nothing is typed."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    return (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("multiLine", False).csv(path)
+    """Header CSV as text columns bound by name, whatever the order of the file's columns.
+
+    A column the file lacks is NULL, other columns are ignored; files with different headers may
+    share a folder. Wholly empty lines are skipped, nothing is typed.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")
     )
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    # One row per distinct header, with the names of its files.
+    kinds = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    for kind in kinds:
+        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(kind.files)
+        names = {c.strip().removeprefix("\ufeff"): c for c in reversed(rows.columns)}
+        out = out.unionByName(
+            rows.select(
+                *(
+                    (F.col(f"`{names[c]}`") if c in names else F.lit(None).cast("string")).alias(c)
+                    for c in columns
+                )
+            )
+        )
+    return out
 
 
 def write_proposals_csv(df: DataFrame, path: str) -> None:

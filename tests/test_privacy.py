@@ -81,3 +81,21 @@ def test_redact_text_keeps_the_rest(spark):
     shown = [r[0] for r in df.select(P.redact_text("t")).collect()]
     assert shown[0] == "fale com j***@example.com.br ou (11) ****-4321, cartao **** **** **** 3456 ok"
     assert shown[1] == "a" * 20000
+
+
+def test_phones_of_every_form_are_redacted(spark):
+    from crivo.functions import privacy as P
+
+    cases = {
+        "ligue (11) 98765-4321 já": "ligue (11) ****-4321 já",
+        "+1 (743) 555-3824": "(743) ****-3824",
+        "+55 11 98765-4321": "(11) ****-4321",
+        "011-3456-7890": "(011) ****-7890",
+        "11 3456 7890.": "(11) ****-7890.",
+        "+5511987654321": "****-4321",
+        "(21)998765432": "(21) ****-5432",
+        "10.20.30.40 e 2024-01-15 e 12345678": "10.20.30.40 e 2024-01-15 e 12345678",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string")
+    for r in rows.select(P.redact_text("a").alias("got"), "b").collect():
+        assert r.got == r.b

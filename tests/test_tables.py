@@ -82,16 +82,17 @@ def test_first_candidate_column_wins(spark):
         V.resolve_columns(df.drop("label", "bad"))
 
 
-def test_encoder_paths_agree(spark):
+def test_encoder_ranks_values_and_both_lookups_agree(spark):
     df = spark.range(0, 3000).select(
         F.concat(F.lit("v"), (F.col("id") * 7919 % 997).cast("string")).alias("a"),
         F.when(F.col("id") % 5 != 0, (F.col("id") % 3).cast("string")).alias("b"),
     )
     small = E.fit_label_encoder(df, ["a", "b"])
-    wide = E.fit_label_encoder(df, ["a", "b"], window_values=1)
-    assert sorted(small.collect()) == sorted(wide.collect())
-    literal = E.encode_labels(df, small, ["a", "b"])
-    joined = E.encode_labels(df, small, ["a", "b"], literal_values=1)
+    values = sorted({f"v{i * 7919 % 997}" for i in range(3000)})
+    expected = [("a", v, k) for k, v in enumerate(values)] + [("b", str(k), k) for k in range(3)]
+    assert sorted(tuple(r) for r in small.collect()) == sorted(expected)
+    literal = E.encode_labels(df, small, ["a", "b"], literal=True)
+    joined = E.encode_labels(df, small, ["a", "b"])
     assert sorted(literal.select("a_encoded", "b_encoded").collect()) == sorted(
         joined.select("a_encoded", "b_encoded").collect()
     )
@@ -215,15 +216,88 @@ def test_large_table_quantiles_are_exact(spark):
         F.when(F.col("id") % 50 != 0, F.col("id") % 11).alias("few"),
         F.lit(None).cast("double").alias("none"),
     )
-    assert sorted(R.profile(df, window_rows=0).collect()) == sorted(R.profile(df).collect())
-    coarse = exact_quantiles(df, ["hot", "few"], [0.0, 0.01, 0.5, 0.999, 1.0], accuracy=50)
-    for r in coarse.collect():
-        expected = df.agg(F.percentile(r["column"], F.lit(r.prob))).first()[0]
-        assert r.value == pytest.approx(expected)
-    scores = df.select(F.col("hot").alias("score"))
-    assert E.impute_score_median(scores, window_rows=0).agg(F.sum("score")).first() == (
-        E.impute_score_median(scores).agg(F.sum("score")).first()
+    for buckets in (3, 50, 4096):
+        found = exact_quantiles(df, ["hot", "few", "none"], [0.0, 0.01, 0.5, 0.999, 1.0], buckets).collect()
+        assert {r["column"] for r in found} == {"hot", "few"}
+        for r in found:
+            expected = df.agg(F.percentile(r["column"], F.lit(r.prob))).first()[0]
+            assert r.value == pytest.approx(expected)
+    middle = df.agg(F.median("hot")).first()[0]
+    filled = E.impute_score_median(df.select(F.lit(None).cast("double").alias("score"), "hot").unionByName(
+        df.select(F.col("hot").alias("score"), "hot")))
+    assert filled.filter("score is null").count() == 0 and middle > 300
+
+
+def test_saved_run_serves_what_was_trained(spark):
+    df = G.make_portfolio(G.make_ids(spark, 1500))
+    run = M.fitted_run(df, ["id"], maxIter=3, maxDepth=3)
+    path = scratch_path(spark, "run")
+    M.save_run(run, path)
+    again = M.load_run(spark, path)
+    assert type(again.model) is type(run.model) and again.features == run.features
+    assert again.explained() == run.explained() and len(run.explained()) == 10
+    left = run.score(df).orderBy("id").select("id", "probability", "explainability").collect()
+    assert left == again.score(df).orderBy("id").select("id", "probability", "explainability").collect()
+    forest = M.train_forest(df, numTrees=2)
+    M.save_model_run(forest, f"{path}/forest", run.metrics, run.encoder, features=K.FOREST_FEATURES)
+    assert M.load_run(spark, f"{path}/forest").model.getNumTrees == 2
+    M.save_model_run(forest, f"{path}/bad", run.metrics, run.encoder)
+    with pytest.raises(ValueError):
+        M.load_run(spark, f"{path}/bad")
+
+
+def test_contract_counts_the_models_inputs(spark):
+    df = spark.createDataFrame([tuple(range(21))], list(K.FEATURE_ORDER))
+    forest = M.train_forest(G.make_portfolio(G.make_ids(spark, 200)), numTrees=1, maxDepth=2)
+    for model, ok in ((None, True), (forest, False)):
+        found = {r["check"]: r.ok for r in V.check_feature_contract(df, K.FEATURE_ORDER, model=model).collect()}
+        assert found["feature_count"] is ok
+
+
+def test_report_leaves_nan_out(spark):
+    from crivo.operators import evaluation as X
+
+    df = spark.createDataFrame([(0.9, 1), (float("nan"), 1), (float("nan"), 0), (0.2, 0), (None, 1)], "p double, inadimplente int")
+    counts = ("tn", "fp", "fn", "tp")
+    report = X.classification_report(df).select(*counts).first()
+    assert report == X.evaluation_summary(df).select(*counts).first() and tuple(report) == (1, 0, 0, 1)
+
+
+def test_audit_reports_prune_by_day(spark):
+    from crivo.operators import audit as A
+
+    rows = spark.range(0, 600).select(
+        F.timestamp_seconds(F.col("id") * 7200 + 1_700_000_000).alias("timestamp"),
+        F.lit("login_failed").alias("event_type"), F.lit("info").alias("severity"),
+        F.lit("u").alias("user_id"), F.lit("n").alias("username"), F.lit("1.1.1.1").alias("ip_address"),
+        F.create_map(F.lit("a"), F.lit("b")).alias("details"), F.create_map(F.lit("c"), F.lit(True)).alias("compliance"),
     )
+    path = scratch_path(spark, "log")
+    files.write_audit(rows, path)
+    log = files.scan_audit(spark, path)
+    asof = F.timestamp_seconds(F.lit(1_700_000_000 + 600 * 7200))
+    for report in (A.audit_statistics, A.audit_summary):
+        plan = report(log, asof, 7)._jdf.queryExecution().executedPlan().toString()
+        filters = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.split("\n") if "PartitionFilters: [" in x]
+        assert filters and all("event_date" in x for x in filters)
+        total = report(log, asof, 7).filter("metric = 'total_events'").first().value
+        assert total == 84 and report(log, None, 7).filter("metric = 'total_events'").first().value == 85
+
+
+def test_quantiles_of_wide_and_odd_numbers(spark):
+    rows = [(1e-300,), (2.0,), (3.0,), (1e300,), (float("nan"),), (None,), (-1.7e308,), (1.7e308,)]
+    df = spark.createDataFrame(rows, "x double")
+    found = {r.prob: r.value for r in exact_quantiles(df, ["x"], [0.0, 0.4, 0.6, 1.0], 16).collect()}
+    assert found == {0.0: -1.7e308, 0.4: 2.0, 0.6: 3.0, 1.0: 1.7e308}
+    assert exact_quantiles(df.filter("x is null"), ["x"], [0.5]).count() == 0
+    assert "percentile" not in R.profile(df)._jdf.queryExecution().toString()
+
+
+def test_exact_split_of_many_classes(spark):
+    df = spark.range(0, 20_000).select("id", F.nullif(F.col("id") % 5000, F.lit(7)).alias("cls"))
+    split = S.stratified_split(df, "cls", ["id"], test_share=0.25, exact=True)
+    sizes = split.groupBy("cls").agg(F.count_if("is_test").alias("n"), F.count("*").alias("all"))
+    assert sizes.count() == 5000 and {(r.n, r.all) for r in sizes.collect()} == {(1, 4)}
 
 
 def test_scan_reads_only_what_is_asked(spark, folder):
