@@ -7,7 +7,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crivo.session import scratch_path
+from crivo.session import stored
+
+__all__ = [
+    "SEPARATORS", "WORD_BYTES", "fold_ascii", "hash_unit", "read_table", "split_words", "stored", "without",
+    "words_of",
+]
 
 #: Bytes that end a word of the alphanumeric rule: everything in ASCII but digits and letters.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -24,16 +29,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder once and reads them back: lineage ends here.
-
-    The files outlive executors; the owner of the shared folder removes them with the run.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null is the empty text."""
     return F.translate(
