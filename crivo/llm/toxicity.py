@@ -32,6 +32,8 @@ LEAST_SUPPORT, LEAST_WEIGHT = 5, 4.2
 #: Words added to every text's length, so that a single word of a short text isn't everything.
 PRIOR_WORDS = 12.0
 THRESHOLD = 0.7
+#: Rows a task holds before it hands them on.
+ROWS_HELD = 1 << 15
 
 # Letters of other scripts that look like Latin ones, and digits read as letters.
 HOMOGLYPHS = dict(
@@ -151,15 +153,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE,
 def _per_document(rows: DataFrame, found: Callable, *names: str) -> DataFrame:
     """Rows that `found(words, toxic)` makes of each text, in columns of strings."""
 
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out = [
-                row
-                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())
-                for row in found(_WORD.findall(fold(text or "")), toxic)
-            ]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=list(names))
+            for text, toxic in zip(batch.column("text"), batch.column("toxic")):
+                out.extend(found(_WORD.findall(fold(text.as_py() or "")), toxic.as_py()))
+                if len(out) >= ROWS_HELD:
+                    yield packed(out)
+                    out = []
+        if out:
+            yield packed(out)
 
     return rows.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
