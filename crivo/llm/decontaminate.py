@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -15,6 +15,7 @@ from crivo.llm.common import SEPARATORS, WORD_BYTES, split_words, words_of
 from crivo.session import ship_package
 
 WINDOW = 10
+SPAN = pa.struct([("first", pa.int32()), ("end", pa.int32())])
 #: Windows broadcast at a time; a larger benchmark is scanned in blocks of this size.
 BLOCK_WINDOWS = 1_000_000
 
@@ -74,6 +75,17 @@ class WindowIndex:
                         yield start, start + size, items
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans that touch or overlap as one, in order."""
+    out: list[dict[str, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"first": first, "end": end})
+    return out
+
+
 def _scan(docs: DataFrame, rows: list, name: str) -> DataFrame:
     """Adds `name`: word spans and items of the benchmark windows in each text."""
     spark = docs.sparkSession
@@ -89,12 +101,11 @@ def _scan(docs: DataFrame, rows: list, name: str) -> DataFrame:
         for raw in texts.cast(pa.binary()).to_pylist():
             words, spans, items = split_words(raw), [], set()
             for first, end, found in index.find(words):
-                spans.append({"first": first, "end": end})
+                spans.append((first, end))
                 items |= found
-            out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
-        span = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+            out.append({"n_words": len(words), "spans": merged(spans), "items": sorted(items)})
         return pa.array(
-            out, pa.struct([("n_words", pa.int32()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))])
+            out, pa.struct([("n_words", pa.int32()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
         )
 
     return docs.withColumn(name, scanned(F.col("text")))
@@ -115,25 +126,17 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WI
     for k, part in enumerate(parts):
         chosen = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
         docs = _scan(docs, chosen.collect(), part)
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{p}.spans") for p in parts])))
-    merged = F.aggregate(
-        spans,
-        F.expr("cast(array() as array<struct<first:int,end:int>>)"),
-        lambda done, s: F.when(
-            F.try_element_at(done, F.lit(-1))["end"] >= s["first"],
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["first"].alias("first"),
-                        F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
+    if blocks == 1:
+        return docs.withColumn(name, F.col(parts[0])).drop(*parts)
+
+    @F.arrow_udf("array<struct<first:int,end:int>>")
+    def joined(rows: pa.Array) -> pa.Array:
+        spans = [merged((s["first"], s["end"]) for s in row) for row in rows.to_pylist()]
+        return pa.array(spans, pa.list_(SPAN))
+
+    spans = joined(F.flatten(F.array(*[F.col(f"{p}.spans") for p in parts])))
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    hits = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), merged.alias("spans"), items.alias("items"))
+    hits = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
     return docs.withColumn(name, hits).drop(*parts)
 
 

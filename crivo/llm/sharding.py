@@ -14,6 +14,11 @@ from crivo.session import ship_package
 
 #: Rows of a source partition and of a block of a shard, the unit of the second permutation.
 SOURCE_ROWS, BLOCK_ROWS = 20_000, 50_000
+#: Most source partitions and blocks. Beyond, they grow in rows instead (their sorts spill), so that
+#: the matrix has a bounded size and does not grow with the square of the table.
+MOST_PARTS, MOST_BLOCKS = 8192, 8192
+#: Population from which numpy makes no hypergeometric draws, and the deviations inverted there.
+NUMPY_BOUND, DEVIATIONS = 10**9, 14
 #: Running number among rows with one doc_id and text, so that copies do not stay together.
 AGAIN = "__llm_again"
 
@@ -23,12 +28,45 @@ def block_sizes(total: int, shards: int, block_rows: int = BLOCK_ROWS) -> tuple[
 
     Shard counts differ by one at most, and so do the blocks of a shard.
     """
-    per = max(1, -(-total // (shards * block_rows)))
+    per = max(1, min(-(-total // (shards * block_rows)), MOST_BLOCKS // shards))
     sizes = total // shards + (np.arange(shards) < total % shards)
     blocks = sizes[:, None] // per + (np.arange(per)[None, :] < (sizes % per)[:, None])
     return blocks.ravel(), per
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """How many of `taken` from `good + bad` are good; large populations invert the distribution.
+
+    Ratios of neighbouring probabilities are summed in logs over the values within `DEVIATIONS`
+    standard deviations of the mean; what lies outside is below the precision of the sum.
+    """
+    every = good + bad
+    if every < NUMPY_BOUND:
+        return int(rng.hypergeometric(good, bad, taken))
+    mean = taken / every * good
+    wide = DEVIATIONS * (mean * (bad / every) * ((every - taken) / max(1, every - 1))) ** 0.5 + DEVIATIONS
+    low, high = max(0, taken - bad, int(mean - wide)), min(taken, good, int(mean + wide) + 1)
+    k = np.arange(low, high)
+    ratio = np.log(good - k) + np.log(taken - k) - np.log(k + 1) - np.log(bad - taken + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
+
+
+def draw_columns(rng: np.random.Generator, left: np.ndarray, taken: int) -> np.ndarray:
+    """How many of `taken` rows fall to each column, of which `left` rows are to be filled."""
+    every = int(left.sum())
+    if every < NUMPY_BOUND:
+        return rng.multivariate_hypergeometric(left, taken, method="marginals")
+    out = np.zeros_like(left)
+    for j, good in enumerate(left.tolist()):
+        if not taken:
+            break
+        out[j] = hypergeometric(rng, good, every - good, taken)
+        every, taken = every - good, taken - int(out[j])
+    return out
+
+
 def matrix_row(sizes: np.ndarray, counts: np.ndarray, part: int, seed: int) -> np.ndarray:
     """Row `part` of a random matrix with row sums `counts` and column sums `sizes`.
 
@@ -40,7 +78,7 @@ def matrix_row(sizes: np.ndarray, counts: np.ndarray, part: int, seed: int) -> n
     while high - low > 1:
         middle = (low + high) // 2
         taken = int(counts[low:middle].sum())
-        drawn = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(left, taken, method="marginals")
+        drawn = draw_columns(np.random.default_rng([seed, low, high]), left, taken)
         if part < middle:
             high, left = middle, drawn
         else:
@@ -57,7 +95,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 42, source_rows: i
     """The documents with their own columns, `shard` (int) and `slot` (long, gapless from 0).
 
     Shard counts are at most one apart; with fewer rows than shards the last shards are empty, and
-    an empty table gives no rows. At most 10^9 rows a call (the bound of the exact draws). Nulls and repeated rows are dealt like all others. Columns named
+    an empty table gives no rows. Nulls and repeated rows are dealt like all others. Columns named
     `shard` or `slot` are replaced.
 
     Rows are permuted within source partitions, exchanged by the drawn counts, and permuted again
@@ -69,7 +107,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 42, source_rows: i
     ship_package(spark)
     base = without(docs, "shard", "slot")
     total = base.count()
-    parts = max(8, -(-total // source_rows))
+    parts = max(8, min(-(-total // source_rows), MOST_PARTS))
     source, rank, target, offset = "__llm_part", "__llm_rank", "__llm_block", "__llm_offset"
     placed = base.withColumn(source, F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(parts)).cast("int"))
     held = {r[0]: r[1] for r in placed.groupBy(source).count().collect()}

@@ -29,8 +29,8 @@ from crivo.session import ship_package
 SEED = 42
 #: Variants written out at a time by one task.
 PASS_VARIANTS = 1 << 21
-#: Variants a bucket should hold, and the least number of buckets as a power of two.
-BUCKET_VARIANTS, LEAST_BITS = 1 << 27, 6
+#: Variants and fingerprints a bucket should hold, and the least number of buckets as a power of two.
+BUCKET_VARIANTS, BUCKET_PRINTS, LEAST_BITS = 1 << 27, 1 << 24, 6
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -162,19 +162,29 @@ def bucket_links(values: np.ndarray, bucket: int, bits: int, half: int) -> tuple
     return values[a], values[b]
 
 
+def bucket_bits(count: int, masks: int) -> int:
+    """Number of buckets, as a power of two, for so many fingerprints with so many masks each.
+
+    A fingerprint has a row in every bucket that one of its variants falls into.
+    """
+    bits = LEAST_BITS
+    while count * masks >> bits > BUCKET_VARIANTS or count * min(masks, 1 << bits) >> bits > BUCKET_PRINTS:
+        bits += 1
+    return bits
+
+
 def fingerprint_links(prints: DataFrame, count: int, max_bits: int = 4) -> DataFrame:
     """Links `u`, `v` that connect all distinct fingerprints `fp` at most `max_bits` apart.
 
-    `count` is their number; it only sets how many buckets are used. A bucket holds at most
-    `BUCKET_VARIANTS` variants, written out in passes.
+    `count` is their number; it only sets how many buckets are used. A bucket holds about
+    `BUCKET_PRINTS` fingerprints at most, and its variants are written out in passes.
     """
     if max_bits % 2 or not 0 < max_bits <= 8:
         raise ValueError("max_bits must be even, from 2 to 8")
     ship_package(prints.sparkSession)
-    half, bits = max_bits // 2, LEAST_BITS
+    half = max_bits // 2
     masks = ball_masks(half)
-    while count * len(masks) >> bits > BUCKET_VARIANTS:
-        bits += 1
+    bits = bucket_bits(count, len(masks))
     basis = _basis(bits)
     classes = F.array(*[F.lit(c).cast("long") for c in np.unique(_linear(masks, basis)).tolist()])
     rows = prints.select(

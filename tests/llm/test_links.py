@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crivo.llm.components import components
 from crivo.llm.exact import exact_groups, misra_gries
-from crivo.llm.simhash import ball_masks, bucket_links, fingerprint, simhash_groups, simhash_keep
+from crivo.llm.simhash import ball_masks, bucket_bits, bucket_links, fingerprint, simhash_groups, simhash_keep
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TRICKY = [
@@ -161,3 +161,11 @@ def test_misra_gries_never_loses_a_frequent_value():
     summary = {}
     misra_gries(summary, iter(values), 7)
     assert len(summary) <= 7 and 9 in summary
+
+
+def test_buckets_stay_bounded_at_any_count():
+    for count in (0, 1_000, 5_000_000, 10**8, 10**10):
+        bits = bucket_bits(count, 2081)
+        assert count * min(2081, 1 << bits) >> bits <= 1 << 24
+        assert count * 2081 >> bits <= 1 << 27
+    assert bucket_bits(100_000, 2081) == 6

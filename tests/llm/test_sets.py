@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crivo.llm import queries, warc
+from crivo.llm import queries, sharding, warc
 from crivo.llm.mixing import mix_sources, tempered_rates, weighted_rates
 from crivo.llm.sharding import block_sizes, matrix_row, shard_rows
 from crivo.llm.urls import Rule, filter_urls, fit_url_model
@@ -290,3 +290,31 @@ def test_mix_query_and_registered_names(spark, folder):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert all(r.text_md5 == hashlib.md5(docs[r.doc_id].text.encode()).hexdigest() for r in rows)
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+
+
+def test_draws_beyond_numpys_bound_follow_the_same_law(monkeypatch):
+    good, bad, taken = 3_000, 9_000, 2_000
+    plain = np.random.default_rng(1).hypergeometric(good, bad, taken, size=4000)
+    monkeypatch.setattr(sharding, "NUMPY_BOUND", 0)
+    rng = np.random.default_rng(2)
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, taken) for _ in range(4000)])
+    assert drawn.mean() == pytest.approx(plain.mean(), abs=1.5)
+    assert drawn.std() == pytest.approx(plain.std(), rel=0.06)
+    # the ends: nothing to choose
+    assert sharding.hypergeometric(rng, 5, 0, 3) == 3
+    assert sharding.hypergeometric(rng, 0, 5, 3) == 0
+    assert sharding.hypergeometric(rng, 4, 5, 9) == 4
+    rows = np.array([sharding.matrix_row(np.array([30, 30, 40]), np.array([50, 0, 20, 30]), k, 7) for k in range(4)])
+    assert rows.sum(axis=0).tolist() == [30, 30, 40] and rows.sum(axis=1).tolist() == [50, 0, 20, 30]
+
+
+def test_matrix_of_a_hundred_terabytes_is_bounded():
+    total = 20_000_000_000
+    sizes, per = block_sizes(total, 40)
+    assert len(sizes) == 40 * per <= sharding.MOST_BLOCKS and sizes.sum() == total
+    by_shard = sizes.reshape(40, per).sum(axis=1)
+    assert by_shard.max() - by_shard.min() <= 1
+    left = np.array([total // 40] * 40)
+    drawn = sharding.draw_columns(np.random.default_rng(3), left, total // 2)
+    assert drawn.sum() == total // 2 and (drawn <= left).all()
+    assert np.abs(drawn - total // 80).max() < 200_000
