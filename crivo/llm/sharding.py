@@ -124,10 +124,11 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 42, source_rows: i
 
     matrix = spark.range(parts).select(F.col("id").cast("int").alias(source)).mapInArrow(
         rows_of, f"{source} int, ends array<array<long>>"
-    )
+    ).repartitionById(parts, F.col(source))
     repeated = Window.partitionBy(source, "doc_id", F.xxhash64("text")).orderBy("doc_id")
-    # one exchange by partition serves both windows
-    ranked = placed.repartition(source).withColumn(AGAIN, F.row_number().over(repeated)).withColumn(
+    # one exchange by partition serves both windows; a task is one partition, as hashing it again
+    # would put several into one task and leave others idle
+    ranked = placed.repartitionById(parts, F.col(source)).withColumn(AGAIN, F.row_number().over(repeated)).withColumn(
         rank, F.row_number().over(Window.partitionBy(source).orderBy(*_identity(seed, 1))) - 1
     )
     passed = lambda ends: F.size(F.filter(ends, lambda e: e <= F.col(rank)))
@@ -141,9 +142,11 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 42, source_rows: i
     # the rows of the shard's earlier blocks: as many blocks of one size come first as the remainder
     in_shard = F.lit(total // shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     before = F.col(target) * F.floor(in_shard / per) + F.least(F.col(target), in_shard % per)
-    block = Window.partitionBy("shard", target).orderBy(*_identity(seed, 2))
+    block = Window.partitionBy(target).orderBy(*_identity(seed, 2))
     return (
         dealt.withColumn(offset, before)
+        .withColumn(target, F.col("shard") * per + F.col(target))
+        .repartitionById(shards * per, F.col(target))
         .withColumn("slot", (F.col(offset) + F.row_number().over(block) - 1).cast("long"))
         .drop(target, offset, AGAIN)
     )
