@@ -28,11 +28,11 @@ def _asof():
     return F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
 
 
-def _merged(spark, folder):
-    """All traffic behind a few proxies: every fourth user under one address."""
+def _merged(spark, folder, every=4):
+    """All traffic behind a few proxies: every fourth user (or another share) under one address."""
     user = F.col("user_id")
     return requests(spark, folder).withColumn(
-        "ip", F.when(user % 4 == 0, "10.9.9.9").otherwise(F.col("ip"))
+        "ip", F.when(user % every == 0, "10.9.9.9").otherwise(F.col("ip"))
     )
 
 
@@ -197,6 +197,13 @@ def admit_requests(spark, folder):
     )
 
 
+def admit_requests_hot(spark, folder):
+    """One address owns half the traffic."""
+    return Q.admit_requests(_merged(spark, folder, 2), DAILY).select(
+        "event_id", "ip", "endpoint", "decision", "remaining", "retry_after"
+    )
+
+
 def top_ips(spark, folder):
     return Q.top_ips(requests(spark, folder))
 
@@ -213,7 +220,7 @@ QUERIES = {
         audit_statistics, audit_statistics_latest, audit_statistics_empty_type, audit_summary, retain_audit,
         audit_from_predictions, audit_from_drift, audit_from_activity, endpoint_limits, client_ip,
         sliding_request_counts, sliding_request_counts_hot, windowed_request_counts,
-        block_intervals, admit_requests, top_ips, rate_limit_stats,
+        block_intervals, admit_requests, admit_requests_hot, top_ips, rate_limit_stats,
     )
 }
 
@@ -345,3 +352,4 @@ ORACLES = {
         UNION ALL SELECT 'blocked_remaining', ip, sec FROM open_
         UNION ALL SELECT 'top_ip', ip, n FROM busy""",
 }
+ORACLES["admit_requests_hot"] = ORACLES["admit_requests"].replace("user_id % 4 = 0", "user_id % 2 = 0")

@@ -113,6 +113,11 @@ def _event_stream(spark, rows):
 
 
 def _run(spark, stream):
+    return _run_to_end(spark, stream)[0]
+
+
+def _run_to_end(spark, stream):
+    """The rows written and the finished query."""
     path = scratch_path(spark, "out")
     query = (
         stream.writeStream.format("parquet").outputMode("append")
@@ -120,7 +125,7 @@ def _run(spark, stream):
         .trigger(availableNow=True).start(path)
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path), query
 
 
 def request_count_stream(spark, folder):
@@ -139,6 +144,21 @@ def admission_stream(spark, folder):
     )
 
 
+def admission_stream_accounts(spark, folder):
+    """Every request is decided, marked late or counted as dropped; two thirds of them arrive too late."""
+    source, rows = scratch_path(spark, "requests"), _merged(spark, folder)
+    for arrival in range(3):
+        rows.filter(F.col("event_id") % 3 == arrival).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    decided, query = _run_to_end(spark, streams.admission_stream(stream, DAILY, "3 days"))
+    dropped = streams.dropped_rows(query)
+    return decided.agg(
+        (F.count("*") + dropped).alias("n_requests"),
+        (F.count_if(F.col("decision") == "late") > 0).cast("int").alias("some_late"),
+        F.lit(int(dropped > 0)).alias("some_dropped"),
+    )
+
+
 def score_stream(spark, folder):
     """Drafted proposals scored by the score alone as they arrive."""
     rows = proposals(spark, folder).select(
@@ -164,7 +184,8 @@ QUERIES = {
     for f in (
         scan_portfolio, scan_training, append_portfolio, scan_proposals_csv,
         scan_proposals_csv_by_name, write_batch_results,
-        write_audit, audit_sink, request_count_stream, admission_stream, score_stream,
+        write_audit, audit_sink, request_count_stream, admission_stream, admission_stream_accounts,
+        score_stream,
     )
 }
 
@@ -191,6 +212,7 @@ ORACLES = {
         SELECT cast(h * 3600 AS bigint) AS window_start, ip, endpoint, count(*) AS n_requests FROM w
         WHERE (h + 2) * 3600000 <= (SELECT epoch_ms(max(ts)) FROM requests) - 86400000 GROUP BY ALL""",
     "admission_stream": EVENT_SQL["admit_requests"],
+    "admission_stream_accounts": "SELECT count(*) AS n_requests, 1 AS some_late, 1 AS some_dropped FROM events",
     "score_stream": PROP + """, q AS (SELECT *, tipo_credito IN ('CDC', 'Pessoal') AS ok,
          round((950 - score) / 650.0::double, 6) AS r FROM prop)
         SELECT proposta_id, ok::int AS valid, CASE WHEN ok THEN r END AS p,

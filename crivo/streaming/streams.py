@@ -56,10 +56,25 @@ def request_count_stream(
     requests: DataFrame, window: str = "60 seconds", slide: str = "10 seconds",
     watermark: str = "65 minutes",
 ) -> DataFrame:
-    """Sliding-window request counts on event time; late rows are dropped at the watermark."""
+    """Sliding-window request counts on event time.
+
+    Late rows are dropped at the watermark and counted by ``dropped_rows``.
+    """
     return windowed_request_counts(requests, window, slide, watermark)
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows the watermark kept from the state, over the batches the query reports.
+
+    ``spark.sql.streaming.numRecentProgressUpdates`` says how many batches that are. Windowed counts
+    are summed before they meet the watermark, so there a dropped row stands for a partial count.
+    """
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for report in query.recentProgress for operator in report["stateOperators"]
+    )
+
+
 def score_stream(
     proposals: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
     available_now: bool = False,
@@ -114,7 +129,8 @@ def admission_stream(
 ) -> DataFrame:
     """Admission decisions on a request stream, state kept per address and dropped when idle.
 
-    Requests older than the last one decided for their address are marked ``late``.
+    Requests older than the last one decided for their address are marked ``late``; those older
+    than the watermark never reach the state and are counted by ``dropped_rows``.
     """
     rows = (
         requests.withColumn("ts", F.col("ts").cast("timestamp"))
