@@ -3,12 +3,14 @@
 Documents form blocks by a hash. A block asks for its distinct n-grams; the questions are shuffled
 by n-gram hash, where the counts of all blocks meet and become the count tables; the answers go
 back to the block and are summed per document. Questions of one block to one part of the tables
-travel as one packed row, so a word that is everywhere costs one entry a block.
+travel as one packed row, so a word that is everywhere costs one entry a block. Texts, questions
+and answers travel packed, as they are most of what the job writes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,44 @@ from crivo.session import ship_package
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 48
 ALPHA = 0.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return _ZSTD.compress(raw, asbytes=True)
+
+
+def unsqueeze(raw: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(raw, size, asbytes=True)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct hashes as gaps, byte by byte of all gaps: what is below the mean gap is
+    noise and stays as it is, the few bits above are compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    low = max(1, int(keys[-1] - keys[0]) // len(keys)).bit_length() // 8
+    planes = gaps.view(np.uint8).reshape(-1, 8).T
+    head = np.array([len(keys), low], dtype="<u4").tobytes()
+    return head + planes[:low].tobytes() + squeeze(planes[low:].tobytes())
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    n, low = np.frombuffer(raw, dtype="<u4", count=2).tolist()
+    high = unsqueeze(raw[8 + n * low :], (8 - low) * n)
+    planes = np.frombuffer(raw[8 : 8 + n * low] + high, dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, in the narrowest type that holds them."""
+    kind = np.min_scalar_type(int(values.max()))
+    head = np.array([len(values), kind.itemsize], dtype="<u4").tobytes()
+    return head + squeeze(values.astype(kind).tobytes())
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    n, width = np.frombuffer(raw, dtype="<u4", count=2).tolist()
+    return np.frombuffer(unsqueeze(raw[8:], n * width), dtype=f"u{width}").astype(np.int64)
 
 
 class Grams:
@@ -98,15 +138,30 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // block_bytes))
     bits = max(1, math.ceil(math.log2(blocks)))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            packed = [x if x is None else squeeze(x) for x in raw]
+            sizes = [x if x is None else len(x) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), batch.column("block")],
+                names=["doc_id", "packed", "size", "block"],
+            )
+
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(
+        pack, f"doc_id {kind}, packed binary, size long, block int"
+    )
 
     def texts(table: pa.Table) -> list[bytes | None]:
-        return table.column("text").cast(pa.binary()).to_pylist()
+        pairs = zip(table.column("packed").to_pylist(), table.column("size").to_pylist())
+        return [x if x is None else unsqueeze(x, n) for x, n in pairs]
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams = Grams(texts(table), order)
         out = [
-            (k, part, grams.keys[k][a:b].tobytes(), grams.counts[k][a:b].astype(np.int64).tobytes())
+            (k, part, pack_keys(grams.keys[k][a:b]), pack_numbers(grams.counts[k][a:b]))
             for k in range(order + 1)
             for part, a, b in grams.parts(k, bits)
         ]
@@ -122,12 +177,15 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float
         packed = table.column("keys").to_pylist(), table.column("counts").to_pylist()
         for k in np.unique(kinds).tolist():
             own = np.flatnonzero(kinds == k).tolist()
-            keys = [np.frombuffer(packed[0][i], dtype=np.uint64) for i in own]
-            counts = np.concatenate([np.frombuffer(packed[1][i], dtype=np.int64) for i in own])
+            keys = [unpack_keys(packed[0][i]) for i in own]
+            counts = np.concatenate([unpack_numbers(packed[1][i]) for i in own])
             _, index = np.unique(np.concatenate(keys), return_inverse=True)
-            every = np.bincount(index, weights=counts).astype(np.int64)[index]
+            every = np.bincount(index, weights=counts).astype(np.int64)
+            if k > 1:  # rarer n-grams count nowhere: they back off, and no known n-gram extends one
+                every[every < min_count] = 0
+            every = every[index]
             for i, piece in zip(own, np.split(every, np.cumsum([len(x) for x in keys])[:-1])):
-                totals[i] = piece.tobytes()
+                totals[i] = pack_numbers(piece)
         return pa.table({
             "block": table.column("block"), "part": table.column("part"), "n": table.column("n"),
             "totals": pa.chunked_array([pa.array(totals, pa.binary())]),
@@ -139,7 +197,8 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float
         for k, part, raw in zip(*[right.column(c).to_pylist() for c in ("n", "part", "totals")]):
             found[k].append((part, raw))
         totals = [
-            np.frombuffer(b"".join(raw for _, raw in sorted(found[k])), dtype=np.int64) for k in range(order + 1)
+            np.concatenate([np.zeros(0, dtype=np.int64), *(unpack_numbers(raw) for _, raw in sorted(found[k]))])
+            for k in range(order + 1)
         ]
         words = backoff_scores(grams, totals, order, min_count, alpha)
         ends = np.cumsum(grams.sizes)
@@ -152,7 +211,6 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float
 
     asked = blocked.groupBy("block").applyInArrow(ask, "part int, block int, n int, keys binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, n int, totals binary")
-    kind = rows.schema["doc_id"].dataType.simpleString()
     return (
         blocked.groupBy("block")
         .cogroup(answered.groupBy("block"))

@@ -103,6 +103,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+# Bigram scores (order 2) of the same operator, for tests; the registered query has order 3.
 OP6 = f"""
 WITH {_DOCS},
 words AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
@@ -121,6 +122,30 @@ SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0.0), 6) AS log_score,
 FROM docs LEFT JOIN sums USING (rid)
 """
 
+OP6_ORDER3 = f"""
+WITH {_DOCS},
+words AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
+grams AS (SELECT rid, lag(word, 2) OVER (PARTITION BY rid ORDER BY pos) AS first,
+                 lag(word) OVER (PARTITION BY rid ORDER BY pos) AS before, word FROM words),
+one AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+two AS (SELECT before, word, count(*) AS n FROM grams WHERE before IS NOT NULL GROUP BY before, word),
+three AS (SELECT first, before, word, count(*) AS n FROM grams WHERE first IS NOT NULL GROUP BY first, before, word),
+scored AS (
+  SELECT rid, CASE WHEN t.n >= 2 THEN ln(t.n / p.n)
+                   WHEN b.n >= 2 THEN ln(b.n / h.n) + CASE WHEN g.first IS NULL THEN 0 ELSE ln(0.4) END
+                   ELSE ln(o.n / (SELECT count(*) FROM words))
+                        + ln(0.4) * CASE WHEN g.first IS NOT NULL THEN 2 WHEN g.before IS NOT NULL THEN 1 ELSE 0 END
+              END AS s
+  FROM grams g JOIN one o ON o.word = g.word LEFT JOIN one h ON h.word = g.before
+  LEFT JOIN two b ON b.before = g.before AND b.word = g.word
+  LEFT JOIN two p ON p.before = g.first AND p.word = g.before
+  LEFT JOIN three t ON t.first = g.first AND t.before = g.before AND t.word = g.word),
+sums AS (SELECT rid, sum(s) AS s FROM scored GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0.0), 6) AS log_score,
+       CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_score
+FROM docs LEFT JOIN sums USING (rid)
+"""
+
 _BITS = "('0x' || substr(h, {at}, 5))::INT"
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_BITS.format(at=at)} >> {shift}) & 31) + 1, 1)"
@@ -150,7 +175,7 @@ ORACLES = {
     "op2_licenses": OP2,
     "op3_mix": OP3,
     "op5_decontaminate": OP5,
-    "op6_lm": OP6,
+    "op6_lm_order3": OP6_ORDER3,
     "op9_warc": OP9,
     "op10_exact": OP10,
 }

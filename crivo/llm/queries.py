@@ -73,8 +73,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scores(read_table(spark, sf_dir, "documents"))
+def op6_lm_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(read_table(spark, sf_dir, "documents"), order=3)
     return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_score")})
 
 
@@ -122,7 +122,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
-    "op6_lm": op6_lm,
+    "op6_lm_order3": op6_lm_order3,
     "op7_shards": op7_shards,
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,

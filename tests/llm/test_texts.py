@@ -6,15 +6,18 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crivo.llm import queries
 from crivo.llm.decontaminate import cut_spans, decontaminate, with_hits
 from crivo.llm.licenses import TEMPLATES, scan_licenses
-from crivo.llm.lm import lm_scores
+from crivo.llm.lm import lm_scores, pack_keys, pack_numbers, unpack_keys, unpack_numbers
+from crivo.llm.oracles import OP6
 from crivo.llm.toxicity import Lexicon, density, fit_lexicon, fold, held_out, with_toxicity
 
+from tests.compare import connect, difference, spark_rows, sql_rows
 from tests.llm.test_links import TRICKY, docs_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -177,6 +180,31 @@ def test_backoff_counts_very_long_and_repeated_texts(spark):
         assert got[i, n] == pytest.approx(total, rel=1e-9)
 
 
+def test_registered_lm_scores_with_trigrams(spark, tmp_path):
+    pairs = [(k, f"the cat {k % 7} sat on the mat {k % 3} the cat sat") for k in range(40)]
+    docs_of(spark, pairs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_score for r in queries.QUERIES["op6_lm_order3"](spark, str(tmp_path)).collect()}
+    shorter = {i: total for i, _, total in slow_scores(pairs, 2, 2)}
+    for i, _, total in slow_scores(pairs, 3, 2):
+        assert got[i] == pytest.approx(total, abs=1e-6) and abs(got[i] - shorter[i]) > 0.1
+
+
+def test_bigram_scores_equal_their_sql(spark, folder):
+    got = lm_scores(spark.read.parquet(f"{folder}/documents.parquet"), order=2)
+    rounded = got.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_score")})
+    assert difference(spark_rows(rounded), sql_rows(connect(folder), OP6)) is None
+
+
+def test_packed_counts_come_back(spark):
+    draw = np.random.default_rng(5)
+    for n, low in ((1, 0), (2, 0), (5000, 0), (5000, 1 << 63), (70_000, 1 << 40)):
+        keys = np.unique(draw.integers(low, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        assert (unpack_keys(pack_keys(keys)) == keys).all()
+    for top in (0, 1, 255, 256, 1 << 20, 1 << 40):
+        values = np.append(draw.integers(0, top + 1, 999), top)
+        assert (unpack_numbers(pack_numbers(values)) == values).all()
+
+
 def test_folding_undoes_homoglyphs_and_digits():
     assert fold("1D10T") == "idiot" and fold("m0r0n") == "moron" and fold("іdіоt") == "idiot"
     assert fold("ｉｄｉｏｔ") == "idiot" and fold("in 2024 we sold 15") == "in 2024 we sold 15"
