@@ -19,7 +19,8 @@ from crivo.sources import files
 from crivo.sources.star import proposals, raw_proposals, table
 
 KEY = ["proposta_id"]
-# Small recipes for the registered runs; the presets are the library defaults.
+# Small recipes of the queries named _short and of the run they share. The functions in WHOLE run
+# the presets and are timed by `bench.py --full`.
 QUICK = {"maxIter": 8, "maxDepth": 4}
 _MODELS: dict = {}
 
@@ -57,12 +58,16 @@ def assemble_features(spark, folder):
     )
 
 
-def train_gbt(spark, folder):
-    run = M.fitted_run(proposals(spark, folder), KEY, **QUICK)
+def train_gbt(spark, folder, **recipe):
+    run = M.fitted_run(proposals(spark, folder), KEY, **recipe)
     return _report(run.model, run.metrics)
 
 
-def feature_importance_top(spark, folder):
+def train_gbt_short(spark, folder):
+    return train_gbt(spark, folder, **QUICK)
+
+
+def feature_importance_top_short(spark, folder):
     """The ten largest importances: in order, distinct, and known by name."""
     run = _trained(spark, folder)
     top = [tuple(r) for r in M.importances(run.model, spark, 10).collect()]
@@ -76,34 +81,42 @@ def feature_importance_top(spark, folder):
     )
 
 
-def train_regularised(spark, folder):
-    recipe = M.REGULARISED | {"maxIter": 6, "maxDepth": 4}
-    run = M.fitted_run(proposals(spark, folder), KEY, **recipe)
-    return _report(run.model, run.metrics)
+def train_regularised(spark, folder, **recipe):
+    return train_gbt(spark, folder, **(M.REGULARISED | recipe))
+
 
+def train_regularised_short(spark, folder):
+    return train_regularised(spark, folder, maxIter=6, maxDepth=4)
 
-def train_early_stopping(spark, folder):
+
+def train_early_stopping(spark, folder, **recipe):
     """Stops on a part of the training rows and reports on rows it has not seen."""
     rows = _held_out(M.assemble_features(proposals(spark, folder)))
     parts = S.stratified_folds(rows, KEY, 5).withColumn("checks", F.col("fold") == 0)
-    model, losses = M.train_with_patience(
-        parts.filter(~F.col("is_test")), "checks", patience=3, maxIter=12, maxDepth=3, stepSize=0.3
-    )
+    model, losses = M.train_with_patience(parts.filter(~F.col("is_test")), "checks", **recipe)
     shown = _report(model, M.evaluate(model, rows.filter("is_test")))
     upto = losses[: model.getNumTrees]
     return shown.drop("n_trees").withColumn("best_round", F.lit(int(upto[-1] == min(upto))))
 
 
-def train_compact(spark, folder):
+def train_early_stopping_short(spark, folder):
+    return train_early_stopping(spark, folder, patience=3, maxIter=12, maxDepth=3, stepSize=0.3)
+
+
+def train_compact(spark, folder, **recipe):
     table_ = G.enrich_portfolio(G.make_base(_ids(spark, folder)))
     encoder = E.fit_label_encoder(table_, K.COMPACT_ENCODED)
     rows = M.assemble_compact(table_, encoder)
-    model = M.train_gbt(rows, **QUICK)
+    model = M.train_gbt(rows, **recipe)
     return M.importances(
         model, spark, 12, K.COMPACT_NUMERIC + tuple(f"{c}_encoded" for c in K.COMPACT_ENCODED)
     )
 
 
+def train_compact_short(spark, folder):
+    return train_compact(spark, folder, **QUICK)
+
+
 def train_forest(spark, folder):
     rows = _held_out(proposals(spark, folder))
     model = M.train_forest(rows.filter(~F.col("is_test")))
@@ -111,11 +124,10 @@ def train_forest(spark, folder):
     return _report(model, M.evaluation_summary(scored.select("p", "inadimplente")))
 
 
-def tune(spark, folder):
-    """A short search over all parameters; the trials in order, each inside the space."""
+def tune(spark, folder, **search):
+    """A search over all parameters; the trials in order, each inside the space."""
     rows = M.assemble_features(proposals(spark, folder))
-    space = M.SPACE | {"maxIter": (2, 4, False), "maxDepth": (2, 3, False)}
-    model, trials = M.tune(rows, KEY, n=2, folds=3, space=space)
+    model, trials = M.tune(rows, KEY, **search)
     best = trials.agg(F.max("mean_auc")).scalar()
     return trials.select(
         "trial", F.col("mean_auc").between(0.7, 1.0).cast("int").alias("auc_ok"),
@@ -124,7 +136,12 @@ def tune(spark, folder):
     )
 
 
-def evaluate_model(spark, folder):
+def tune_short(spark, folder):
+    space = M.SPACE | {"maxIter": (2, 4, False), "maxDepth": (2, 3, False)}
+    return tune(spark, folder, n=2, space=space)
+
+
+def evaluate_model_short(spark, folder):
     """The counts of the report by the rows' own probabilities, and rates that follow from them."""
     run = _trained(spark, folder)
     rows = _held_out(proposals(spark, folder)).filter("is_test")
@@ -144,7 +161,7 @@ def evaluate_model(spark, folder):
     )
 
 
-def score_batch(spark, folder):
+def score_batch_short(spark, folder):
     """Every draft back, with its errors, and responses that follow from the probability."""
     rows = _trained(spark, folder).score(drafts(spark, folder))
     p = F.col("probability")
@@ -161,21 +178,21 @@ def score_batch(spark, folder):
     )
 
 
-def score_batch_counters(spark, folder):
+def score_batch_counters_short(spark, folder):
     rows = drafts(spark, folder).withColumn("batch_id", F.floor(F.col("proposta_id") / 900))
     return R.batch_counters(_trained(spark, folder).score(rows), "batch_id")
 
 
-def expected_vs_actual(spark, folder):
+def expected_vs_actual_short(spark, folder):
     run = _trained(spark, folder)
     return M.expected_vs_actual(run.model, M.profile_rows(spark), run.encoder)
 
 
-def extreme_profiles(spark, folder):
+def extreme_profiles_short(spark, folder):
     return M.extreme_profiles(_trained(spark, folder).model, spark)
 
 
-def save_model_run(spark, folder):
+def save_model_run_short(spark, folder):
     """A saved and reloaded run reports the very metrics of its training run."""
     run = _trained(spark, folder)
     path = scratch_path(spark, "run")
@@ -304,7 +321,7 @@ def generated_rules(spark, folder):
     return S.union_slices([portfolio, large, minimal, demo, windows, flat])
 
 
-def held_out_counts(spark, folder):
+def held_out_counts_short(spark, folder):
     """Held-out rows and defaults the evaluation has seen."""
     return _trained(spark, folder).metrics.select(
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
@@ -313,7 +330,7 @@ def held_out_counts(spark, folder):
     )
 
 
-def scored_responses(spark, folder):
+def scored_responses_short(spark, folder):
     """Responses of valid rows, counted by whether they agree with their probability."""
     rows = _trained(spark, folder).score(drafts(spark, folder))
     p = F.col("probability")
@@ -334,13 +351,16 @@ def scored_responses(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        assemble_features, train_gbt, feature_importance_top, train_regularised, train_early_stopping, train_compact,
-        train_forest, tune, evaluate_model, score_batch, score_batch_counters, expected_vs_actual,
-        extreme_profiles, save_model_run, append_model_metrics, make_portfolio,
-        make_portfolio_large, make_minimal, enrich_portfolio, enrich_portfolio_windows, make_flat,
-        generated_rules, held_out_counts, scored_responses,
+        assemble_features, train_gbt_short, feature_importance_top_short, train_regularised_short,
+        train_early_stopping_short, train_compact_short, train_forest, tune_short, evaluate_model_short,
+        score_batch_short, score_batch_counters_short, expected_vs_actual_short, extreme_profiles_short,
+        save_model_run_short, append_model_metrics, make_portfolio, make_portfolio_large, make_minimal,
+        enrich_portfolio, enrich_portfolio_windows, make_flat, generated_rules, held_out_counts_short,
+        scored_responses_short,
     )
 }
+# The whole recipes: presets uncut, 20 trials over the whole space.
+WHOLE = {f.__name__: f for f in (train_gbt, train_regularised, train_early_stopping, train_compact, tune)}
 
 _TEST = PROP + f""", test AS (SELECT * FROM prop WHERE {_hash_sql(42)} < '333333333333333')"""
 
@@ -352,26 +372,26 @@ def _trees(trees, features):
 
 
 ORACLES = {
-    "train_gbt": _trees(8, 21),
-    "train_regularised": _trees(6, 21),
+    "train_gbt_short": _trees(8, 21),
+    "train_regularised_short": _trees(6, 21),
     "train_forest": _trees(10, 9),
-    "train_early_stopping": _TEST + """SELECT 21 AS n_features, 1.0 AS importance_sum, 0 AS n_negative,
+    "train_early_stopping_short": _TEST + """SELECT 21 AS n_features, 1.0 AS importance_sum, 0 AS n_negative,
         count(*) AS n_test, count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok,
         1 AS best_round FROM test""",
-    "feature_importance_top": PROP + """ SELECT count(*) AS n_rows, 10 AS n_top, 10 AS n_known,
+    "feature_importance_top_short": PROP + """ SELECT count(*) AS n_rows, 10 AS n_top, 10 AS n_known,
         1 AS ordered, 1 AS served FROM prop""",
-    "tune": """SELECT unnest([0, 1]) AS trial, 1 AS auc_ok, 1 AS "maxIter", 1 AS "stepSize", 1 AS "maxDepth",
+    "tune_short": """SELECT unnest([0, 1]) AS trial, 1 AS auc_ok, 1 AS "maxIter", 1 AS "stepSize", 1 AS "maxDepth",
         1 AS "minInstancesPerNode", 1 AS "subsamplingRate", 1 AS "featureSubsetStrategy",
         21 AS n_features, 1 AS best_ok""",
-    "evaluate_model": _TEST + """SELECT count(*) AS n_test, 1 AS same_counts, 1 AS recall_ok, 1 AS ks_ok FROM test""",
-    "score_batch": _CHECKED + """ SELECT proposta_id, CASE WHEN erros = '' THEN 1 ELSE 0 END AS ok, erros,
+    "evaluate_model_short": _TEST + """SELECT count(*) AS n_test, 1 AS same_counts, 1 AS recall_ok, 1 AS ks_ok FROM test""",
+    "score_batch_short": _CHECKED + """ SELECT proposta_id, CASE WHEN erros = '' THEN 1 ELSE 0 END AS ok, erros,
         CASE WHEN erros = '' THEN 1 ELSE 0 END AS scored, 1 AS follows, 10 AS n_explained FROM checked""",
-    "save_model_run": _TEST + """SELECT 1 AS n_versions, 2 AS n_reports, count(*) AS n_test, 21 AS n_features,
+    "save_model_run_short": _TEST + """SELECT 1 AS n_versions, 2 AS n_reports, count(*) AS n_test, 21 AS n_features,
         'GBTClassificationModel' AS model_type, 21 AS n_named FROM test""",
     "assemble_features": PROP + """ SELECT proposta_id, 21 AS n, idade, score,
         CASE tipo_credito WHEN 'CDC' THEN 0 WHEN 'Imobiliário' THEN 1 WHEN 'Cartão' THEN 2 ELSE 3 END
         AS tipo_credito_encoded FROM prop""",
-    "score_batch_counters": _CHECKED + """ SELECT cast(floor(proposta_id / 900) AS bigint) AS batch_id,
+    "score_batch_counters_short": _CHECKED + """ SELECT cast(floor(proposta_id / 900) AS bigint) AS batch_id,
         count(*) AS total, count(CASE WHEN erros = '' THEN 1 END) AS success,
         count(CASE WHEN erros <> '' THEN 1 END) AS failed FROM checked GROUP BY 1""",
     "append_model_metrics": PROP + """ SELECT '2.0.0' AS model_version, tipo_credito AS metric_name,
@@ -381,9 +401,9 @@ ORACLES = {
     "generated_rules": """SELECT tabela, count(*) AS n_rows, count(*) AS n_kept FROM orders
         JOIN (VALUES ('portfolio'), ('large'), ('minimal'), ('demo'), ('windows'), ('flat')) t(tabela) ON true
         GROUP BY tabela""",
-    "held_out_counts": PROP + f""" SELECT count(*) AS n_test,
+    "held_out_counts_short": PROP + f""" SELECT count(*) AS n_test,
         count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok
         FROM prop WHERE {_hash_sql(42)} < '{S.share_edge(0.2)}'""",
-    "scored_responses": _CHECKED + """ SELECT count(*) AS n_rows, count(CASE WHEN erros = '' THEN 1 END) AS n_valid,
+    "scored_responses_short": _CHECKED + """ SELECT count(*) AS n_rows, count(CASE WHEN erros = '' THEN 1 END) AS n_valid,
         count(CASE WHEN erros <> '' THEN 1 END) AS n_invalid FROM checked""",
 }

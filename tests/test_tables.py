@@ -330,3 +330,27 @@ def test_profiles_are_judged(spark):
     passed = sum(r.status != "fail" for r in judged) / 6
     assert all(r.conjunto_ok == (passed >= 0.8) for r in judged)
     assert M.extreme_profiles(model, spark).count() == 2
+
+
+def test_cut_recipes_are_named_short(spark, folder, monkeypatch):
+    from crivo.catalog import model_queries as Q
+
+    class Asked(Exception):
+        pass
+
+    def stop(*_, **given):
+        raise Asked({k: v for k, v in given.items() if M.REGULARISED.get(k) != v})
+
+    for name in ("fitted_run", "train_gbt", "train_with_patience", "tune"):
+        monkeypatch.setattr(M, name, stop)
+    monkeypatch.setattr(Q, "_MODELS", {})
+
+    def cut(query):
+        try:
+            query(spark, folder)
+        except Asked as asked:
+            return asked.args[0]
+
+    registered = {n: f for n, f in Q.QUERIES.items() if n not in ("append_model_metrics", "train_forest")}
+    assert {n for n, f in registered.items() if cut(f)} == {n for n in registered if n.endswith("_short")}
+    assert {n: cut(f) for n, f in Q.WHOLE.items()} == dict.fromkeys(Q.WHOLE, {})
