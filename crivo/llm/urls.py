@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lengths of the character n-grams and buckets they are hashed to.
@@ -77,13 +77,18 @@ def _features(urls: DataFrame, url: str) -> DataFrame:
 
 
 def fit_url_model(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel:
-    """Fits on `url`, `block` (0 or 1) of at most `sample` labelled rows, the first by URL hash.
+    """Fits on `url`, `block` (0 or 1) of at most `sample` labelled rows.
 
-    Rows without a label are left out; one class, or no rows, gives a model of that class or one
+    Half of them are of either class, the first by URL hash, and more of one only where the other
+    has no more, so a rare class is not missed. Rows without a label are left out; one class, or no rows, gives a model of that class or one
     that blocks nothing.
     """
     rows = labelled.filter("block is not null").select("url", F.col("block").cast("double").alias("label")).distinct()
-    rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(sample)
+    order = [F.xxhash64("url"), "url"]
+    first = [rows.filter(F.col("label") == c).orderBy(*order).limit(sample) for c in (0, 1)]
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    rows = first[0].unionByName(first[1]).withColumn("__llm_turn", turn)
+    rows = rows.orderBy("__llm_turn", "label").limit(sample).drop("__llm_turn")
     if rows.isEmpty():
         rows = labelled.sparkSession.createDataFrame([("", 0.0)], "url string, label double")
     stages = [

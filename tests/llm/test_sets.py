@@ -181,6 +181,15 @@ def test_url_model_learns_held_out_hosts(spark):
     assert right >= 0.97 * len(rows)
 
 
+def test_url_model_learns_a_class_of_one_in_a_thousand(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(8))
+    urls = [(k, f"https://{'casino-' if k % 1000 == 0 else ''}{word()}.net/{word()}", int(k % 1000 == 0)) for k in range(8000)]
+    table = spark.createDataFrame(urls, "page_id long, url string, block int")
+    rows = filter_urls(table, (), fit_url_model(table, sample=100)).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == {k for k, _, block in urls if block}
+
+
 def test_url_models_without_examples(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = fit_url_model(spark.createDataFrame([], "url string, block int"))
