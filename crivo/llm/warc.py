@@ -23,8 +23,6 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES, CHUNK = 16 << 20, 1 << 18
 #: Size at which a task starts another archive.
 ARCHIVE_BYTES = 1 << 30
-#: Decoded bytes in which the header of a record must end.
-HEADER_LIMIT = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COLUMNS = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -167,7 +165,7 @@ def _header_end(raw: bytes) -> int:
     end = raw.find(b"\r\n\r\n")
     if end >= 0:
         return end + 4 if b"\r\nWARC-Type: " in raw[:end] else -1
-    return 0 if len(raw) < HEADER_LIMIT else -1
+    return 0
 
 
 def _member(view: View) -> bytes | None:
@@ -187,7 +185,7 @@ def _member(view: View) -> bytes | None:
             return None
         used += len(piece) - len(decoder.unused_data)
         if not checked:
-            end = _header_end(bytes(out[:HEADER_LIMIT]))
+            end = _header_end(bytes(out))
             if end < 0:
                 return None
             checked = end > 0
@@ -250,7 +248,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     Archives are cut into byte ranges; a task searches its range for the magic of a gzip member,
     decodes candidates until the header proves a record, and owns the records that start inside.
-    An empty manifest gives no rows.
+    An empty manifest gives no rows. If the manifest has `records`, they are counted first, and
+    another number than its sum is an error.
     """
     ship_package(manifest.sparkSession)
     cuts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
@@ -272,7 +271,22 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return ranges.repartition(int(tasks)).mapInArrow(read, DDL)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = 0
+            for path, size, start in zip(*[c.to_pylist() for c in batch.columns]):
+                files, place = fs.FileSystem.from_uri(path)
+                with files.open_input_file(place) as source:
+                    found += sum(1 for _ in members(source, start, min(start + split_bytes, size)))
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["n"])
+
+    dealt = ranges.repartition(int(tasks))
+    if "records" in manifest.columns:
+        written = manifest.agg(F.sum("records")).first()[0] or 0
+        found = dealt.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        if found != written:
+            raise ValueError(f"{found} records in archives of {written}")
+    return dealt.mapInArrow(read, DDL)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -236,6 +236,15 @@ def test_warc_round_trip(spark, least, split, archive):
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
 
 
+def test_warc_keeps_long_headers_and_counts_records(spark):
+    url = "http://a/" + "".join(random.Random(4).choices("abcdefgh", k=1_200_000))
+    pages = spark.createDataFrame([(1, url, "x"), (2, "http://b/", "y")], "page_id long, url string, html string")
+    manifest = warc.write_warc(pages.coalesce(1), scratch_path(spark, "w"))
+    assert {r.page_id: r.url for r in warc.read_warc(manifest).collect()} == {1: url, 2: "http://b/"}
+    with pytest.raises(ValueError, match="2 records in archives of 3"):
+        warc.read_warc(manifest.withColumn("records", F.lit(3)))
+
+
 def test_warc_of_nothing(spark):
     manifest = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), scratch_path(spark, "w"))
     assert manifest.count() == 0 and warc.read_warc(manifest).count() == 0
