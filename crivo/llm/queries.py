@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from crivo.llm.licenses import scan_licenses
 from crivo.llm.lm import lm_scores
 from crivo.llm.mixing import mix_sources, tempered_rates
 from crivo.llm.oracles import ORACLES
+from crivo.llm.packing import pack_documents
 from crivo.llm.sharding import shard_rows
 from crivo.llm.simhash import simhash_groups
 from crivo.llm.toxicity import THRESHOLD, fit_lexicon, held_out, with_toxicity
@@ -109,6 +111,14 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), vocabulary)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -127,5 +137,6 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_exact": op10_exact,
+    "op13_pack": op13_pack,
     "pipeline": pipeline,
 }
