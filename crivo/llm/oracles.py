@@ -170,7 +170,72 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-#: Not here: fingerprint links (1), the learned scores (4, 8) and random shards (7) have no SQL twin.
+# CRC-32 of ASCII text, by its table of 256 remainders; the query joins crc_table.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS remainders)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length({0}) + 1), lambda i: ascii(({0})[i])::BIGINT)),
+    lambda a, b: xor(a >> 8, remainders[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+def _sized(column):
+    text = f"cast({column} AS varchar)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars):
+    return "sha256(" + " || ".join(_sized(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+docs AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+         CASE WHEN {_CRC.format('cast(doc_id AS varchar)')} % 7 = 0 AND n_chars IS NOT NULL
+              THEN {_leaf('(n_chars + 1)')} END AS wrong
+  FROM documents, crc_table),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM docs),
+up AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS lvl, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM over WHERE n > 1 GROUP BY lvl, pos // 2, n),
+steps AS (
+  SELECT l.doc_id, l.leaf, t.lvl AS step, (l.pos >> t.lvl) % 2 = 1 AS is_right, s.h
+  FROM leaves l JOIN (SELECT DISTINCT lang, lvl, n FROM up WHERE n > 1) t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = t.lvl AND s.pos = xor(l.pos >> t.lvl, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, 1000 + t.lvl, (r.pos >> t.lvl) % 2 = 1, s.h
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang
+  CROSS JOIN (SELECT DISTINCT lvl, n FROM over WHERE n > 1) t
+  LEFT JOIN over s ON s.lvl = t.lvl AND s.pos = xor(r.pos >> t.lvl, 1)),
+proofs AS (
+  SELECT doc_id, leaf, coalesce(string_agg(h, '' ORDER BY step), '') AS proof,
+         list({{'h': h, 'is_right': is_right}} ORDER BY step) AS path
+  FROM steps GROUP BY doc_id, leaf),
+folded AS (
+  SELECT l.doc_id, l.leaf, r.h AS subroot, (SELECT h FROM over WHERE n = 1) AS root,
+         sha256(coalesce(p.proof, '')) AS proof_sha256,
+         list_reduce(list_prepend({{'h': coalesce(l.wrong, l.leaf), 'is_right': false}}, p.path),
+           lambda a, b: {{'h': sha256(CASE WHEN b.h IS NULL THEN a.h WHEN b.is_right THEN b.h || a.h ELSE a.h || b.h END),
+                          'is_right': false}}).h AS folded_root
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang
+  JOIN proofs p ON p.doc_id IS NOT DISTINCT FROM l.doc_id AND p.leaf = l.leaf)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+#: Not here: fingerprint links (1), the learned scores (4, 8), random shards (7) and packing by
+#: tokenizer ids (13) have no SQL twin.
 ORACLES = {
     "op2_licenses": OP2,
     "op3_mix": OP3,
@@ -178,4 +243,5 @@ ORACLES = {
     "op6_lm_order3": OP6_ORDER3,
     "op9_warc": OP9,
     "op10_exact": OP10,
+    "op11_merkle": OP11,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crivo.llm.common import read_table
@@ -11,6 +11,7 @@ from crivo.llm.decontaminate import with_hits
 from crivo.llm.exact import exact_groups
 from crivo.llm.licenses import scan_licenses
 from crivo.llm.lm import lm_scores
+from crivo.llm.merkle import build_manifest, folded, leaf_digest, prove
 from crivo.llm.mixing import mix_sources, tempered_rates
 from crivo.llm.oracles import ORACLES
 from crivo.llm.packing import pack_documents
@@ -111,6 +112,34 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    wrong = leaf_digest("doc_id", "source", "lang", F.col("n_chars") + 1, "text")
+    leaves = docs.select(
+        "doc_id",
+        F.col("lang").alias("tree"),
+        leaf_digest("doc_id", "source", "lang", "n_chars", "text").alias("digest"),
+        F.when(tampered, wrong).alias("wrong"),
+    )
+    manifest = build_manifest(leaves, ["doc_id"])
+    proved = prove(manifest).withColumn("claimed", F.coalesce("wrong", "digest"))
+    checked = proved.withColumn("folded", folded("claimed"))
+
+    def text(column: str) -> Column:
+        return F.lower(F.hex(column))
+
+    return checked.select(
+        "doc_id",
+        text("digest").alias("leaf"),
+        text("subroot").alias("subroot"),
+        F.lit(manifest.root).cast("string").alias("root"),
+        F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (text("folded") == F.lit(manifest.root)).alias("verified"),
+    )
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = pack_documents(read_table(spark, sf_dir, "documents"), vocabulary)
@@ -137,6 +166,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_exact": op10_exact,
+    "op11_merkle": op11_merkle,
     "op13_pack": op13_pack,
     "pipeline": pipeline,
 }
