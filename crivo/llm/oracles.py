@@ -234,6 +234,90 @@ folded AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
+_GIVEN = "coalesce(cast({} AS varchar), ' ')"
+
+
+def _edit(state, letter, cost, piece=None):
+    """A state's cheapest path so far with one more edit; `piece` is what the edit leaves standing."""
+    kept = f"{state}.r" if piece is None else f"({state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {piece})"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {kept}}}"
+
+
+_NEVER = "{'c': 1000000000, 'a': '', 'r': ''}"
+_ROLE = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+
+
+def _least(*paths):
+    return "list_min([" + ", ".join(paths) + "])"
+
+
+def _insert(state, number):
+    return _edit(state, "I", 3, f"'{_ROLE[number]}:'")
+
+
+def _stay(letter, number, states, initial=None):
+    """Keeping or reroling from one of several states."""
+    piece = "(role || ':' || text)" if initial else f"('{_ROLE[number]}:' || text)"
+    fits = f"fault <> 'dead' AND initial = '{initial}'" if initial else "fault <> 'dead'"
+    cost = ("0" if initial else "3") + " + CASE WHEN fault = 'cut' THEN 3 ELSE 0 END"
+    return [f"CASE WHEN {fits} THEN {_edit(s, letter, f'({cost})', piece)} ELSE {_NEVER} END" for s in states]
+
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+dealt AS (
+  SELECT conv_id, turn, {_GIVEN.format('role')} AS role, {_GIVEN.format('text')} AS text,
+         {_CRC.format("(" + _GIVEN.format('conv_id') + " || ':' || " + _GIVEN.format('turn') + ")")} % 20 AS sort
+  FROM conversations, crc_table),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN sort = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN sort = 1 THEN '' WHEN sort = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt CROSS JOIN range(2) AS copy(k) WHERE sort <> 0 AND (k = 0 OR sort = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM broken),
+judged AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, substr(role, 1, 1) AS initial,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM numbered),
+kinds AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'cut' ELSE '' END AS kind
+  FROM judged),
+faulty AS (
+  SELECT *, CASE WHEN kind IN ('blank', 'duplicate') THEN 'dead' ELSE kind END AS fault FROM kinds),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {_NEVER} AS s1, {_NEVER} AS s2, {_NEVER} AS s3
+  FROM faulty
+  UNION ALL
+  SELECT conv_id, i, {_edit('s0', 'D', 4)},
+         {_least(_edit('s1', 'D', 4), *_stay('K', 0, ['s0'], 's'))},
+         {_least(_edit('y2', 'D', 4), *_stay('K', 0, ['s0', 's1', 'y3'], 'u'), *_stay('R', 0, ['s0', 's1', 'y3']))},
+         {_least(_edit('y3', 'D', 4), *_stay('K', 2, ['y2'], 'a'), *_stay('R', 2, ['y2']))}
+  FROM (
+    SELECT *, {_least('x2', _insert('x3', 3))} AS y2, {_least('x3', _insert('x2', 2))} AS y3
+    FROM (
+      SELECT f.conv_id, f.i, f.role, f.text, f.initial, f.fault, s0, s1,
+             {_least('s2', _insert('s0', 0), _insert('s1', 1), _insert('s3', 3))} AS x2,
+             {_least('s3', _insert('s2', 2))} AS x3
+      FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+ends AS (
+  SELECT conv_id, {_least('s0', 's3', _insert('s2', 2), _insert(f"({_insert('s1', 1)})", 2))} AS best
+  FROM walk w WHERE i = (SELECT max(i) FROM faulty f WHERE f.conv_id IS NOT DISTINCT FROM w.conv_id)),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE kind = 'cut') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 #: Not here: fingerprint links (1), the learned scores (4, 8), random shards (7) and packing by
 #: tokenizer ids (13) have no SQL twin.
 ORACLES = {
@@ -244,4 +328,5 @@ ORACLES = {
     "op9_warc": OP9,
     "op10_exact": OP10,
     "op11_merkle": OP11,
+    "op12_repair": OP12,
 }

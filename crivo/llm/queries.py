@@ -15,6 +15,7 @@ from crivo.llm.merkle import build_manifest, folded, leaf_digest, prove
 from crivo.llm.mixing import mix_sources, tempered_rates
 from crivo.llm.oracles import ORACLES
 from crivo.llm.packing import pack_documents
+from crivo.llm.repair import damaged, repair_report
 from crivo.llm.sharding import shard_rows
 from crivo.llm.simhash import simhash_groups
 from crivo.llm.toxicity import THRESHOLD, fit_lexicon, held_out, with_toxicity
@@ -140,6 +141,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = repair_report(damaged(rows))
+    every = rows.select("conv_id").distinct()
+    out = every.join(report, every["conv_id"].eqNullSafe(report["conv"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = pack_documents(read_table(spark, sf_dir, "documents"), vocabulary)
@@ -167,6 +182,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_exact": op10_exact,
     "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
     "op13_pack": op13_pack,
     "pipeline": pipeline,
 }
