@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crivo.session import stored
 
 __all__ = [
-    "SEPARATORS", "WORD_BYTES", "fold_ascii", "hash_unit", "read_table", "split_words", "stored", "without",
+    "SEPARATORS", "WORD_BYTES", "fold_ascii", "hash_unit", "read_table", "row_digest", "split_words", "stored", "without",
     "words_of",
 ]
 
@@ -52,6 +52,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def row_digest(columns: list[str]) -> Column:
+    """MD5 as bytes of a whole row: every value by its length, nulls apart from empty texts."""
+    values = [F.col(f"`{c}`").cast("string") for c in columns]
+    sized = [F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    return F.unhex(F.md5(F.concat(*sized)))
+
+
 def hash_unit(*parts: Column | str) -> Column:
     """Uniform number in [0, 1) from MD5 of the parts joined by colons; 52 bits, so exact."""
     text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

@@ -8,12 +8,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import hash_unit, stored, without
+from crivo.llm.common import hash_unit, row_digest, stored, without
 
 #: Largest mean inverted at once; a larger rate is the sum of equal independent draws.
 STEP = 16.0
 #: Terms of the inverted distribution; at a mean of 16 the rest is under 2e-16.
 TERMS = 64
+#: Equal rows that one task writes out.
+BLOCK = 4096
 #: Copies of the table of rates, so that a hot source is joined by as many groups of rows.
 SALTS = 64
 
@@ -63,20 +65,47 @@ def _cumulative(mean: Column) -> Column:
     return F.aggregate(ks, state(first, F.array(first)), term, lambda now: now["all"])
 
 
+def _numbered(docs: DataFrame, digest: str, number: str) -> DataFrame:
+    """The rows with their digest and their number among equal rows, from 0.
+
+    Equal rows are found by counting digests; of those found more than once one row is kept a task
+    and a digest, and the rest is written out again from it in blocks over many tasks. So neither
+    the counting nor the numbering gathers a group of equal rows.
+    """
+    marked = docs.withColumn(digest, row_digest(docs.columns))
+    counted = marked.groupBy(digest).agg(F.count("*").alias("__llm_times")).filter("__llm_times > 1")
+    often = stored(counted, "repeated")
+    single = marked.join(often, digest, "left_anti").withColumn(number, F.lit(0).cast("long"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.join(often, digest).groupBy(digest).agg(F.first(whole).alias("__llm_row"), F.first("__llm_times").alias("__llm_times"))
+    blocks = kept.withColumn("__llm_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__llm_times - 1) div {BLOCK}"))))
+    first = F.col("__llm_block") * BLOCK
+    last = F.least(first + BLOCK, F.col("__llm_times")) - 1
+    again = (
+        blocks.repartition(F.xxhash64(digest, "__llm_block"))
+        .withColumn(number, F.explode(F.sequence(first, last)))
+        .select(*[F.col("__llm_row")[c].alias(c) for c in docs.columns], digest, number)
+    )
+    return single.unionByName(again)
+
+
 def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 42, copy_column: str | None = "copy", partitions: int | None = None) -> DataFrame:
     """Every document as often as a Poisson draw with its source's mean rate says, shuffled.
 
     Returns the documents' columns and, if named, the running number of the copy from 0 (a column
-    of that name is replaced). A draw inverts the distribution at a number hashed from seed and
-    doc_id, so it is the same wherever and whenever the row is processed; rows that repeat a doc_id
-    repeat its draw, and null doc_ids share one. A source without a rate, or with a null one, is
-    left out; a null source joins the null entry. An empty table gives no rows.
+    of that name is replaced). A draw inverts the distribution at a number hashed from the seed, the
+    whole row and its number among equal rows, so it is the same wherever and whenever the row is
+    processed, and rows draw independently whatever their doc_id: null and repeated ids are as good
+    as any. A source without a rate, or with a null one, is left out; a null source joins the null
+    entry. Null and empty texts are documents, and a text of any length is hashed once and copied
+    whole. An empty table gives no rows.
 
     The rates join on source and salt, so that a source with a third of the rows is not one task's
     work. The copies are dealt to partitions by a hash and ordered within by another: a uniform
     global shuffle without a global sort.
     """
     salt, means, draws, n = "__llm_salt", "__llm_cdf", "__llm_draws", "__llm_copy"
+    digest, number = "__llm_digest", "__llm_number"
     base = without(docs, copy_column) if copy_column else docs
     steps = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     inverted = (
@@ -88,12 +117,13 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 42, copy_column:
             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__llm_salted"),
         )
     )
-    salted = base.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+    numbered = _numbered(base, digest, number)
+    salted = numbered.withColumn(salt, F.pmod(F.xxhash64(digest, number), F.lit(SALTS)).cast("int"))
     same = F.col("source").eqNullSafe(F.col("__llm_source")) & (F.col(salt) == F.col("__llm_salted"))
-    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    identity = F.lower(F.hex(digest))
 
     def one_draw(j: Column) -> Column:
-        u = hash_unit(F.lit(str(seed)), identity, j)
+        u = hash_unit(F.lit(str(seed)), identity, F.col(number), j)
         return F.size(F.filter(F.col(means), lambda c: c <= u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda acc, j: acc + one_draw(j))
@@ -104,7 +134,7 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 42, copy_column:
         .withColumn(n, F.explode(F.sequence(F.lit(0), F.col(draws) - 1)))
         .drop(salt, means, draws, "__llm_source", "__llm_salted")
     )
-    key = [F.xxhash64(F.lit(f"{seed}/{turn}"), "doc_id", "text", n) for turn in ("deal", "order")]
+    key = [F.xxhash64(F.lit(f"{seed}/{turn}"), digest, number, n) for turn in ("deal", "order")]
     dealt = drawn.repartition(partitions, key[0]) if partitions else drawn.repartition(key[0])
-    mixed = dealt.sortWithinPartitions(key[1], "doc_id", n)
+    mixed = dealt.sortWithinPartitions(key[1], digest, number, n).drop(digest, number)
     return mixed.withColumnRenamed(n, copy_column) if copy_column else mixed.drop(n)

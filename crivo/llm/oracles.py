@@ -62,7 +62,12 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM docs LEFT JOIN found USING (rid)
 """
 
-OP3 = """
+def _sized(column):
+    text = f"cast({column} AS varchar)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+OP3 = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (
   SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
@@ -72,14 +77,19 @@ terms AS (
   UNION ALL
   SELECT source, steps, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM terms WHERE k < 63),
 turns AS (SELECT source, unnest(range(1, steps + 1)) AS j FROM steps),
+numbered AS (
+  SELECT *, md5({_sized('doc_id')} || {_sized('text')} || {_sized('lang')} || {_sized('source')} || {_sized('n_chars')}) AS digest,
+         row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1 AS number
+  FROM documents),
 draws AS (
-  SELECT d.doc_id, d.source, d.text, j,
-         ('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM documents d JOIN turns t ON d.source IS NOT DISTINCT FROM t.source),
+  SELECT d.doc_id, d.source, d.text, d.digest, d.number, j,
+         ('0x' || substr(md5('42:' || digest || ':' || number || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM numbered d JOIN turns t ON d.source IS NOT DISTINCT FROM t.source),
 copies AS (
-  SELECT doc_id, source, text, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.c <= d.u) AS n
+  SELECT doc_id, source, text, digest, number,
+         (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.c <= d.u) AS n
   FROM draws d),
-every AS (SELECT doc_id, source, text, sum(n)::INT AS n FROM copies GROUP BY doc_id, source, text)
+every AS (SELECT doc_id, source, text, sum(n)::INT AS n FROM copies GROUP BY doc_id, source, text, digest, number)
 SELECT doc_id, unnest(range(n))::INT AS copy, source, md5(coalesce(text, '')) AS text_md5 FROM every
 """
 
@@ -179,11 +189,6 @@ _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT,
     lambda a, b: xor(a >> 8, remainders[(xor(a, b) & 255) + 1])), 4294967295)"""
 
 
-def _sized(column):
-    text = f"cast({column} AS varchar)"
-    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
-
-
 def _leaf(n_chars):
     return "sha256(" + " || ".join(_sized(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
 

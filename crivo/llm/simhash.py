@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.llm.common import stored
+from crivo.llm.common import row_digest, stored
 from crivo.llm.components import components
 from crivo.session import ship_package
 
@@ -247,7 +247,8 @@ def simhash_keep(docs: DataFrame, max_bits: int = 4, width: int = 4) -> DataFram
     """The documents of which one of each component stays, with their own columns.
 
     The row with the component's smallest doc_id stays (nulls last); of rows that share that
-    doc_id one stays. Texts are shuffled once, on fingerprint and doc_id together.
+    doc_id the one whose digest over all columns is smallest, so the choice depends on the rows
+    alone and not on where they lie. Texts are shuffled once, on fingerprint and doc_id together.
     """
     fp, owner = "__llm_fp", "__llm_owner"
     prints = stored(with_fingerprint(docs.select("doc_id", "text"), "fp", width=width).drop("text"), "prints")
@@ -260,4 +261,6 @@ def simhash_keep(docs: DataFrame, max_bits: int = 4, width: int = 4) -> DataFram
     kept = marked.join(
         winners, (marked[fp] == winners[fp]) & marked["doc_id"].eqNullSafe(winners[owner]), "left_semi"
     )
-    return kept.dropDuplicates([fp, "doc_id"]).drop(fp)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    best = kept.groupBy(fp, "doc_id").agg(F.min_by(whole, row_digest(docs.columns)).alias("__llm_row"))
+    return best.select(*[F.col("__llm_row")[c].alias(c) for c in docs.columns])

@@ -83,6 +83,13 @@ def test_simhash_keep_leaves_one_of_each_component(spark):
     assert len(ids) == len(set(ids)) and set(ids) == expected
 
 
+def test_simhash_keep_does_not_depend_on_the_layout(spark):
+    rows = [(1, "a b c d e f", lang, source, n) for lang in ("en", None, "de") for source in ("s", "t") for n in (5, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [simhash_keep(docs.orderBy(F.rand(seed)).repartition(parts)).collect() for seed, parts in ((1, 1), (2, 5), (3, 7))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
 def test_simhash_of_nothing(spark):
     empty = docs_of(spark, [])
     assert simhash_groups(empty).count() == 0 and simhash_keep(empty).count() == 0

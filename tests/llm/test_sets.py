@@ -23,12 +23,17 @@ from crivo.session import scratch_path
 from tests.llm.test_links import TRICKY, docs_of
 
 
-def poisson_draw(doc_id, rate, seed=42):
-    """Inverts each step's distribution at the number hashed from seed, id and step."""
+def sized(row):
+    return "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row)
+
+
+def poisson_draw(row, rate, number=0, seed=42):
+    """Inverts each step's distribution at the number hashed from seed, row, its number and step."""
     steps = max(1, math.ceil(rate / 16.0))
     mean, total = rate / steps, 0
     for j in range(1, steps + 1):
-        digest = hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}:{j}".encode()).hexdigest()
+        whole = hashlib.md5(sized(row).encode()).hexdigest()
+        digest = hashlib.md5(f"{seed}:{whole}:{number}:{j}".encode()).hexdigest()
         u = int(digest[:13], 16) / (1 << 52)
         p = c = math.exp(-mean)
         k = 0
@@ -56,7 +61,7 @@ def test_mix_draws_equal_brute_force(spark):
         assert rates[s] == pytest.approx(roots[s] / sum(roots.values()) * 721 / n)
     rows = mix_sources(docs, tempered_rates(docs)).collect()
     copies = Counter(r.doc_id for r in rows)
-    expected = {r.doc_id: poisson_draw(r.doc_id, rates[r.source]) for r in docs.collect()}
+    expected = {r.doc_id: poisson_draw(r, rates[r.source]) for r in docs.collect()}
     assert copies == {i: n for i, n in expected.items() if n}
     assert {(r.doc_id, r.copy) for r in rows} == {(i, k) for i, n in expected.items() for k in range(n)}
 
@@ -78,14 +83,28 @@ def test_mix_of_tricky_rows(spark):
     docs = docs_of(spark, TRICKY).withColumn("copy", F.lit("theirs")).withColumn("rate", F.lit("x"))
     mixed = mix_sources(docs, weighted_rates(docs, {"s": 1.0}, total=100))
     assert set(mixed.columns) == set(docs.columns) and mixed.schema["copy"].dataType.typeName() == "integer"
-    counts = Counter(r.doc_id for r in mixed.collect())
-    assert counts[9] % 2 == 0  # repeated rows repeat their draw
+    rate, expected, seen = 100 / len(TRICKY), Counter(), Counter()
+    for r in docs.drop("copy").collect():
+        expected[r.doc_id, r.text] += poisson_draw(r, rate, seen[r])
+        seen[r] += 1
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +expected
     plain = mix_sources(docs, weighted_rates(docs, {"s": 1.0}), copy_column=None)
     assert plain.columns == docs.columns
     empty = docs.limit(0)
     assert mix_sources(empty, tempered_rates(empty)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_draws_apart_without_ids(spark, doc_id):
+    """Rows that share an id, and equal rows, draw on their own: the target is met within 5 deviations."""
+    docs = sources(spark, {"a": 3000}).withColumn("doc_id", F.lit(doc_id).cast("long"))
+    same = docs.withColumn("text", F.lit("same"))
+    for rows, seed, wanted in ((docs, 1, 1500), (same, 2, 1500), (docs.union(same), 3, 9000)):
+        got = mix_sources(rows, weighted_rates(rows, {"a": 1.0}, total=wanted), seed=seed)
+        assert abs(got.count() - wanted) < 5 * math.sqrt(wanted)
+    assert mix_sources(docs, tempered_rates(docs)).select("text").distinct().count() > 1700  # 1896 expected
+
+
 def test_matrix_rows_have_the_drawn_sums_and_are_uniform():
     counts, sizes = np.array([50, 0, 30, 20]), block_sizes(100, 7)[0]
     rows = np.array([matrix_row(sizes, counts, k, 3) for k in range(4)])
@@ -307,7 +326,7 @@ def test_mix_query_and_registered_names(spark, folder):
     rows = queries.op3_mix(spark, folder).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert all(r.text_md5 == hashlib.md5(docs[r.doc_id].text.encode()).hexdigest() for r in rows)
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
 
 
 def test_draws_beyond_numpys_bound_follow_the_same_law(monkeypatch):
