@@ -82,25 +82,34 @@ def feature_importance_top_short(spark, folder):
 
 
 def train_regularised(spark, folder, **recipe):
-    return train_gbt(spark, folder, **(M.REGULARISED | recipe))
+    run = M.fitted_run(proposals(spark, folder), KEY, learner=M.train_regularised, **recipe)
+    return _report(run.model, run.metrics)
 
 
 def train_regularised_short(spark, folder):
-    return train_regularised(spark, folder, maxIter=6, maxDepth=4)
+    return train_regularised(spark, folder, rounds=6, depth=4)
+
 
+def train_early_stopping(spark, folder, patience=M.PATIENCE, **recipe):
+    """Stops on a part of the training rows and reports on rows it has not seen.
 
-def train_early_stopping(spark, folder, **recipe):
-    """Stops on a part of the training rows and reports on rows it has not seen."""
+    ``waited`` is the number of rounds grown after the best one, ``kept`` whether the model ends
+    with that round, ``improved`` whether its loss is below that of no tree at all.
+    """
     rows = _held_out(M.assemble_features(proposals(spark, folder)))
     parts = S.stratified_folds(rows, KEY, 5).withColumn("checks", F.col("fold") == 0)
-    model, losses = M.train_with_patience(parts.filter(~F.col("is_test")), "checks", **recipe)
-    shown = _report(model, M.evaluate(model, rows.filter("is_test")))
-    upto = losses[: model.getNumTrees]
-    return shown.drop("n_trees").withColumn("best_round", F.lit(int(upto[-1] == min(upto))))
+    training = parts.filter(~F.col("is_test"))
+    model, losses = M.train_with_patience(training, "checks", patience=patience, keys=KEY, **recipe)
+    best = losses.index(min(losses))
+    shown = _report(model, M.evaluate(model, rows.filter("is_test"))).drop("n_trees")
+    return shown.withColumns({
+        "waited": F.lit(len(losses) - 1 - best), "kept": F.lit(int(model.getNumTrees == best)),
+        "improved": F.lit(int(losses[best] < losses[0])),
+    })
 
 
 def train_early_stopping_short(spark, folder):
-    return train_early_stopping(spark, folder, patience=3, maxIter=12, maxDepth=3, stepSize=0.3)
+    return train_early_stopping(spark, folder, patience=3, rounds=40, depth=3, leaves=8, rate=0.5)
 
 
 def train_compact(spark, folder, **recipe):
@@ -377,7 +386,7 @@ ORACLES = {
     "train_forest": _trees(10, 9),
     "train_early_stopping_short": _TEST + """SELECT 21 AS n_features, 1.0 AS importance_sum, 0 AS n_negative,
         count(*) AS n_test, count(CASE WHEN inadimplente = 1 THEN 1 END) AS n_bad, 1 AS auc_ok,
-        1 AS best_round FROM test""",
+        3 AS waited, 1 AS kept, 1 AS improved FROM test""",
     "feature_importance_top_short": PROP + """ SELECT count(*) AS n_rows, 10 AS n_top, 10 AS n_known,
         1 AS ordered, 1 AS served FROM prop""",
     "tune_short": """SELECT unnest([0, 1]) AS trial, 1 AS auc_ok, 1 AS "maxIter", 1 AS "stepSize", 1 AS "maxDepth",

@@ -26,13 +26,15 @@ from crivo.operators.encoding import encode_labels, fit_label_encoder
 from crivo.operators.evaluation import class_weight, evaluation_summary, feature_importance_top
 from crivo.operators.sampling import stratified_folds, stratified_split
 from crivo.operators.validation import normalize_aliases, validate_proposals
+from crivo.plans.boosting import BoostedTrees, Recipe, fit_boosted
 from crivo.session import stored, use_checkpoint_dir
 
-# The recipes, in the terms this learner has (no leaf count, no L1/L2).
+# The recipes. The first is in the terms of Spark's own learner (no leaf count, no L1/L2).
 PREMIUM = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 10, "minInstancesPerNode": 20,
            "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-REGULARISED = {"maxIter": 1000, "stepSize": 0.03, "maxDepth": 8, "minInstancesPerNode": 50,
-               "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
+REGULARISED = {"rounds": 1000, "rate": 0.03, "leaves": 63, "depth": 8, "rows_in_leaf": 50, "l1": 0.5, "l2": 0.5,
+               "row_share": 0.9, "rows_every": 5, "feature_share": 0.9}
+PATIENCE = 100
 FOREST = {"numTrees": 10, "maxDepth": 5}
 # Search space, (low, high, logarithmic).
 SPACE = {
@@ -127,29 +129,28 @@ def train_gbt(
     return learner.fit(_training_rows(df, label, *more))
 
 
+def train_regularised(
+    df: DataFrame, label: str = "inadimplente", seed: int = 42, keys: Sequence[str] = (), **params
+) -> BoostedTrees:
+    """Leaf-wise trees with L1 and L2 terms on a table with ``features``; class weights balance the label.
+
+    ``params`` override fields of the regularised recipe; ``keys`` tell rows apart for sampling.
+    """
+    return fit_boosted(_training_rows(df, label, *keys), Recipe(**(REGULARISED | {"seed": seed} | params)), keys)
+
+
 def train_with_patience(
-    df: DataFrame, validation: str, label: str = "inadimplente", patience: int = 100, seed: int = 42,
-    **params,
-) -> tuple[GBTClassificationModel, list[float]]:
-    """Boosted trees cut at the best round on the validation rows, and the loss of every round.
-
-    Rounds after the first ``patience`` rounds in a row without a smaller loss do not count. The
-    trees of a round depend on the earlier ones and the seed, so fitting again up to the best
-    round gives the same trees.
+    df: DataFrame, validation: str, label: str = "inadimplente", patience: int = PATIENCE, seed: int = 42,
+    keys: Sequence[str] = (), **params,
+) -> tuple[BoostedTrees, list[float]]:
+    """The regularised recipe, stopped ``patience`` rounds after the best round on the validation rows.
+
+    Returns the model up to its best round and the loss after every round grown, from round 0 on.
+    Every round is grown once; validation rows take no part in growing.
     """
-    training = df.filter(~F.col(validation))
-    model = train_gbt(training, label, seed, **params)
-    checked = _training_rows(df.filter(validation), label)
-    losses = model.evaluateEachIteration(checked)
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    if best + 1 < len(losses):
-        model = train_gbt(training, label, seed, **(params | {"maxIter": best + 1}))
-    return model, losses
+    recipe = Recipe(**(REGULARISED | {"seed": seed, "patience": patience} | params))
+    model = fit_boosted(_training_rows(df, label, validation, *keys), recipe, keys, validation)
+    return model, model.losses
 
 
 def train_forest(df: DataFrame, label: str = "inadimplente", seed: int = 42, **params):
@@ -209,6 +210,8 @@ def tune(
 # --- scoring and evaluation -------------------------------------------------------------------
 def with_probability(model, df: DataFrame, out: str = "p") -> DataFrame:
     """Adds the model's default probability; the learner's own columns are dropped."""
+    if isinstance(model, BoostedTrees):
+        return df.withColumn(out, model.probability())
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(
         "rawPrediction", "probability", "prediction"
@@ -308,7 +311,10 @@ def save_model_run(
 ) -> None:
     """Model, encoder, feature order and one metrics row under one folder."""
     spark = metrics.sparkSession
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, BoostedTrees):
+        model.save(spark, f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     if encoder is not None:
         encoder.write.mode("overwrite").parquet(f"{path}/encoder")
     order = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
@@ -325,8 +331,10 @@ def save_model_run(
 
 
 def load_model(path: str):
-    """The saved model, whatever its class; the class is read from the model's own metadata."""
+    """The saved model, whatever its class; the class is read from the run's metrics and the model's own metadata."""
     spark = SparkSession.getActiveSession()
+    if spark.read.parquet(f"{path}/metrics").first().model_type == BoostedTrees.__name__:
+        return BoostedTrees.load(spark, f"{path}/model")
     return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
 
 
@@ -355,14 +363,19 @@ class Run:
 
 def fitted_run(
     df: DataFrame, keys: list[str], label: str = "inadimplente", seed: int = 42,
-    test_share: float = 0.2, **params,
+    test_share: float = 0.2, learner=train_gbt, **params,
 ) -> Run:
-    """Split, fit the encoder on the training rows, train with it, evaluate on the held-out rows."""
+    """Split, fit the encoder on the training rows, train with it, evaluate on the held-out rows.
+
+    ``learner`` is `train_gbt` or `train_regularised`, and ``params`` are its.
+    """
     rows = stratified_split(df, label, keys, test_share, seed)
     training = with_features(rows.filter(~F.col("is_test")))
     encoder = fit_label_encoder(training, K.ENCODED_COLUMNS, fold=True)
-    table = assemble_features(rows, encoder).select("features", label, "is_test")
-    model = train_gbt(table.filter(~F.col("is_test")), label, seed, **params)
+    table = assemble_features(rows, encoder).select("features", label, "is_test", *keys)
+    if learner is train_regularised:
+        params = {"keys": keys} | params
+    model = learner(table.filter(~F.col("is_test")), label, seed, **params)
     metrics = stored(evaluate(model, table.filter("is_test"), label), "metrics")
     return Run(model, encoder, tuple(K.FEATURE_ORDER), metrics)
 

@@ -83,6 +83,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Removes the files behind a table that `stored` returned, when no plan reads them any more."""
+    spark = df.sparkSession
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New folder name under the shared folder."""
     return f"{_shared_folder(spark, 'crivo-scratch-')}/{name}-{uuid.uuid4().hex}"
