@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -91,8 +90,17 @@ def score_stream(
 
 
 # --- stateful admission -----------------------------------------------------------------------
+#: State of one address: last time decided, end of its block, and per endpoint the times recorded.
+ERA = "36500 days"
+STATE_SCHEMA = "seen long, until long, endpoints array<string>, times array<array<long>>"
+
+
 def admission_step(limits: Limits) -> Callable:
-    """State function of one address: its gate as text, and the last time seen."""
+    """State function of one address: its gate as bounded lists, and the last time seen.
+
+    A row behind the watermark or behind the last time seen is late: it comes back as such and
+    changes nothing. An endpoint's list holds no more times than its limit.
+    """
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -101,24 +109,28 @@ def admission_step(limits: Limits) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
+        behind, free = state.getCurrentWatermarkMs() * 1000, ip in limits.whitelist
         seen, gate = -1, Gate(limits)
         if state.exists:
-            seen, until, recorded = json.loads(state.get[0])
-            gate = Gate(limits, until, recorded)
+            seen, until, endpoints, times = state.get
+            gate = Gate(limits, until, {e: [int(t) for t in ts] for e, ts in zip(endpoints, times)})
         # A trigger's rows of one address: bounded by the source's files-per-batch setting.
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
-        out = []
+        out, decided = [], False
         columns = (rows[c].tolist() for c in ("event_id", "us", "endpoint"))
         for event_id, us, endpoint in zip(*columns):
-            if us < seen and ip not in limits.whitelist:
+            if us < max(seen, behind) and not free:
                 out.append((event_id, us, ip, endpoint, "late", None, None))
                 continue
-            seen = us
+            seen, decided = max(seen, us), True
             out.append((event_id, us, ip, endpoint, *gate.decide(ip, us, endpoint)))
-        gate.forget(seen)
-        state.update((json.dumps([seen, gate.until, gate.recorded]),))
-        idle = max(gate.until, seen + limits.retention) // 1000
-        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
+        if decided and not free:
+            gate.forget(seen)
+            lists = list(gate.recorded), [list(ts) for ts in gate.recorded.values()]
+            state.update((seen, gate.until, *lists))
+        if state.exists:
+            idle = max(gate.until, seen + limits.retention) // 1000
+            state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
         yield decision_frame(out)
 
     return run
@@ -129,15 +141,39 @@ def admission_stream(
 ) -> DataFrame:
     """Admission decisions on a request stream, state kept per address and dropped when idle.
 
-    Requests older than the last one decided for their address are marked ``late``; those older
-    than the watermark never reach the state and are counted by ``dropped_rows``.
+    Every request comes back once. Requests older than the watermark, or than the last one decided
+    for their address, are marked ``late`` and leave the state as it is. The state operator would
+    drop rows behind the watermark unseen by their event time, so they reach it with the end of
+    the century they fall into. ``admission_sink`` puts late rows apart.
     """
     rows = (
         requests.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", watermark)
-        .select("event_id", "ts", micros("ts").alias("us"), "ip", "endpoint")
+        .withColumn("era", F.window("ts", ERA))
+        .select("event_id", F.window_time("era").alias("era"), micros("ts").alias("us"), "ip", "endpoint")
     )
     return rows.groupBy("ip").applyInPandasWithState(
-        admission_step(limits), DECISION_SCHEMA, "body string", "append",
+        admission_step(limits), DECISION_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def admission_sink(
+    decisions: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Writes decided and late requests to tables of their own under one folder, exactly once.
+
+    Both belong to one commit of a batch, so together they are the input after any number of
+    batches, restarts included. ``scan_admissions`` reads either.
+    """
+    writer = (
+        decisions.withColumn("late", F.col("decision") == "late")
+        .writeStream.format("parquet").partitionBy("late").outputMode("append")
+    )
+    return _start(writer, path, checkpoint, available_now)
+
+
+def scan_admissions(spark: SparkSession, path: str, late: bool) -> DataFrame:
+    """The decided requests of `admission_sink`, or the late ones."""
+    rows = spark.read.schema(f"{DECISION_SCHEMA}, late boolean").parquet(path)
+    return rows.filter(F.col("late") == late).drop("late")

@@ -165,3 +165,33 @@ def test_idle_state_is_dropped(spark):
     query.awaitTermination()
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert max(sizes) == 2 and sizes[-1] == 1
+
+
+def test_late_requests_go_to_a_table_of_their_own(spark):
+    """Decided and late requests are the input, row by row; late ones change no decision."""
+    events = traffic(900, 4 * 3600 * Q.SECOND, 13, hot=0.4)
+    events += [(2000 + k, BASE + k, "10.0.7.7", "/x") for k in range(3)]  # an address only seen behind the watermark
+    arrivals = [[e for e in events if e[0] % 4 == k or e[0] >= 2000 and k == 2] for k in range(3)]
+    arrivals = [[e for e in a if e[0] < 2000 or k == 2] for k, a in enumerate(arrivals)]
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    known, late, decided = {}, set(), []
+    top = 0
+    for k, arrival in enumerate(arrivals):
+        table(spark, arrival).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+        decisions = streams.admission_stream(stream, SMALL, "90 minutes")
+        streams.admission_sink(decisions, path, checkpoint, True).awaitTermination()  # a restart each time
+        behind = top // 1000 * 1000 - 5400 * Q.SECOND
+        for event in sorted(arrival, key=lambda e: (e[1], e[0])):
+            if event[2] not in SMALL.whitelist and event[1] < max(behind, known.get(event[2], (k, 0))[1] if known.get(event[2], (k, 0))[0] < k else 0):
+                late.add(event[0])
+            else:
+                decided.append(event)
+        for event in decided:
+            known[event[2]] = (k, max(known.get(event[2], (k, 0))[1], event[1]))
+        top = max(top, *(e[1] for e in arrival))
+    kept = streams.scan_admissions(spark, path, False).collect()
+    side = streams.scan_admissions(spark, path, True).collect()
+    assert {r.event_id for r in side} == late and {2000, 2001, 2002} <= late and len(side) == len(late)
+    assert sorted((r.event_id, r.us, r.ip, r.endpoint) for r in kept + side) == sorted(e for a in arrivals for e in a)
+    assert {r.event_id: (r.decision, r.remaining) for r in kept} == simulate(decided, SMALL)
