@@ -84,11 +84,12 @@ def redact_text(spark, folder):
     return rows.select("doc_id", F.md5("shown").alias("digest"), F.length("shown").alias("n_redacted"))
 
 
-# What must not be left in a redacted text, by kind.
+# What must not be left in a redacted text, by kind; written apart from the masks.
 LEFT = {
-    "mail": "[A-Za-z0-9_%+-]@[A-Za-z0-9-]+[.][A-Za-z]{2,}",
-    "card": "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b",
-    "phone": "[(][0-9]{2,3}[)] ?[0-9]{3,5}[ .-]?[0-9]{4}|[+][0-9]{1,3}[ .-]?[0-9(]",
+    "mail": "[^\\s@*]@[^\\s@]+[.]\\p{L}{2}",
+    "card": "(^|[^0-9A-Za-z])([0-9]{4}[ -]?){3}[0-9]{4}($|[^0-9A-Za-z])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+    "phone": "[(][0-9]{2,3}[)] ?[0-9]{3,5}[ .-]?[0-9]{4}|[+][0-9]{1,3}[ .-]?[0-9(]|(^|\\s)[0-9]{3,5}-[0-9]{4}(\\s|$)"
+             "|(^|\\s)[1-9]{2}9[0-9]{8}(\\s|$)",
 }
 
 
@@ -105,10 +106,38 @@ def redaction_leftovers(spark, folder):
     return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def _luhn_digit(base):
+    """The digit that completes a run of digits."""
+    candidates = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(base, d.cast("string")))
+    return F.right(F.element_at(F.filter(candidates, P.luhn_valid), 1), F.lit(1))
+
+
+def redact_forms(spark, folder):
+    """Every form of mail, card and phone, and look-alikes that stay, made of a customer's number."""
+    k = F.col("c_custkey")
+    nine = F.lpad((k * 7919 % 1_000_000_000).cast("string"), 9, "0")
+    four, base = F.right(nine, F.lit(4)), F.concat(F.lit("411"), nine)
+    bad = ((_luhn_digit(base).cast("int") + 1) % 10).cast("string")
+    forms = (
+        F.concat(F.lit("escreva a josé.ñandú"), k.cast("string"), F.lit("@exámplo.com.br, hoje")),
+        F.concat(F.lit("cartão 3782 "), F.substring(nine, 1, 6), F.lit(" 1"), four, F.lit(".")),
+        F.concat(F.lit("pago com "), base, _luhn_digit(base), F.lit(" ontem")),
+        F.concat(F.lit("pedido "), base, bad, F.lit(" ontem")),
+        F.concat(F.lit("de 5100 0000 0000 "), four, F.lit(" para 5100-0000-0000-"), four),
+        F.concat(F.lit("tel: 119"), F.right(nine, F.lit(8))),
+        F.concat(F.lit("ligue 555-"), four, F.lit(" já")),
+        F.concat(F.lit("+55 11 9"), F.right(nine, F.lit(8)), F.lit(" ou (21) 3555-"), four),
+        F.concat(F.lit("ref 219"), F.right(nine, F.lit(8)), F.lit(", cel 3555"), four),
+        F.concat(F.lit("12-345-2024, 2019-2024, 10.20.30.40, 2024-01-15, a"), nine, F.lit("b e "), nine),
+    )
+    text = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", P.redact_text(text).alias("shown"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        masks, mask_id, hashes, sanitize, sanitize_map, encrypt_round_trip, redact_text,
+        redact_forms, masks, mask_id, hashes, sanitize, sanitize_map, encrypt_round_trip, redact_text,
         redaction_leftovers,
     )
 }
@@ -154,17 +183,34 @@ def _or_empty(x, mask):
     return f"CASE WHEN coalesce({x}, '') = '' THEN {x} ELSE {mask} END"
 
 
+# In the documents: mails, bare cards and phones with a country prefix, each among its own signs.
 _REDACT = "text"
 for _pattern, _put in (
-    (r"\b(\w)[\w.%+-]*@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", r"\1***@\2"),
-    (r"\b(?:\d{4}[ -]?){3}(\d{4})\b", r"**** **** **** \1"),
-    (r"(?:\+\d{1,3}[ .-]?)?(?:\((\d\d\d?)\)[ .-]?\d{3,5}[ .-]?(\d{4})\b|\b(\d\d\d?)[ .-]\d{3,5}[ .-](\d{4})\b)",
-     r"(\1\3) ****-\2\4"),
-    (r"\+\d{6,11}(\d{4})\b", r"****-\1"),
+    (r"([\pL\pN_])[\pL\pM\pN_.%+'-]*@((?:[\pL\pM\pN-]+\.)+\pL{2,})", r"\1***@\2"),
+    (r"\b\d{12}(\d{4})\b", r"**** **** **** \1"),
+    (r"\+\d{1,3} \((\d{3})\) \d{3}-(\d{4})\b", r"(\1) ****-\2"),
 ):
-    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_put}', 'g')"
+    _REDACT = f"regexp_replace({_REDACT}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_put}', 'g')"
+
+_FORMS = """WITH n AS (SELECT c_custkey, lpad(cast(c_custkey::BIGINT * 7919 % 1000000000 AS varchar), 9, '0') AS nine FROM customer),
+ b AS (SELECT *, right(nine, 4) AS four, '411' || nine AS base FROM n),
+ d AS (SELECT *, (10 - list_sum(list_transform(range(1, 13), lambda i: CASE WHEN i % 2 = 0
+   THEN (2 * base[i]::int) // 10 + (2 * base[i]::int) % 10 ELSE base[i]::int END)) % 10) % 10 AS luhn FROM b)
+SELECT c_custkey, CASE c_custkey % 10
+  WHEN 0 THEN 'escreva a j***@exámplo.com.br, hoje'
+  WHEN 1 THEN 'cartão **** **** **** ' || four || '.'
+  WHEN 2 THEN 'pago com **** **** **** ' || right(base || luhn::int, 4) || ' ontem'
+  WHEN 3 THEN 'pedido ' || base || ((luhn + 1) % 10)::int || ' ontem'
+  WHEN 4 THEN 'de **** **** **** ' || four || ' para **** **** **** ' || four
+  WHEN 5 THEN 'tel: ****-' || four
+  WHEN 6 THEN 'ligue ****-' || four || ' já'
+  WHEN 7 THEN '(11) ****-' || four || ' ou (21) ****-' || four
+  WHEN 8 THEN 'ref ****-' || four || ', cel ****-' || four
+  ELSE '12-345-2024, 2019-2024, 10.20.30.40, 2024-01-15, a' || nine || 'b e ' || nine END AS shown
+FROM d"""
 
 ORACLES = {
+    "redact_forms": _FORMS,
     "masks": PEOPLE + f"""SELECT c_custkey, {_cpf('cpf')} AS cpf, {_email('email')} AS email,
         {_phone('telefone')} AS telefone,
         CASE WHEN instr(conta, '-') > 0 THEN '****' || right(split_part(conta, '-', 1), 1)

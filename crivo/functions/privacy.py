@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crivo.functions.common import ColumnLike, as_col, fixed
 
-# Span patterns redacted in free text (mail, card, phone), applied in this order.
-# The word boundary keeps a long run of letters from being scanned once per letter.
-TEXT_EMAIL = "\\b([A-Za-z0-9_])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})"
-TEXT_CARD = "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?([0-9]{4})\\b"
+# Span patterns redacted in free text, applied in this order.
+# A name may hold letters of any script; it is tried once, from its first character on.
+TEXT_EMAIL = (
+    "(?<![\\p{L}\\p{M}\\p{N}._%+'-])([._%+'-]*+)([\\p{L}\\p{N}_])[\\p{L}\\p{M}\\p{N}._%+'-]*+"
+    "@((?:[\\p{L}\\p{M}\\p{N}-]++\\.)+\\p{L}{2,})"
+)
+_APART, _ENDS = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
+# Cards as they are written: groups of four, 4-6-5 or 4-6-4, sixteen digits in a row.
+TEXT_CARD = _APART + "[0-9]{4}(?:[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?|[ -][0-9]{6}[ -][0-9]?)([0-9]{4})" + _ENDS
+# Other runs of digits are cards if their check digit holds.
+TEXT_CARD_RUN = _APART + "(?:[0-9]{13,15}|[0-9]{17,19})" + _ENDS
 # A phone has an area code of two or three digits in brackets or set apart, maybe a country prefix.
+# Set apart only, it needs ten digits, which tells it from dates and part numbers.
 TEXT_PHONE = (
-    "(?:\\+[0-9]{1,3}[ .-]?)?(?:\\(([0-9]{2,3})\\)[ .-]?[0-9]{3,5}[ .-]?([0-9]{4})\\b"
-    "|\\b([0-9]{2,3})[ .-][0-9]{3,5}[ .-]([0-9]{4})\\b)"
+    "\\+[0-9]{1,3}[ .-]([0-9]{2,3})[ .-]?[0-9]{3,5}[ .-]?([0-9]{4})\\b"
+    "|(?:\\+[0-9]{1,3}[ .-]?)?(?:\\(([0-9]{2,3})\\)[ .-]?[0-9]{3,5}[ .-]?([0-9]{4})\\b"
+    "|(?<![0-9.-])\\b(?=(?:[ .-]?[0-9]){10})([0-9]{2,3})[ .-][0-9]{3,5}[ .-]([0-9]{4})\\b)"
 )
 TEXT_PHONE_PLAIN = "\\+[0-9]{6,11}([0-9]{4})\\b"
+# After a word for it any eight to eleven digits are a phone.
+TEXT_PHONE_CALLED = (
+    "(?i)\\b((?:tel|fone|telefone|phone|cel|celular|whatsapp|zap|fax)[.:]{0,2} ?)"
+    "[0-9]{4,7}-?([0-9]{4})(?![0-9])"
+)
+# Ten or eleven digits in a row: area code, then a mobile (9) or a land line (2 to 5).
+TEXT_PHONE_RUN = _APART + "[1-9]{2}(?:9[0-9]{4}|[2-5][0-9]{3})([0-9]{4})" + _ENDS
+# Without area code: two groups joined by a dash, unless both are years.
+TEXT_PHONE_LOCAL = (
+    "(?<![\\p{L}\\p{N}]|[0-9][ .-]|[)] )(?!(?:19|20)[0-9]{2}-(?:19|20)[0-9]{2}(?![0-9]))"
+    "[0-9]{3,5}-([0-9]{4})(?![\\p{L}\\p{N}]|-[0-9])"
+)
 
 
 def digits(text: ColumnLike) -> Column:
     return F.regexp_replace(as_col(text), "[^0-9]", "")
 
 
+def luhn_valid(run: Column) -> Column:
+    """Whether the last digit of a run of digits is its check digit."""
+    return F.call_function("luhn_check", run)
+
+
 def _blank(text: Column) -> Column:
     return text.isNull() | (text == "")
 
@@ -205,9 +233,37 @@ def decrypt_columns(df: DataFrame, columns: list[str], key: Column) -> DataFrame
     return df.withColumns(out)
 
 
+def _masked_where(text: Column, pattern: str, test: Callable[[Column], Column], mask: Callable[[Column], Column]) -> Column:
+    """Masks the spans of a pattern that pass a test; the text between them stays."""
+    between = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def with_span(piece: Column, k: Column) -> Column:
+        span = F.get(found, k)
+        return F.concat(piece, F.when(span.isNull(), "").when(test(span), mask(span)).otherwise(span))
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(between, with_span), "")).otherwise(text)
+
+
 def redact_text(text: ColumnLike) -> Column:
-    """Masks mail addresses, card numbers and phone numbers anywhere in a text."""
-    out = F.regexp_replace(as_col(text), TEXT_EMAIL, "$1***@$2")
-    out = F.regexp_replace(out, TEXT_CARD, "**** **** **** $1")
-    out = F.regexp_replace(out, TEXT_PHONE, "($1$3) ****-$2$4")
-    return F.regexp_replace(out, TEXT_PHONE_PLAIN, "****-$1")
+    """Masks mail addresses, card numbers and phone numbers anywhere in a text.
+
+    Names of mail addresses may hold letters of any script. Cards are sixteen digits, the usual
+    groups, and runs of 13 to 19 digits whose check digit holds. Phones have a country prefix, an
+    area code, a word for phone before them, the ten or eleven digits of a full number, or two
+    groups joined by a dash. Dates, addresses of machines and digits inside words stay. Texts
+    without an at sign or four digits in a row are passed on unread by the patterns.
+    """
+    plain = as_col(text)
+    mails = F.regexp_replace(plain, TEXT_EMAIL, "$1$2***@$3")
+    out = F.when(plain.contains("@"), mails).otherwise(plain)
+    cards = F.regexp_replace(out, TEXT_CARD, "**** **** **** $1")
+    cards = _masked_where(
+        cards, TEXT_CARD_RUN, luhn_valid, lambda run: F.concat(F.lit("**** **** **** "), F.right(run, F.lit(4)))
+    )
+    phones = F.regexp_replace(cards, TEXT_PHONE, "($1$3$5) ****-$2$4$6")
+    phones = F.regexp_replace(phones, TEXT_PHONE_PLAIN, "****-$1")
+    phones = F.regexp_replace(phones, TEXT_PHONE_CALLED, "$1****-$2")
+    phones = F.regexp_replace(phones, TEXT_PHONE_RUN, "****-$1")
+    phones = F.regexp_replace(phones, TEXT_PHONE_LOCAL, "****-$1")
+    return F.when(out.rlike("[0-9]{4}"), phones).otherwise(out)

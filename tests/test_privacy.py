@@ -99,3 +99,26 @@ def test_phones_of_every_form_are_redacted(spark):
     rows = spark.createDataFrame(list(cases.items()), "a string, b string")
     for r in rows.select(P.redact_text("a").alias("got"), "b").collect():
         assert r.got == r.b
+
+
+def test_every_form_of_mail_and_card_is_redacted(spark):
+    from crivo.functions import privacy as P
+
+    cases = {
+        "josé.é@exa.com, .ana@b.co e x+y'z@ção.com.br": "j***@exa.com, .a***@b.co e x***@ção.com.br",
+        "3782 822463 10005": "**** **** **** 0005",
+        "378282246310005 4222222222222 6304000000000000000": "**** **** **** 0005 **** **** **** 2222 **** **** **** 0000",
+        "1234567890123 e 378282246310006": "1234567890123 e 378282246310006",
+        "4111111111111111 4111-1111-1111-1111": "**** **** **** 1111 **** **** **** 1111",
+        "tel: 11987654321; Fone 34567890": "tel: ****-4321; Fone ****-7890",
+        "555-0123 ou 98765-4321": "****-0123 ou ****-4321",
+        "+55 11 987654321 e 1134567890": "(11) ****-4321 e ****-7890",
+        "12-345-2024, 2019-2024, 10.20.30.40 e 2024-01-15": "12-345-2024, 2019-2024, 10.20.30.40 e 2024-01-15",
+        "token a98765432109876b e id x11987654321": "token a98765432109876b e id x11987654321",
+        "": "",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string")
+    for r in rows.select(P.redact_text("a").alias("got"), "b").collect():
+        assert r.got == r.b
+    long = spark.createDataFrame([("a." * 50_000,), ("1 " * 50_000,), ("9" * 100_000,), (None,)], "a string")
+    assert [r[0] for r in long.select(P.redact_text("a")).collect()] == ["a." * 50_000, "1 " * 50_000, "9" * 100_000, None]
