@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from crivo import constants as K
 from crivo.functions.common import ColumnLike, as_col
+from crivo.session import ship_package, stored
 
 SECOND = 1_000_000
 NEVER = -(1 << 62)
 # Fixed value: recorded requests are kept for an hour, or for the longest window if that is more.
 RETENTION = 3600 * SECOND
+#: Step functions composed at a time, as a power of two.
+FAN_BITS = 4
 DECISION_COLUMNS = ["event_id", "us", "ip", "endpoint", "decision", "remaining", "retry_after"]
 DECISION_SCHEMA = (
     "event_id bigint, us bigint, ip string, endpoint string, decision string, remaining int, "
@@ -303,51 +306,144 @@ def _framed(groups: Callable, columns: list[str], rows: int = 20_000) -> Callabl
     return run
 
 
-def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for ip, chunk, (since, until) in _chunks(batches, ["since", "until"]):
-        if len(since) == 1:
-            yield ip, chunk, (np.array([NEVER]), since, until)
-        else:
-            yield ip, chunk, _steps_of(since, until)
+def _applied(steps: tuple[np.ndarray, ...], state: np.ndarray) -> np.ndarray:
+    """States after a chunk, from those before it."""
+    low, high, leaves = steps
+    if not len(low):
+        return state
+    at = np.maximum(np.searchsorted(low, state, side="right") - 1, 0)
+    return np.where((state >= low[at]) & (state < high[at]), leaves[at], state)
+
+
+def _composed(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two chunks in a row as one step function; neighbouring steps with one outcome become one."""
+    low, high, _ = second
+    past = first[1][-1] if len(first[1]) else NEVER  # from here on the first chunk changes nothing
+    rest = high > past
+    parts = (
+        (first[0], np.maximum(low[rest], past)),
+        (first[1], high[rest]),
+        (_applied(second, first[2]), second[2][rest]),
+    )
+    low, high, leaves = (np.concatenate(p) for p in parts)
+    ends = np.append(leaves[1:] != leaves[:-1], True)
+    starts = np.append(True, ends[:-1])
+    return low[starts], high[ends], leaves[ends]
+
+
+def _children(child: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The step functions of one parent in order."""
+    edges = [0, *(np.flatnonzero(child[1:] != child[:-1]) + 1).tolist(), len(child)]
+    for start, end in zip(edges, edges[1:]):
+        yield int(child[start]), tuple(a[start:end] for a in arrays)
+
+
+def _steps_within(reach: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for ip, chunk, (us, since, until) in _chunks(batches, ["us", "since", "until"]):
+            low, high, leaves = _steps_of(since, until)
+            near = low < us[0] + reach  # no state reaches further into a chunk than the longest block
+            yield ip, chunk, (low[near], high[near], leaves[near])
+
+    return run
+
 
+def _parents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """One step function for up to FAN chunks of an address."""
+    for ip, chunk, (child, *arrays) in _chunks(batches, ["child", "low", "high", "leaves"]):
+        whole = None
+        for _, steps in _children(child, arrays):
+            whole = steps if whole is None else _composed(whole, steps)
+        yield ip, chunk, whole
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """Entry state of every chunk, carrying one number per address through the sorted steps."""
-    at, state = None, NEVER
-    for ip, chunk, (low, high, leaves) in _chunks(batches, ["low", "high", "leaves"]):
-        if ip != at:
-            at, state = ip, NEVER
-        yield ip, chunk, (np.array([state]),)
-        step = np.searchsorted(low, state, side="right") - 1
-        if step >= 0 and state < high[step]:
-            state = leaves[step]
+
+def _entered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Entry state of every child; the parent's own comes first, as the ``low`` of child -1."""
+    for ip, chunk, (child, *arrays) in _chunks(batches, ["child", "low", "high", "leaves"]):
+        state, found = np.array([NEVER]), []
+        for name, steps in _children(child, arrays):
+            if name < 0:
+                state = steps[0]
+                continue
+            found.append((name, state[0]))
+            state = _applied(steps, state)
+        yield ip, chunk, (np.array([n for n, _ in found]), np.array([s for _, s in found]))
 
 
 def _chunk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """The blocks of every chunk; its first row carries the entry state in ``since``."""
+    """The blocks of every chunk; a first row without a time carries the entry state in ``since``."""
     names = ["since", "until", "us", "event_id", "endpoint"]
     for ip, chunk, (since, until, us, event_id, endpoint) in _chunks(batches, names):
-        entry, since, n = since[:1], since[1:], len(since) - 1
-        following = _next_violation(since, until[1:])
+        entry, first = np.array([NEVER]), int(us[0] == NEVER)
+        if first:
+            entry = since[:1]
+        since, n = since[first:], len(since) - first
+        following = _next_violation(since, until[first:])
         found, at = [], _next_violation(since, entry)[0]
         while at < n:
-            found.append(at + 1)
+            found.append(at + first)
             at = following[at]
         if found:
             yield ip, chunk, (endpoint[found], event_id[found], us[found], until[found])
 
 
+_STEP_SCHEMA = "ip string, chunk bigint, low bigint, high bigint, leaves bigint"
+
+
+def _entry_states(found: DataFrame, reach: int) -> DataFrame:
+    """(ip, chunk, entry) of the chunks of addresses that fill more than one range.
+
+    A range boundary is crossed by one address at most, so these are no more chunks than twice the
+    ranges. Their step functions are composed by a tree, FAN neighbours at a time, and entry states
+    come down the same tree: no task sees more than FAN functions of an address.
+    """
+    spans = found.groupBy("ip").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+    wide = stored(spans.filter("last > first"), "wide-addresses")
+    order = ("ip", "chunk", "us", "event_id")
+    steps = (
+        found.join(wide.select("ip"), "ip", "left_semi").select(*order, "since", "until")
+        .repartition("ip", "chunk").sortWithinPartitions(*order)
+        .mapInPandas(_framed(_steps_within(reach), ["low", "high", "leaves"]), _STEP_SCHEMA)
+    )
+    last = wide.agg(F.max("last")).first()[0] or 0
+    levels = [stored(steps, "steps")]
+
+    def children(level: DataFrame) -> DataFrame:
+        parent = F.shiftright("chunk", FAN_BITS).alias("chunk")
+        return level.select("ip", parent, F.col("chunk").alias("child"), "low", "high", "leaves")
+
+    def by_parent(rows: DataFrame, run: Callable, columns: list[str], schema: str) -> DataFrame:
+        ordered = rows.repartition("ip", "chunk").sortWithinPartitions("ip", "chunk", "child", "low")
+        return ordered.mapInPandas(_framed(run, columns), schema)
+
+    while last >> FAN_BITS * (len(levels) - 1):
+        above = by_parent(children(levels[-1]), _parents, ["low", "high", "leaves"], _STEP_SCHEMA)
+        levels.append(stored(above, "steps"))
+    never = F.lit(NEVER).cast("bigint")
+    entries = wide.select("ip", F.lit(0).cast("bigint").alias("chunk"), never.alias("entry"))
+    for level in reversed(levels[:-1]):
+        own = entries.select(
+            "ip", "chunk", F.lit(-1).cast("bigint").alias("child"), F.col("entry").alias("low"),
+            never.alias("high"), never.alias("leaves"),
+        )
+        entered = by_parent(
+            children(level).unionByName(own), _entered, ["child", "entry"],
+            "ip string, chunk bigint, child bigint, entry bigint",
+        )
+        entries = entered.select("ip", F.col("child").alias("chunk"), "entry")
+    return entries
+
+
 def block_intervals(
-    events: DataFrame, limits: Limits = LIMITS, chunk_seconds: int | None = None
+    events: DataFrame, limits: Limits = LIMITS, ranges: int | None = None
 ) -> DataFrame:
     """(ip, endpoint, event_id, us, until): every block, started by the violating request.
 
-    Candidates are cut into time chunks per address. Each chunk is solved for all entry states at
-    once and reduced to a step function; the entry states follow by carrying one number per
-    address through the steps in time order (streamed, never held); each chunk then lists its
-    blocks. Entry states lie at most one block past a chunk's start, so with chunks of several
-    blocks the streamed steps are a small part of the candidates. The unit of work is an address
-    in a chunk: a hot address spreads over as many tasks as it has chunks.
+    Candidates are ranged by address and time into parts of equal size; a chunk is an address in a
+    part, so an address with half the traffic has half the parts. Chunks of such addresses are
+    solved for all entry states at once and reduced to step functions, whose composition gives
+    every chunk its entry state (see `_entry_states`); each chunk then lists its blocks. ``ranges``
+    sets the number of parts, by default the session's shuffle partitions.
 
     Limits whose blocks can end while their windows still count are decided in order instead.
     """
@@ -357,38 +453,22 @@ def block_intervals(
         return decided.filter(F.col("decision") == "limit").select(
             "ip", "endpoint", "event_id", "us", until.alias("until")
         )
-    width = (chunk_seconds or 8 * limits.longest_block) * SECOND
-    reach = limits.longest_block * SECOND
-    found = violation_candidates(events, limits).withColumn(
-        "chunk", F.floor(F.col("us") / F.lit(width)).cast("bigint")
-    )
-    order = ("ip", "chunk", "us", "event_id")
-    steps = (
-        found.select(*order, "since", "until")
-        .repartition("ip", "chunk")
-        .sortWithinPartitions(*order)
-        .mapInPandas(
-            _framed(_chunk_steps, ["low", "high", "leaves"]),
-            "ip string, chunk bigint, low bigint, high bigint, leaves bigint",
-        )
-        # No state reaches further into a chunk than the longest block begun before it.
-        .filter(F.col("low") < F.col("chunk") * width + reach)
-    )
-    entries = (
-        steps.repartition("ip")
-        .sortWithinPartitions("ip", "chunk", "low")
-        .mapInPandas(_framed(_chain, ["entry"]), "ip string, chunk bigint, entry bigint")
-    )
+    ship_package(events.sparkSession)
+    order = ("ip", "us", "event_id")
+    candidates = violation_candidates(events, limits)
+    parted = candidates.repartitionByRange(ranges, *order) if ranges else candidates.repartitionByRange(*order)
+    chunk = F.spark_partition_id().cast("bigint").alias("chunk")
+    found = stored(parted.sortWithinPartitions(*order).select("*", chunk), "candidates")
     # The entry state travels as the first row of its chunk, which spares a join.
-    first = entries.select(
-        "ip", F.lit("").alias("endpoint"), F.lit(NEVER).cast("bigint").alias("us"),
-        F.lit(NEVER).cast("bigint").alias("event_id"), F.col("entry").alias("since"),
-        F.lit(NEVER).cast("bigint").alias("until"), "chunk",
+    never = F.lit(NEVER).cast("bigint")
+    first = _entry_states(found, limits.longest_block * SECOND).select(
+        "ip", F.lit("").alias("endpoint"), never.alias("us"), never.alias("event_id"),
+        F.col("entry").alias("since"), never.alias("until"), "chunk",
     )
     return (
         found.unionByName(first)
         .repartition("ip", "chunk")
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions("ip", "chunk", "us", "event_id")
         .mapInPandas(
             _framed(_chunk_blocks, ["endpoint", "event_id", "us", "until"]),
             "ip string, chunk bigint, endpoint string, event_id bigint, us bigint, until bigint",

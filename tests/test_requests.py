@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,8 @@ SMALL = Q.Limits(
 def test_admission_equals_simulation(spark, events):
     df = table(spark, events)
     expected = simulate(events, SMALL)
-    for chunk in (300, 900, 86_400):
-        blocks = Q.block_intervals(df, SMALL, chunk_seconds=chunk)
+    for ranges in (1, 5, 40):
+        blocks = Q.block_intervals(df, SMALL, ranges)
         got = {
             r.event_id: (r.decision, r.remaining)
             for r in Q.admit_requests(df, SMALL, blocks).collect()
@@ -83,11 +84,44 @@ def test_steady_attack(spark):
     """One address at a constant rate: every entry state leads to another block time."""
     events = [(i, BASE + i * 700_000, "10.0.0.9", ENDPOINTS[i % 2]) for i in range(6000)]
     df = table(spark, events)
-    blocks = Q.block_intervals(df, SMALL, chunk_seconds=300)
+    blocks = Q.block_intervals(df, SMALL, 300)  # two levels above the chunks
     got = {r.event_id: (r.decision, r.remaining) for r in Q.admit_requests(df, SMALL, blocks).collect()}
     assert got == simulate(events, SMALL)
 
 
+def test_step_functions_compose(spark):
+    """Chunks in a row act as their composition does on every entry state."""
+    draw = random.Random(4)
+    for _ in range(60):
+        chunks, at = [], 0
+        for _ in range(draw.randint(2, 5)):
+            n = draw.randint(1, 6)
+            us = np.array(sorted(draw.randrange(at, at + 50) for _ in range(n)))
+            since = np.sort(us - np.array([draw.randrange(1, 12) for _ in range(n)]))
+            chunks.append(Q._steps_of(since, us + 15))
+            at += 50
+        whole = chunks[0]
+        for steps in chunks[1:]:
+            whole = Q._composed(whole, steps)
+        states = np.array([Q.NEVER, *range(-20, at + 40)])
+        one_by_one = states
+        for steps in chunks:
+            one_by_one = Q._applied(steps, one_by_one)
+        assert (Q._applied(whole, states) == one_by_one).all()
+
+
+def test_a_hot_address_spreads_over_ranges_of_equal_size(spark):
+    """Half the candidates of one address: no chunk has over twice the median of the candidates."""
+    events = traffic(6000, 3600 * Q.SECOND, 21, hot=0.6)
+    order = ("ip", "us", "event_id")
+    rows = Q.violation_candidates(table(spark, events), SMALL)
+    parts = rows.repartitionByRange(12, *order).groupBy(F.spark_partition_id().alias("chunk")).count()
+    counts = sorted(r["count"] for r in parts.collect())
+    assert len(counts) == 12 and counts[-1] <= 2 * counts[len(counts) // 2]
+    hot = rows.filter("ip = '10.0.0.1'").count()
+    assert hot > 0.5 * sum(counts)
+
+
 def test_standard_limits_reject_the_request_over_sixty(spark):
     events = [(i, BASE + i * 100_000, "10.0.0.2", "/api/v1/predict") for i in range(65)]
     got = {r.event_id: r.decision for r in Q.admit_requests(table(spark, events)).collect()}
