@@ -98,6 +98,21 @@ def write_audit(spark, folder):
     return _read_back(files.scan_audit(spark, path, first, last))
 
 
+def recent_audit(spark, folder):
+    """The newest events of a written log, a third of whose days are needed at most."""
+    path = scratch_path(spark, "audit")
+    files.write_audit(_log(spark, folder), path)
+    return _read_back(files.recent_audit(spark, path, 100, "login_failed"))
+
+
+def retain_log(spark, folder):
+    """A written log cut to its last ten days by its own newest event."""
+    path, out = scratch_path(spark, "audit"), scratch_path(spark, "retained")
+    files.write_audit(_log(spark, folder), path)
+    files.retain_log(spark, path, out, days=10)
+    return _read_back(files.scan_audit(spark, out))
+
+
 def audit_sink(spark, folder):
     source, path = scratch_path(spark, "events"), scratch_path(spark, "audit-stream")
     _log(spark, folder).write.parquet(source)
@@ -184,7 +199,7 @@ QUERIES = {
     for f in (
         scan_portfolio, scan_training, append_portfolio, scan_proposals_csv,
         scan_proposals_csv_by_name, write_batch_results,
-        write_audit, audit_sink, request_count_stream, admission_stream, admission_stream_accounts,
+        write_audit, recent_audit, retain_log, audit_sink, request_count_stream, admission_stream, admission_stream_accounts,
         score_stream,
     )
 }
@@ -207,6 +222,10 @@ ORACLES = {
          d AS "Decisão", CASE WHEN p * 100 > 60 THEN 'Alto' WHEN p * 100 > 30 THEN 'Médio' ELSE 'Baixo' END AS "Categoria",
          m AS "Motivo Rejeição", {_TWO.format(x='loss')} AS "Perda Evitada" FROM r""",
     "write_audit": AUDIT + _LOG_SQL + " WHERE event_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15'",
+    "recent_audit": AUDIT + _LOG_SQL + """ WHERE event_type = 'login_failed'
+        ORDER BY event_date DESC, "timestamp" LIMIT 100""",
+    "retain_log": AUDIT + _LOG_SQL + """ WHERE event_date::timestamp >=
+        (SELECT max("timestamp") FROM audit) - INTERVAL 10 DAYS""",
     "audit_sink": AUDIT + _LOG_SQL,
     "request_count_stream": REQUESTS + """, w AS (SELECT ip, endpoint, epoch_us(ts) // 3600000000 - unnest([0, 1]) AS h FROM requests)
         SELECT cast(h * 3600 AS bigint) AS window_start, ip, endpoint, count(*) AS n_requests FROM w

@@ -197,6 +197,16 @@ def expected_vs_actual_short(spark, folder):
     return M.expected_vs_actual(run.model, M.profile_rows(spark), run.encoder)
 
 
+def judged_profiles(spark, folder):
+    """Proposals as profiles: their known probability, stated for the portfolio, against a score rule."""
+    rows = proposals(spark, folder).withColumns({
+        "perfil": F.col("proposta_id").cast("string"),
+        "esperado": F.when(F.col("score") >= 500, "Aprovar").otherwise("Negar"),
+        "p": M.D.prior_shifted("p", 0.5, M.PRIOR),
+    })
+    return M.judged_profiles(rows).select("perfil", "esperado", "obtido", "status", "conjunto_ok")
+
+
 def extreme_profiles_short(spark, folder):
     return M.extreme_profiles(_trained(spark, folder).model, spark)
 
@@ -362,7 +372,7 @@ QUERIES = {
     for f in (
         assemble_features, train_gbt_short, feature_importance_top_short, train_regularised_short,
         train_early_stopping_short, train_compact_short, train_forest, tune_short, evaluate_model_short,
-        score_batch_short, score_batch_counters_short, expected_vs_actual_short, extreme_profiles_short,
+        score_batch_short, score_batch_counters_short, expected_vs_actual_short, judged_profiles, extreme_profiles_short,
         save_model_run_short, append_model_metrics, make_portfolio, make_portfolio_large, make_minimal,
         enrich_portfolio, enrich_portfolio_windows, make_flat, generated_rules, held_out_counts_short,
         scored_responses_short,
@@ -380,7 +390,14 @@ def _trees(trees, features):
         1 AS auc_ok FROM test"""
 
 
+_ODDS = "(0.0639::double * (1 - 0.5::double) / (0.5::double * (1 - 0.0639::double)))"
 ORACLES = {
+    "judged_profiles": PROP + f""", s AS (SELECT proposta_id, score, p * {_ODDS} / (p * {_ODDS} + (1 - p)) AS q FROM prop),
+        d AS (SELECT proposta_id::varchar AS perfil, CASE WHEN score >= 500 THEN 'Aprovar' ELSE 'Negar' END AS esperado,
+          CASE WHEN q <= 0.10 THEN 'Aprovar' WHEN q <= 0.30 THEN 'Revisar' ELSE 'Negar' END AS obtido FROM s),
+        j AS (SELECT *, CASE WHEN obtido = esperado THEN 'pass' WHEN esperado = 'Negar' AND obtido = 'Aprovar' THEN 'warn'
+          ELSE 'fail' END AS status FROM d)
+        SELECT *, (SELECT avg((status <> 'fail')::int) FROM j) >= 0.8 AS conjunto_ok FROM j""",
     "train_gbt_short": _trees(8, 21),
     "train_regularised_short": _trees(6, 21),
     "train_forest": _trees(10, 9),

@@ -88,7 +88,14 @@ def class_weight(spark, folder):
 
 
 def exact_auc(spark, folder):
-    return E.exact_auc(proposals(spark, folder)).select(F.round("auc", 8).alias("auc"))
+    """Ranked by a number of far more than six digits."""
+    rows = proposals(spark, folder)
+    fine = (F.lit(950) - F.col("score")) / F.lit(650.0) + (F.col("proposta_id") * 7919 % 999983) / F.lit(1e9)
+    return E.exact_auc(rows.withColumn("fine", fine), "fine").select(F.round("auc", 12).alias("auc"))
+
+
+def histogram_auc(spark, folder):
+    return E.histogram_auc(proposals(spark, folder)).select(F.round("auc", 8).alias("auc"))
 
 
 def ks_statistic(spark, folder):
@@ -120,7 +127,7 @@ QUERIES = {
     for f in (
         profile, profile_text, label_counts, amount_summary, segment_default_rates,
         portfolio_summary, batch_results, batch_summary, prediction_log_rollup, class_weight,
-        exact_auc, ks_statistic, pr_curve_best_f1, classification_report, cumulative_shares,
+        exact_auc, histogram_auc, ks_statistic, pr_curve_best_f1, classification_report, cumulative_shares,
         evaluation_summary,
     )
 }
@@ -202,7 +209,12 @@ ORACLES = {
         round(avg(5 + proposta_id % 40), 6) AS avg_processing_time FROM scored GROUP BY 1""",
     "class_weight": PROP + """ SELECT round(count(CASE WHEN inadimplente = 0 THEN 1 END)
         / count(CASE WHEN inadimplente = 1 THEN 1 END), 8) AS class_weight FROM prop""",
-    "exact_auc": _HIST + "SELECT auc FROM quality",
+    "exact_auc": PROP + """, fine AS (SELECT inadimplente AS y,
+         (950 - score) / 650.0::double + (proposta_id * 7919 % 999983) / 1e9::double AS f FROM prop),
+        ranked AS (SELECT y, f, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0::double AS r FROM fine)
+        SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y)::double * (sum(y) + 1) / 2)
+         / (sum(y)::double * sum(1 - y)), 12) AS auc FROM ranked""",
+    "histogram_auc": _HIST + "SELECT auc FROM quality",
     "ks_statistic": _HIST + "SELECT ks FROM quality",
     "pr_curve_best_f1": _HIST + "SELECT p AS threshold, round(f1, 8) AS f1 FROM best",
     "classification_report": PROP + ", " + _REPORT + """SELECT *, CASE WHEN precision + recall > 0

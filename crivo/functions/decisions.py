@@ -79,6 +79,19 @@ DENY_TEXTS = (
 )
 
 
+def prior_shifted(p: ColumnLike, trained: ColumnLike | float, prior: ColumnLike | float) -> Column:
+    """A probability learned at one share of positives, stated for another.
+
+    Class weights that balance the label teach a share of one half whatever the table's share is.
+    The odds are scaled by the odds of the two shares; 0 and 1 stay, a share of 0 or 1 gives null.
+    """
+    p = as_col(p).cast("double")
+    trained, prior = (F.lit(float(x)) if isinstance(x, (int, float)) else as_col(x) for x in (trained, prior))
+    scale = F.try_divide(prior * (1 - trained), trained * (1 - prior))
+    inside = (scale > 0) & p.between(0, 1)
+    return F.when(inside, F.try_divide(p * scale, p * scale + (1 - p)))
+
+
 def predicted_class(p: ColumnLike, threshold: float = 0.5) -> Column:
     return F.when(as_col(p) >= threshold, 1).otherwise(0)
 

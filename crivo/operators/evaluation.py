@@ -2,7 +2,8 @@
 
 Ranked statistics run on a histogram of the probability rounded to six digits. It holds at most
 1 000 001 rows however large the table is, so the ordered window over it is bounded; the rows
-themselves are reduced by a partial aggregation and never sorted.
+themselves are reduced by a partial aggregation and never sorted. `exact_auc` ranks the
+probabilities as they are, over as many sorted ranges as they fill.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crivo.operators.thresholds import safe_ratio
+from crivo.session import stored
 
 STEPS = 1_000_000
 
@@ -71,10 +73,43 @@ def _f1() -> Column:
     return 2 * (precision * recall) / (precision + recall + 1e-10)
 
 
-def exact_auc(df: DataFrame, p: str = "p", y: str = "inadimplente") -> DataFrame:
+def histogram_auc(df: DataFrame, p: str = "p", y: str = "inadimplente") -> DataFrame:
+    """AUC of the probability rounded to six digits."""
     return cumulative_shares(probability_histogram(df, p, y)).agg(_auc().alias("auc"))
 
 
+def exact_auc(df: DataFrame, p: str = "p", y: str = "inadimplente") -> DataFrame:
+    """AUC of the probability as it is: pairs are counted in whole numbers, ties count half.
+
+    Rows are summed by probability, the sums ranged by it; a range hands over its positives, so a
+    probability knows the positives above it from the ranges above and its own range. Equal
+    probabilities are one row and lie in one range. Missing values and NaN are left out; without
+    both classes the result is null.
+    """
+    prob = F.col(p).cast("double")
+    known = prob.isNotNull() & F.col(y).isNotNull() & ~F.isnan(prob)
+    groups = df.filter(known).groupBy(prob.alias("p")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    )
+    ranged = groups.repartitionByRange(F.desc("p")).sortWithinPartitions(F.desc("p"))
+    rows = stored(ranged.withColumn("part", F.spark_partition_id()), "auc-ranges")
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = rows.groupBy("part").agg(F.sum("pos").alias("own"), F.sum("neg").alias("negatives")).select(
+        F.col("part").alias("of"), F.coalesce(F.sum("own").over(above), F.lit(0)).alias("before"), "own", "negatives"
+    )
+    inside = Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.col("before") + F.coalesce(F.sum("pos").over(inside), F.lit(0))
+    whole = F.lit(2) * higher + F.col("pos")
+    pairs = rows.join(parts, F.col("part") == F.col("of")).select(
+        (F.col("neg").cast("decimal(18,0)") * whole.cast("decimal(19,0)")).alias("pairs")
+    ).agg(F.sum("pairs").alias("pairs"))
+    totals = parts.agg(F.sum("own").alias("pos"), F.sum("negatives").alias("neg"))
+    everything = F.col("pos").cast("double") * F.col("neg") * 2
+    return pairs.join(totals, F.lit(True)).select(
+        (F.col("pairs").cast("double") / F.nullif(everything, F.lit(0.0))).alias("auc")
+    )
+
+
 def ks_statistic(df: DataFrame, p: str = "p", y: str = "inadimplente") -> DataFrame:
     """Largest gap between the cumulative good and bad shares; equal probabilities are one step."""
     return cumulative_shares(probability_histogram(df, p, y)).agg(F.max(_gap()).alias("ks"))

@@ -47,6 +47,8 @@ SPACE = {
 }
 WHOLE_NUMBERS = ("maxIter", "maxDepth", "minInstancesPerNode")
 
+# Fixed value: share of defaults in the portfolio that the decision cuts were made for.
+PRIOR = 0.0639
 # Fixed values: (name, score, income, value, months, late count, expected decision).
 PROFILES = (
     ("Score 850 - Excelente", 850, 15000.0, 20000.0, 24, 0, "Aprovar"),
@@ -258,16 +260,23 @@ def profile_rows(spark: SparkSession) -> DataFrame:
 
 
 def expected_vs_actual(
-    model, profiles: DataFrame, encoder: DataFrame | None = None, share: float = 0.8
+    model, profiles: DataFrame, encoder: DataFrame | None = None, share: float = 0.8,
+    trained: float = 0.5, prior: float = PRIOR,
 ) -> DataFrame:
     """Per profile pass, warn or fail, and whether enough of them pass.
 
-    An approval where a denial was expected is a warning that still counts as passed; any other
+    Balanced class weights teach the model a share of defaults of one half (``trained``); its
+    probabilities are stated for the portfolio's share (``prior``) before the decision cuts. An
+    approval where a denial was expected is a warning that still counts as passed; any other
     mismatch fails.
     """
-    rows = D.score_response(
-        with_probability(model, assemble_features(profiles, encoder)), "p"
-    )
+    scored = with_probability(model, assemble_features(profiles, encoder))
+    return judged_profiles(scored.withColumn("p", D.prior_shifted("p", trained, prior)), share)
+
+
+def judged_profiles(scored: DataFrame, share: float = 0.8) -> DataFrame:
+    """``perfil``, ``probability``, ``esperado``, ``obtido``, ``status``, ``conjunto_ok`` from profiles with ``p``."""
+    rows = D.score_response(scored, "p")
     got, want = F.col("recommendation"), F.col("esperado")
     status = (
         F.when(got == want, "pass")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crivo import constants as K
 from crivo.functions.common import fixed
-from crivo.operators.audit import AUDIT_SCHEMA, retain_audit
+from crivo.operators.audit import AUDIT_SCHEMA, recent_events, retain_audit
 
 # Header of the result file and the columns behind it.
 RESULT_HEADER = (
@@ -152,6 +152,63 @@ def scan_audit(
     return log
 
 
+def log_days(spark: SparkSession, path: str) -> list[str]:
+    """Names of a log's day partitions, newest first and those that are no days last; no file is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = (s.getPath().getName() for s in listed if s.isDirectory())
+    days = [n.removeprefix("event_date=") for n in names if n.startswith("event_date=")]
+    dated = [d for d in days if len(d) == 10 and d[:4].isdigit()]
+    return sorted(dated, reverse=True) + sorted(set(days) - set(dated))
+
+
+def scan_days(spark: SparkSession, path: str, days: Sequence[str], schema: str = AUDIT_SCHEMA) -> DataFrame:
+    """The log of some of its days; the others' files are not listed."""
+    return (
+        spark.read.schema(f"{schema}, event_date date").option("mode", "DROPMALFORMED")
+        .option("timestampFormat", LOG_TIME).option("basePath", path)
+        .json([f"{path.rstrip('/')}/event_date={d}" for d in days])
+    )
+
+
+def recent_audit(
+    spark: SparkSession, path: str, limit: int = 100, event_type: str | None = None,
+    severity: str | None = None, schema: str = AUDIT_SCHEMA,
+) -> DataFrame:
+    """The newest events of a log by day, as ``recent_events`` orders them.
+
+    Days are taken from the newest on, twice as many each time, until they hold ``limit`` fitting
+    events; only those days are read, whatever the length of the log.
+    """
+    days = log_days(spark, path)
+    taken = 1
+    while days:
+        found = recent_events(scan_days(spark, path, days[:taken], schema), limit, event_type, severity)
+        if taken >= len(days) or found.count() >= limit:
+            return found
+        taken *= 2
+    empty = spark.createDataFrame([], f"{schema}, event_date date")
+    return recent_events(empty, limit, event_type, severity)
+
+
+def newest_event(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA) -> Column:
+    """Time of a log's newest event, a literal; days are read from the newest on until one has rows."""
+    for day in log_days(spark, path):
+        newest = scan_days(spark, path, [day], schema).agg(F.max("timestamp")).first()[0]
+        if newest is not None:
+            return F.lit(newest).cast("timestamp")
+    return F.lit(None).cast("timestamp")
+
+
+def retain_log(
+    spark: SparkSession, path: str, out: str, asof: Column | None = None, days: int = 90,
+    schema: str = AUDIT_SCHEMA,
+) -> None:
+    """The surviving days of a log at ``path``, written to ``out``; without ``asof`` its newest event counts."""
+    newest = newest_event(spark, path, schema) if asof is None else asof
+    write_retained(scan_audit(spark, path, schema=schema), out, newest, days)
+
+
 def write_retained(events: DataFrame, path: str, asof: Column | None = None, days: int = 90) -> None:
     """The surviving days of a log, written to a new location; the old one is left as it is."""
     kept = retain_audit(events, asof, days)

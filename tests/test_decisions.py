@@ -138,3 +138,13 @@ def test_strip_accents_keeps_the_cedilla(spark):
     assert over(spark, X.strip_accents("v"), ["Ação", "Médio", "VIÚVO"], "string") == [
         "Açao", "Medio", "VIUVO",
     ]
+
+
+def test_prior_shift_scales_the_odds(spark):
+    from crivo.functions import decisions as D
+
+    rows = spark.createDataFrame([(0.0,), (0.5,), (0.2,), (1.0,), (None,), (1.5,)], "p double")
+    got = [r[0] for r in rows.select(D.prior_shifted("p", 0.5, 0.1)).collect()]
+    assert got == pytest.approx([0.0, 0.1, (0.25 / 9) / (1 + 0.25 / 9), 1.0, None, None])
+    assert [r[0] for r in rows.select(D.prior_shifted("p", 0.3, 0.3)).collect()][:4] == pytest.approx([0, 0.5, 0.2, 1])
+    assert rows.select(D.prior_shifted("p", 0.5, 0.0).alias("x")).filter("x is not null").count() == 0

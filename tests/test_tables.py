@@ -355,3 +355,50 @@ def test_cut_recipes_are_named_short(spark, folder, monkeypatch):
     registered = {n: f for n, f in Q.QUERIES.items() if n not in ("append_model_metrics", "train_forest")}
     assert {n for n, f in registered.items() if cut(f)} == {n for n in registered if n.endswith("_short")}
     assert {n: cut(f) for n, f in Q.WHOLE.items()} == dict.fromkeys(Q.WHOLE, {})
+
+
+def test_only_the_newest_days_of_a_log_are_read(spark):
+    from crivo.session import scratch_path
+    from crivo.sources import files
+
+    path = scratch_path(spark, "log")
+    rows = spark.range(400).select(
+        (F.lit("2024-03-01").cast("timestamp") + F.expr("make_interval(0, 0, 0, cast(id % 40 AS int), 0, 0, id)")).alias("timestamp"),
+        F.when(F.col("id") % 4 == 0, "login_failed").otherwise("other").alias("event_type"),
+        F.lit("info").alias("severity"), F.col("id").cast("string").alias("user_id"), F.lit("u").alias("username"),
+        F.lit("1.1.1.1").alias("ip_address"),
+        F.create_map(F.lit("id"), F.col("id").cast("string")).alias("details"),
+        F.create_map(F.lit("ok"), F.lit(True)).alias("compliance"),
+    )
+    files.write_audit(rows, path)
+    days = files.log_days(spark, path)
+    assert len(days) == 40 and days[0] == "2024-04-09" and days == sorted(days, reverse=True)
+    recent = files.recent_audit(spark, path, 15)
+    assert {f.split("event_date=")[1][:10] for f in recent.inputFiles()} == set(days[:2])
+    expected = sorted(rows.collect(), key=lambda r: (-r.timestamp.date().toordinal(), r.timestamp))[:15]
+    assert [r.details["id"] for r in recent.collect()] == [r.details["id"] for r in expected]
+    failed = files.recent_audit(spark, path, 10_000, "login_failed")
+    assert failed.count() == 100 and len({r.event_date for r in failed.collect()}) == 10
+    files.retain_log(spark, path, f"{path}-kept", days=3)
+    assert files.log_days(spark, f"{path}-kept") == days[:3]
+
+
+def test_quantiles_scan_the_table_a_fixed_number_of_times(spark):
+    """The table once, its stored numbers three times, whatever the values."""
+    for values in (F.rand(3), F.pow(F.lit(10.0), F.col("id") % 60), F.lit(1.0)):
+        reads = spark.sparkContext.accumulator(0)
+        df = spark.range(3000).select(values.alias("x"))
+
+        def seen(batches):
+            for batch in batches:
+                reads.add(len(batch))
+                yield batch
+
+        counted = df.mapInPandas(seen, df.schema)
+        got = {r.prob: r.value for r in exact_quantiles(counted, ["x"], [0.1, 0.5, 0.99]).collect()}
+        assert reads.value == 3000
+        xs = sorted(r.x for r in df.collect())
+        for q, value in got.items():
+            at = q * 2999
+            low, high = xs[int(at)], xs[min(int(at) + 1, 2999)]
+            assert value == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)

@@ -113,7 +113,7 @@ def brute_auc(rows):
 def test_ranked_statistics(spark):
     rows = [((i * 37 % 50) / 50, int((i * 13) % 7 < 2 + i % 3)) for i in range(200)]
     df = spark.createDataFrame(rows, "p double, inadimplente int")
-    assert E.exact_auc(df).first().auc == pytest.approx(brute_auc(rows))
+    assert E.histogram_auc(df).first().auc == pytest.approx(brute_auc(rows))
     n_pos, n_neg = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     gaps, best = [], (0.0, None)
     for cut in sorted({p for p, _ in rows}):
@@ -136,3 +136,16 @@ def test_single_class(spark):
     df = spark.createDataFrame([(0.2, 0), (0.4, 0)], "p double, inadimplente int")
     assert E.exact_auc(df).first().auc is None
     assert E.pr_curve_best_f1(df).first().threshold == 0.5
+
+
+def test_exact_auc_tells_close_probabilities_apart(spark):
+    rows = [(0.3 + (i * 37 % 61) * 1e-12, int((i * 13) % 7 < 2 + i % 3)) for i in range(300)]
+    rows += [(float("nan"), 1), (None, 0), (0.3, None), (2.0, 1), (-1.0, 0), (float("inf"), 0)]
+    df = spark.createDataFrame(rows, "p double, inadimplente int")
+    known = [(p, y) for p, y in rows if p is not None and y is not None and p == p]
+    for parts in (1, 7):
+        assert E.exact_auc(df.repartition(parts)).first().auc == pytest.approx(brute_auc(known), abs=1e-14)
+    assert abs(E.histogram_auc(df).first().auc - brute_auc(known)) > 0.001
+    same = spark.createDataFrame([(0.5, i % 2) for i in range(50)], "p double, inadimplente int")
+    assert E.exact_auc(same).first().auc == 0.5
+    assert E.exact_auc(same.limit(0)).first().auc is None
