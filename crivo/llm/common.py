@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crivo.session import stored
 
 __all__ = [
-    "SEPARATORS", "WORD_BYTES", "fold_ascii", "hash_unit", "read_table", "row_digest", "split_words", "stored", "without",
+    "SEPARATORS", "WORD_BYTES", "fold_ascii", "hash_unit", "raw_texts", "read_table", "row_digest", "split_words", "stored", "without",
     "words_of",
 ]
 
@@ -41,6 +43,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(fold_ascii(text), SEPARATORS), "")
 
 
+def raw_texts(texts: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """UTF-8 of every text, taken from the batch a few at a time, so it is never held twice."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).cast(pa.binary()).to_pylist()
+
+
 def split_words(raw: bytes | None) -> list[bytes]:
     """The same words from UTF-8 bytes."""
     return raw.translate(WORD_BYTES).split() if raw else []

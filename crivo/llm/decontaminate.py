@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import SEPARATORS, WORD_BYTES, split_words, words_of
+from crivo.llm.common import SEPARATORS, WORD_BYTES, raw_texts, split_words, words_of
 from crivo.session import ship_package
 
 WINDOW = 10
@@ -98,7 +98,7 @@ def _scan(docs: DataFrame, rows: list, name: str) -> DataFrame:
     def scanned(texts: pa.Array) -> pa.Array:
         index = state.get("index") or state.setdefault("index", WindowIndex(windows.value))
         out = []
-        for raw in texts.cast(pa.binary()).to_pylist():
+        for raw in raw_texts(texts):
             words, spans, items = split_words(raw), [], set()
             for first, end, found in index.find(words):
                 spans.append((first, end))
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        rows = zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist())
+        rows = zip(raw_texts(texts), spans.to_pylist())
         return pa.array([cut_spans(raw, found) if found else raw for raw, found in rows], pa.binary()).cast(pa.string())
 
     return marked.withColumn("text", cut(F.col("text"), F.col(f"{hits}.spans"))).drop(hits)

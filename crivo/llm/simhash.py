@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.llm.common import row_digest, stored
+from crivo.llm.common import raw_texts, row_digest, stored
 from crivo.llm.components import components
 from crivo.session import ship_package
 
 SEED = 42
 #: Variants written out at a time by one task.
-PASS_VARIANTS = 1 << 21
+PASS_VARIANTS = 1 << 20
 #: Variants and fingerprints a bucket should hold, and the least number of buckets as a power of two.
 BUCKET_VARIANTS, BUCKET_PRINTS, LEAST_BITS = 1 << 27, 1 << 24, 6
 
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", width: int
 
     @F.arrow_udf(T.LongType())
     def made(texts: pa.Array) -> pa.Array:
-        values = [fingerprint(raw, width) for raw in texts.cast(pa.binary()).to_pylist()]
+        values = [fingerprint(raw, width) for raw in raw_texts(texts)]
         return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     return docs.withColumn(name, made(F.col(text)))

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crivo.llm.common import raw_texts
 from crivo.session import ship_package
 
 #: Most labelled documents learned from, by class, and most terms and phrases of a lexicon.
@@ -276,7 +277,8 @@ def with_density(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
     def measured(texts: pa.Array) -> pa.Array:
         if "matcher" not in state:
             state["matcher"] = known.value.matcher()
-        return pa.array([density(t, state["matcher"]) for t in texts.to_pylist()], pa.float64())
+        read = (raw and raw.decode("utf-8", "replace") for raw in raw_texts(texts))
+        return pa.array([density(t, state["matcher"]) for t in read], pa.float64())
 
     return docs.withColumn(name, measured(F.col("text")))
 
