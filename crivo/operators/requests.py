@@ -162,18 +162,51 @@ def _slice_width(window_seconds: int) -> int:
     return max(window_seconds * 8, 900) * SECOND
 
 
+def _whole_seconds(rows: DataFrame, keys: tuple[str, ...], window_seconds: int) -> DataFrame:
+    """Per key and second with requests: ``change``, the requests of the `window_seconds` seconds before.
+
+    Requests are summed by second before they move, and seconds are cut into slices, so no task
+    holds more than a slice's seconds of one key, however many requests they stand for.
+    """
+    per_second = rows.groupBy(*keys, "second").agg(F.count(F.lit(1)).alias("n"))
+    cut = time_slices(per_second, "second", max(window_seconds * 8, 900), window_seconds)
+    before = Window.partitionBy(*keys, "slice").orderBy("second").rangeBetween(-window_seconds, -1)
+    return (
+        cut.withColumn("change", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .filter((F.col("slice") == F.col("home")) & (F.col("change") > 0))
+        .select(*keys, "second", F.lit(-1).cast("bigint").alias("offset"), "change")
+    )
+
+
 def sliding_request_counts(
     df: DataFrame, window_seconds: int, keys: tuple[str, ...] = ("ip", "endpoint"),
     ts: str = "ts",
 ) -> DataFrame:
-    """Adds ``n_in_window``: requests of the key in (now - window, now], the request included."""
-    reach = window_seconds * SECOND
-    rows = time_slices(df.withColumn("us", micros(ts)), "us", _slice_width(window_seconds), reach)
-    look = Window.partitionBy(*keys, "slice").orderBy("us").rangeBetween(-(reach - 1), 0)
+    """Adds ``n_in_window``: requests of the key in (now - window, now], the request included.
+
+    Counts of whole seconds are exact but for the second the window begins in. Within its second a
+    request adds one from its own time on, and one window later it takes one away again; the running
+    sum of these changes is the answer. A task therefore holds two seconds of a key, not a slice of
+    its traffic. Requests without a time are left out; a null in a key is a value like any other.
+    """
+    columns = df.columns
+    timed = df.select(F.struct("*").alias("row"), *keys, micros(ts).alias("us")).filter("us is not null")
+    timed = timed.withColumns({
+        "second": F.floor(F.col("us") / F.lit(SECOND)).cast("bigint"),
+        "offset": F.pmod("us", F.lit(SECOND)).cast("bigint"),
+    })
+    own = timed.select(*keys, "second", "offset", F.lit(1).cast("bigint").alias("change"), "row")
+    gone = timed.select(
+        *keys, (F.col("second") + window_seconds).alias("second"), "offset", F.lit(-1).cast("bigint").alias("change")
+    )
+    changes = own.unionByName(gone, allowMissingColumns=True).unionByName(
+        _whole_seconds(timed, keys, window_seconds), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy(*keys, "second").orderBy("offset").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("n_in_window", F.count(F.lit(1)).over(look))
-        .filter(F.col("slice") == F.col("home"))
-        .drop("us", "home", "slice")
+        changes.select("row", F.sum("change").over(so_far).alias("n_in_window"))
+        .filter("row is not null")
+        .select(*[F.col("row")[c].alias(c) for c in columns], "n_in_window")
     )
 
 

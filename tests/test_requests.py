@@ -166,6 +166,27 @@ def test_slices_do_not_change_counts(spark):
     assert {r.event_id: r.n_in_window for r in got} == expected
 
 
+def test_dense_seconds_of_one_key_and_rows_without_key_or_time(spark):
+    """Half of the rows in a few seconds of one key, ties, null keys, clashing column names."""
+    draw = random.Random(3)
+    events = [
+        (i, None if i % 97 == 0 else BASE + draw.randrange(5 * Q.SECOND) // 250_000 * 250_000, "hot" if i % 2 else None, "/x")
+        for i in range(1500)
+    ] + [(2000 + i, BASE + draw.randrange(20 * Q.SECOND), "hot", "/x") for i in range(500)]
+    df = spark.createDataFrame(events, "event_id long, us long, ip string, endpoint string")
+    df = df.select("event_id", "ip", "endpoint", F.timestamp_micros("us").alias("ts"), F.lit(7).alias("second"))
+    got = Q.sliding_request_counts(df, 2).collect()
+    times = defaultdict(list)
+    for _, us, ip, _ in events:
+        if us is not None:
+            times[ip].append(us)
+    expected = {
+        i: sum(us - 2 * Q.SECOND < t <= us for t in times[ip]) for i, us, ip, _ in events if us is not None
+    }
+    assert {r.event_id: r.n_in_window for r in got} == expected
+    assert {r.second for r in got} == {7} and len(got) == len(expected)
+
+
 def test_longest_pattern_or_first_match(spark):
     df = spark.createDataFrame([("/api/v1/predict/batch",)], "endpoint string")
     assert Q.endpoint_limits(df).first().max_requests == 10
