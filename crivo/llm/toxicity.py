@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from crivo.llm.common import raw_texts
 from crivo.session import ship_package
 
-#: Most labelled documents learned from, by class, and most terms and phrases of a lexicon.
-TOXIC_SAMPLE, CLEAN_SAMPLE, LEXICON = 3000, 6000, 5000
+#: Most labelled documents learned from, by class.
+TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 6000
 #: Lengths of word beginnings that may become terms.
 STEMS = range(4, 9)
-#: A term needs this many toxic documents, near copies counted once, and this log-odds.
-LEAST_SUPPORT, LEAST_WEIGHT = 5, 4.2
+#: A term needs this many toxic documents, near copies counted once, and these odds against clean ones.
+LEAST_SUPPORT, LEAST_ODDS = 5, 10.0
+#: Most chance that a term both classes use alike is found in as many toxic documents.
+CHANCE = 1e-5
+#: Share of either class added before weights are taken, so that they do not move with the sample.
+SMOOTHING = 1 / 6000
 #: Words added to every text's length, so that a single word of a short text isn't everything.
 PRIOR_WORDS = 12.0
 THRESHOLD = 0.7
@@ -121,10 +125,30 @@ def density(text: str | None, automaton: ahocorasick.Automaton | None) -> float:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    for a, b in spared:
-        for start in [s for s in best if a <= s < b]:
-            del best[start]
-    return sum(best.values()) / (len(words) + PRIOR_WORDS)
+    spared.sort(reverse=True)
+    total, until = 0.0, 0
+    for start in sorted(best):
+        while spared and spared[-1][0] <= start:
+            until = max(until, spared.pop()[1])
+        if start >= until:
+            total += best[start]
+    return total / (len(words) + PRIOR_WORDS)
+
+
+def marks_toxic(n: int, toxic: int, c: int, clean: int) -> bool:
+    """Whether a term in `n` of `toxic` and `c` of `clean` documents is one of a lexicon.
+
+    It must be likelier by `LEAST_ODDS` in a toxic document, and more often there than chance explains
+    (Chernoff's bound on a draw by the classes' sizes). Both look at shares, so a term that many
+    times as large a sample holds many times as often is judged the same or with more confidence.
+    """
+    if n < LEAST_SUPPORT or (n + 0.5) * (clean + 1) < LEAST_ODDS * (c + 0.5) * (toxic + 1):
+        return False
+    share, drawn = n / (n + c), (toxic + 1) / (toxic + clean + 2)
+    surprise = n * math.log(share / drawn)
+    if c:
+        surprise += c * math.log((1 - share) / (1 - drawn))
+    return share > drawn and surprise >= -math.log(CHANCE)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -191,7 +215,10 @@ def _support(rows: DataFrame) -> dict[str, int]:
 
 
 def _weights(rows: DataFrame, support: dict[str, int]) -> dict[str, float]:
-    """Log-odds of the terms that mark toxic documents; a longer term must beat its beginning."""
+    """Log-odds of the terms that mark toxic documents; a longer term must beat its beginning.
+
+    Every such term is kept; their number is bounded by the sample alone.
+    """
     toxic = support.get("", 0)
     wanted = rows.sparkSession.sparkContext.broadcast(frozenset(support))
 
@@ -207,17 +234,16 @@ def _weights(rows: DataFrame, support: dict[str, int]) -> dict[str, float]:
     clean = {r.term: r.n for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     documents = clean.get("", 0)
     odds = {
-        t: math.log((n + 0.5) / (toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (documents + 1))
+        t: math.log((n / toxic + SMOOTHING) / (clean.get(t, 0) / max(1, documents) + SMOOTHING))
         for t, n in support.items()
-        if t
+        if t and marks_toxic(n, toxic, clean.get(t, 0), documents)
     }
     chosen: dict[str, float] = {}
-    for term in sorted((t for t, w in odds.items() if w >= LEAST_WEIGHT), key=len):
+    for term in sorted(odds, key=lambda t: (len(t), t)):
         begun = max((chosen.get(term[: n + 1], 0.0) for n in STEMS if n + 1 < len(term)), default=0.0)
         if odds[term] > begun + 0.7:
             chosen[term] = odds[term]
-    ranked = sorted(chosen, key=lambda t: (-chosen[t] * support[t], t))
-    return {t: chosen[t] for t in ranked[:LEXICON]}
+    return chosen
 
 
 def _exceptions(rows: DataFrame, terms: set[str]) -> list[str]:
@@ -229,8 +255,7 @@ def _exceptions(rows: DataFrame, terms: set[str]) -> list[str]:
         "phrase", "toxic",
     )
     counts = found.groupBy("phrase").agg(F.count("*").alias("n"), F.max("toxic").alias("toxic"))
-    kept = counts.filter("toxic = '0' and n >= 2").orderBy(F.desc("n"), "phrase").limit(LEXICON)
-    return [r.phrase for r in kept.collect()]
+    return sorted(r.phrase for r in counts.filter("toxic = '0' and n >= 2").collect())
 
 
 def _scale(pairs: list[tuple[float, int]]) -> float:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from crivo.llm.decontaminate import cut_spans, decontaminate, with_hits
 from crivo.llm.licenses import TEMPLATES, scan_licenses
 from crivo.llm.lm import lm_scores, pack_keys, pack_numbers, unpack_keys, unpack_numbers
 from crivo.llm.oracles import OP6
-from crivo.llm.toxicity import Lexicon, density, fit_lexicon, fold, held_out, with_toxicity
+from crivo.llm.toxicity import Lexicon, density, fit_lexicon, fold, held_out, marks_toxic, with_toxicity
 
 from tests.compare import connect, difference, spark_rows, sql_rows
 from tests.llm.test_links import TRICKY, docs_of
@@ -221,6 +222,59 @@ def test_exception_phrases_and_length_lower_the_score():
     assert density("you idiot " + "word " * 1000, automaton) < density("you idiot", automaton)
 
 
+def slow_density(text, lexicon):
+    """The rule word by word, without an automaton."""
+    words = re.findall(r"[^\W_]+", fold(text or ""))
+    line = f" {' '.join(words)} "
+    starts = [i for i, c in enumerate(line) if c == " "]
+    spared = [(i, i + len(p) - 1) for p in lexicon.exceptions for i in starts if line.startswith(p, i)]
+    total = 0.0
+    for i in starts:
+        found = [w for t, w in lexicon.weights.items() if line.startswith(t, i)]
+        if found and not any(a <= i < b for a, b in spared):
+            total += max(found)
+    return total / (len(words) + 12.0)
+
+
+def test_density_equals_brute_force():
+    lexicon = Lexicon(
+        {" bad ": 2.0, " bada": 1.5, " badab": 2.5, " ugly ": 3.0},
+        [" bad luck ", " luck bad ", " badabing club ", " ugly bad "], 0.1,
+    )
+    automaton, draw = lexicon.matcher(), random.Random(8)
+    vocabulary = ["bad", "badabing", "badaboom", "club", "luck", "ugly", "B4D", "fine", "_", "é", "2024"]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randrange(40))) for _ in range(400)]
+    for text in [*texts, "", None, " ", "\x00", "bad" * 1000, "bad " * 3000]:
+        assert density(text, automaton) == pytest.approx(slow_density(text, lexicon)), text
+
+
+def test_exceptions_of_a_long_text_take_linear_time():
+    lexicon = Lexicon({" bad ": 2.0}, [" bad luck "], 0.1)
+    automaton = lexicon.matcher()
+    started = time.monotonic()
+    got = density("bad luck bad day " * 40_000, automaton)
+    assert time.monotonic() - started < 5
+    assert got == pytest.approx(2.0 * 40_000 / (160_000 + 12))
+
+
+def test_a_term_is_judged_alike_at_every_sample_size():
+    for scale in (1, 3, 10):
+        assert marks_toxic(20 * scale, 300 * scale, 2 * scale, 600 * scale)
+        assert not marks_toxic(6 * scale, 300 * scale, 6 * scale, 600 * scale)
+    assert marks_toxic(5, 500, 0, 6000) and marks_toxic(11, 3000, 0, 6000)
+    assert not marks_toxic(4, 500, 0, 6000) and not marks_toxic(5, 3000, 0, 6000)
+    assert not marks_toxic(0, 0, 0, 0) and not marks_toxic(9, 9, 0, 0)
+
+
+def test_very_long_and_repeated_texts_are_scored_whole(spark):
+    lexicon = Lexicon({" idiot ": 4.0}, [], 0.001)
+    long = "word " * 300_000 + "idiot"
+    docs = docs_of(spark, [(1, long), (1, long), (2, "word " * 300_000), (None, "idiot")])
+    got = sorted((r.doc_id or 0, r.s) for r in with_toxicity(docs, lexicon, "s").collect())
+    alone = 4 / (300_001 + 12)
+    assert [s for _, s in got] == pytest.approx([4 / 13 / (4 / 13 + 0.001), alone / (alone + 0.001), alone / (alone + 0.001), 0])
+
+
 def insults(spark, n=400):
     rng = random.Random(3)
     rude = ["grumbler", "numbskull"]
