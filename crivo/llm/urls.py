@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crivo.session import drop_stored, stored
+
 #: Lengths of the character n-grams and buckets they are hashed to.
 SIZES, BUCKETS = (3, 4, 5), 1 << 14
 #: Most labelled URLs a model is fitted on.
@@ -60,13 +62,16 @@ def matching_rule(host: Column, path: Column, rules: Iterable[Rule]) -> Column:
 
 
 def ngrams(host: Column, path: Column) -> Column:
-    """Character n-grams of `host` and `path` between edge signs, marked by where they stand."""
+    """Character n-grams of `host` and `path` between edge signs, marked by where they stand.
+
+    One pass of a pattern finds the n-grams of a length, so the work is linear in the text. Pairs of
+    surrogates count as two characters there.
+    """
 
     def grams(mark: str, value: Column, n: int) -> Column:
         text = F.concat(F.lit("^"), value, F.lit("$"))
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-        found = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
-        return F.coalesce(found, F.array().cast("array<string>"))
+        found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda gram: F.concat(F.lit(mark), gram))
 
     return F.concat(*[grams(mark, value, n) for mark, value in (("h", host), ("p", path)) for n in SIZES])
 
@@ -80,15 +85,17 @@ def fit_url_model(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel:
     """Fits on `url`, `block` (0 or 1) of at most `sample` labelled rows.
 
     Half of them are of either class, the first by URL hash, and more of one only where the other
-    has no more, so a rare class is not missed. Rows without a label are left out; one class, or no rows, gives a model of that class or one
-    that blocks nothing.
+    has no more, so a rare class is not missed. Rows without a label are left out; one class, or no
+    rows, gives a model of that class or one that blocks nothing. The sample is stored once, in one
+    file, and the passes of the fit read that.
     """
     rows = labelled.filter("block is not null").select("url", F.col("block").cast("double").alias("label")).distinct()
     order = [F.xxhash64("url"), "url"]
     first = [rows.filter(F.col("label") == c).orderBy(*order).limit(sample) for c in (0, 1)]
     turn = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     rows = first[0].unionByName(first[1]).withColumn("__llm_turn", turn)
-    rows = rows.orderBy("__llm_turn", "label").limit(sample).drop("__llm_turn")
+    rows = stored(rows.orderBy("__llm_turn", "label").limit(sample).drop("__llm_turn").coalesce(1), "url-sample")
+    kept = rows
     if rows.isEmpty():
         rows = labelled.sparkSession.createDataFrame([("", 0.0)], "url string, label double")
     stages = [
@@ -98,7 +105,9 @@ def fit_url_model(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel:
             rawPredictionCol="__llm_raw", predictionCol="__llm_prediction", regParam=0.001, maxIter=100, standardization=False,
         ),
     ]
-    return Pipeline(stages=stages).fit(_features(rows.coalesce(1), "url"))
+    model = Pipeline(stages=stages).fit(_features(rows.coalesce(1), "url"))
+    drop_stored(kept)
+    return model
 
 
 def block_probability(urls: DataFrame, model: PipelineModel, name: str, url: str = "url") -> DataFrame:
@@ -117,7 +126,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], model: PipelineModel, t
     The longest rule that fits decides; without one the model blocks from `threshold` on. Null URLs
     and URLs without `://` have an empty host and path, fit no rule with a host and are judged by
     the model. Repeated rows are judged alike, an empty table gives no rows, columns other than
-    page_id and url are ignored. The judging is one narrow stage.
+    page_id and url are ignored. Very long URLs are judged whole, in time linear in their length. The
+    judging is one narrow stage.
     """
     host, path = url_parts(F.col("url"))
     scored = block_probability(pages.select("page_id", "url"), model, "probability")

@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ import corpus_pipeline
 from crivo.llm import queries, sharding, warc
 from crivo.llm.mixing import mix_sources, tempered_rates, weighted_rates
 from crivo.llm.sharding import block_sizes, matrix_row, shard_rows
-from crivo.llm.urls import Rule, filter_urls, fit_url_model
+from crivo.llm.urls import Rule, filter_urls, fit_url_model, ngrams
 from crivo.session import scratch_path
 
 from tests.llm.test_links import TRICKY, docs_of
@@ -209,6 +210,26 @@ def test_url_model_learns_a_class_of_one_in_a_thousand(spark):
     assert {r.page_id for r in rows if r.verdict == "block"} == {k for k, _, block in urls if block}
 
 
+def test_ngrams_equal_brute_force_and_long_urls_are_judged_whole(spark):
+    texts = [("a.b", ""), ("", "/x\ny"), ("é", "/ü/" + "z" * 9), ("", "")]
+    rows = spark.createDataFrame(texts, "host string, path string")
+    for r in rows.select("host", "path", ngrams(F.col("host"), F.col("path")).alias("grams")).collect():
+        expected = [
+            mark + text[i : i + n]
+            for mark, text in (("h", f"^{r.host}$"), ("p", f"^{r.path}$")) for n in (3, 4, 5) for i in range(len(text) - n + 1)
+        ]
+        assert r.grams == expected
+    draw = random.Random(5)
+    urls = ["http://a.net/" + "".join(draw.choices("abcdefgh/", k=k)) for k in (12_000, 100_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labelled = spark.createDataFrame([("http://casino.com/x", 1), ("http://school.edu/a", 0)], "url string, block int")
+    model = fit_url_model(labelled)
+    started = time.monotonic()
+    got = {r.page_id: r.path for r in filter_urls(pages, (), model).collect()}
+    assert time.monotonic() - started < 20
+    assert got == {k: url[len("http://a.net") :] for k, url in enumerate(urls)}
+
+
 def test_url_models_without_examples(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = fit_url_model(spark.createDataFrame([], "url string, block int"))
