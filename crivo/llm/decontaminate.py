@@ -8,16 +8,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import SEPARATORS, WORD_BYTES, raw_texts, split_words, words_of
-from crivo.session import ship_package
+from crivo.llm.common import SEPARATORS, WORD_BYTES, raw_texts, split_words, without, words_of
+from crivo.session import drop_stored, ship_package, stored
 
 WINDOW = 10
 SPAN = pa.struct([("first", pa.int32()), ("end", pa.int32())])
-#: Windows broadcast at a time; a larger benchmark is scanned in blocks of this size.
-BLOCK_WINDOWS = 1_000_000
+#: Windows collected and broadcast at a time (some 0.1 GB in a worker); a larger benchmark is scanned in
+#: blocks of this size.
+BLOCK_WINDOWS = 1 << 18
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -86,8 +88,8 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _scan(docs: DataFrame, rows: list, name: str) -> DataFrame:
-    """Adds `name`: word spans and items of the benchmark windows in each text."""
+def _scan(docs: DataFrame, rows: list, name: str) -> tuple[DataFrame, Broadcast]:
+    """Adds `name`: word spans and items of the benchmark windows in each text; and what it broadcasts."""
     spark = docs.sparkSession
     windows = spark.sparkContext.broadcast(
         [(tuple(w.encode() for w in row.words), row.item) for row in rows]
@@ -108,36 +110,60 @@ def _scan(docs: DataFrame, rows: list, name: str) -> DataFrame:
             out, pa.struct([("n_words", pa.int32()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
         )
 
-    return docs.withColumn(name, scanned(F.col("text")))
+    return docs.withColumn(name, scanned(F.col("text"))), windows
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """Adds the struct `name`: `n_words`, `spans` (merged, in order) and `items` (sorted strings).
+def _hits_by_block(docs: DataFrame, windows: DataFrame, blocks: int, name: str) -> DataFrame:
+    """`with_hits` for more windows than one broadcast holds.
 
-    The windows are counted first. Up to `block` of them are broadcast; a larger benchmark is cut
-    into blocks by a hash of the window and the documents pass them one after the other in one
-    narrow stage, so the broadcast stays bounded and nothing is left out. Null or empty texts have
-    no words; windows of an item without id mark words but no item; an empty benchmark marks none.
+    Documents are stored with a row number. Every block is collected, broadcast, scanned for and
+    dropped before the next one; only rows with hits are written, and joined back at the end.
     """
-    ship_package(docs.sparkSession)
-    windows = benchmark_windows(benchmark, window).select("words", F.col("item_id").cast("string").alias("item"))
-    blocks = max(1, -(-windows.count() // block))
-    parts = [f"{name}_{k}" for k in range(blocks)]
-    for k, part in enumerate(parts):
-        chosen = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
-        docs = _scan(docs, chosen.collect(), part)
-    if blocks == 1:
-        return docs.withColumn(name, F.col(parts[0])).drop(*parts)
+    row, found, spans, items = "__llm_row", "__llm_found", "__llm_spans", "__llm_items"
+    docs = stored(without(docs, row, spans, items).withColumn(row, F.monotonically_increasing_id()), "documents")
+    windows = stored(windows.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(blocks))), "windows")
+    hits = None
+    for k in range(blocks):
+        chosen = windows.filter(F.col("part") == k).select("words", "item").collect()
+        marked, sent = _scan(docs.select(row, "text"), chosen, found)
+        some = marked.filter(F.size(f"{found}.spans") > 0)
+        part = stored(some.select(row, F.col(f"{found}.spans").alias(spans), F.col(f"{found}.items").alias(items)), "hits")
+        sent.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    drop_stored(windows)
 
     @F.arrow_udf("array<struct<first:int,end:int>>")
     def joined(rows: pa.Array) -> pa.Array:
-        spans = [merged((s["first"], s["end"]) for s in row) for row in rows.to_pylist()]
-        return pa.array(spans, pa.list_(SPAN))
+        return pa.array([merged((s["first"], s["end"]) for s in r) for r in rows.to_pylist()], pa.list_(SPAN))
+
+    together = hits.groupBy(row).agg(
+        joined(F.flatten(F.collect_list(spans))).alias(spans),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
+    )
+    hit = F.struct(
+        F.size(words_of(F.col("text"))).alias("n_words"),
+        F.coalesce(spans, F.array().cast("array<struct<first:int,end:int>>")).alias("spans"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
+    )
+    return docs.join(together, row, "left").withColumn(name, hit).drop(row, spans, items)
 
-    spans = joined(F.flatten(F.array(*[F.col(f"{p}.spans") for p in parts])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    hits = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    return docs.withColumn(name, hits).drop(*parts)
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """Adds the struct `name`: `n_words`, `spans` (merged, in order) and `items` (sorted strings).
+
+    The windows are counted first. Up to `block` of them are broadcast and the documents pass in one
+    narrow stage; a larger benchmark is cut into blocks by a hash of the window, taken one after the
+    other, so driver and workers hold one block at a time and nothing is left out. Null or empty
+    texts have no words, very long ones are scanned whole; windows of an item without id mark words
+    but no item; repeated rows are marked alike; an empty benchmark marks none. A column `name` is
+    replaced, all others stay.
+    """
+    ship_package(docs.sparkSession)
+    windows = benchmark_windows(benchmark, window).select("words", F.col("item_id").cast("string").alias("item"))
+    blocks = -(-windows.count() // block)
+    if blocks > 1:
+        return _hits_by_block(docs, windows, blocks, name)
+    return _scan(docs, windows.collect(), name)[0]
 
 
 _WORD = re.compile(SEPARATORS.replace("[", "[^", 1).encode())
@@ -158,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     `documents` drops every text that holds a window, `spans` cuts the hit words out and keeps all
     rows. Nulls, empty texts and rows without a hit stay as they are; repeated rows are treated
-    alike; an empty benchmark changes nothing. No row is shuffled.
+    alike; an empty benchmark changes nothing. Up to `block` windows no row is shuffled.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")

@@ -105,7 +105,9 @@ def slow_hits(text, bench, size=10):
 def test_benchmark_hits_equal_brute_force(spark, folder, block):
     pairs = DIRTY + TRICKY
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
-    rows = with_hits(docs_of(spark, pairs), bench, "h", block=block).select("doc_id", "text", "h").collect()
+    docs = docs_of(spark, pairs).withColumns({"h_0": F.lit(5), "spans": F.lit(6), "h": F.lit(7)})
+    rows = with_hits(docs, bench, "h", block=block).select("doc_id", "text", "h", "h_0", "spans").collect()
+    assert {(r.h_0, r.spans) for r in rows} == {(5, 6)}
     for r in rows:
         n, hit, items, _ = slow_hits(r.text, BENCH)
         assert (r.h.n_words, sum(s.end - s.first for s in r.h.spans), r.h["items"]) == (n, hit, items), r.text[:50]
