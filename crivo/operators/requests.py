@@ -587,30 +587,25 @@ def admit_requests(
         .when(F.col("block_event").isNotNull(), "blocked")
         .otherwise("admitted"),
     )
-    reach = limits.longest_window * SECOND
-    rows = time_slices(decided, "us", _slice_width(limits.longest_window), reach)
-    admitted = (F.col("decision") == "admitted").cast("int")
-    same_time = (
-        Window.partitionBy("ip", "endpoint", "slice", "us").orderBy("event_id")
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = time_slices(decided, "us", _slice_width(limits.longest_window), limits.longest_window * SECOND)
+    # Beyond the limit nothing is left, so a look-back needs no more rows than the largest limit;
+    # rejected requests are counted by nobody and spread as groups of their own.
+    most = max(n for n, _, _ in limits.choices())
+    admitted = F.col("decision") == "admitted"
+    recent = (
+        Window.partitionBy("ip", "endpoint", "slice", F.when(~admitted, F.col("event_id")))
+        .orderBy("us", "event_id").rowsBetween(-most, Window.currentRow)
     )
-    before = F.lit(0)
-    for seconds in sorted({w for _, w, _ in limits.choices()}):
-        look = (
-            Window.partitionBy("ip", "endpoint", "slice").orderBy("us")
-            .rangeBetween(-(seconds * SECOND - 1), 0)
-        )
-        seen = F.sum(admitted).over(look) - F.sum(admitted).over(same_time)
-        before = F.when(F.col("window_seconds") == seconds, seen).otherwise(before)
+    inside = F.filter("times", lambda t: t > F.col("us") - F.col("window_seconds") * SECOND)
     wait = F.floor((F.col("block_until") - F.col("us")) / SECOND)
     return (
-        rows.withColumn("before", before)
+        rows.withColumn("times", F.collect_list("us").over(recent))
         .filter(F.col("slice") == F.col("home"))
         .select(
             "event_id", "ts", "ip", "endpoint", "decision",
             F.when(
                 F.col("decision") == "admitted",
-                F.greatest(F.lit(0), F.col("max_requests") - F.col("before") - 1),
+                F.greatest(F.lit(0), F.col("max_requests") - F.size(inside)),
             ).when(F.col("decision") == "limit", 0).cast("int").alias("remaining"),
             F.when(F.col("decision") == "limit", F.col("window_seconds"))
             .when(F.col("decision") == "blocked", F.greatest(F.lit(0), wait))

@@ -122,6 +122,15 @@ def test_a_hot_address_spreads_over_ranges_of_equal_size(spark):
     assert hot > 0.5 * sum(counts)
 
 
+def test_look_back_reads_no_more_rows_than_the_limit(spark):
+    """A dense address: remaining counts come from a bounded number of rows, not from a range of time."""
+    events = traffic(3000, 600 * Q.SECOND, 23, hot=0.9, step=Q.SECOND // 4)
+    decided = Q.admit_requests(table(spark, events), SMALL)
+    frames = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in frames and "collect_list" in frames
+    assert {r.event_id: (r.decision, r.remaining) for r in decided.collect()} == simulate(events, SMALL)
+
+
 def test_standard_limits_reject_the_request_over_sixty(spark):
     events = [(i, BASE + i * 100_000, "10.0.0.2", "/api/v1/predict") for i in range(65)]
     got = {r.event_id: r.decision for r in Q.admit_requests(table(spark, events)).collect()}
