@@ -166,3 +166,29 @@ def test_one_class_or_no_rows_give_no_trees(spark):
     assert fit_boosted(rows.limit(0), Recipe(rounds=3)).getNumTrees == 0
     with pytest.raises(ValueError):
         fit_boosted(rows, Recipe(bins=1000))
+
+
+def test_training_tasks_hold_a_bounded_number_of_rows(spark):
+    """A compact file of many rows is dealt out whole, in an order the rows decide; a small one stays."""
+    rows = spark.range(900).select(
+        array_to_vector(F.array((F.col("id") % 300).cast("double"), F.lit(1.0))).alias("features"),
+        (F.col("id") % 2).cast("double").alias("label"),
+    ).coalesce(1)
+    assert M.dealt(rows).rdd.getNumPartitions() == 1
+    parts = [M.dealt(rows, 100).rdd.glom().collect() for _ in range(2)]
+    assert parts[0] == parts[1]
+    assert len(parts[0]) == 9 and max(len(p) for p in parts[0]) <= 110
+    assert sorted(str(r) for p in parts[0] for r in p) == sorted(str(r) for r in rows.collect())
+
+
+def test_learner_and_search_deal_their_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "dealt", lambda rows, dealt=M.dealt: seen.append(rows.count()) or dealt(rows, 50))
+    table = spark.createDataFrame(
+        [(k, float(k % 7), int(k % 7 > 3)) for k in range(200)], "id long, x double, inadimplente int"
+    )
+    rows = M.assemble(table, ["x"])
+    assert M.train_gbt(rows, maxIter=1, maxDepth=2).numFeatures == 1
+    space = {"maxIter": (1, 1, False), "maxDepth": (2, 2, False)}
+    model, trials = M.tune(rows, ["id"], n=1, folds=2, space=space)
+    assert seen == [200, 200] and trials.first().mean_auc == 1.0
