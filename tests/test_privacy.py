@@ -5,6 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from crivo.catalog import privacy_queries
+from crivo.catalog.privacy_queries import LEFT, LEFT_NEEDS
 from crivo.functions import privacy as P
 
 
@@ -122,3 +124,25 @@ def test_every_form_of_mail_and_card_is_redacted(spark):
         assert r.got == r.b
     long = spark.createDataFrame([("a." * 50_000,), ("1 " * 50_000,), ("9" * 100_000,), (None,)], "a string")
     assert [r[0] for r in long.select(P.redact_text("a")).collect()] == ["a." * 50_000, "1 " * 50_000, "9" * 100_000, None]
+
+
+def test_a_text_is_read_once_however_it_is_made(spark):
+    """Redaction names its text and its stages many times; each is worked out once a row."""
+    made = F.concat(F.lit("tel: 11"), F.lpad((F.col("id") * 7).cast("string"), 9, "9"))
+    plan = spark.range(20).select(P.redact_text(made).alias("shown"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lpad(") == 1
+    assert plan.count("13,15") <= 3  # the pattern of bare cards: test, split, spans
+
+
+def test_what_every_leftover_holds(spark):
+    """No match of a leftover pattern lacks what is looked for first, and documents are few that hold it."""
+    texts = ["a@b.co", "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005", "(11) 3555-1234", "(11)3551234",
+             "+5 (", "+55 11", "+1(", "555-1234", "11987654321", "none", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, pattern in LEFT.items():
+        found = rows.select(F.col("t").rlike(pattern).alias("m"), F.col("t").rlike(LEFT_NEEDS[kind]).alias("n")).collect()
+        assert any(r.m for r in found) and all(r.n for r in found if r.m)
+
+
+def test_forms_are_worked_on_by_more_than_one_task(spark, folder):
+    assert privacy_queries.redact_forms(spark, folder).rdd.getNumPartitions() > 8
