@@ -21,6 +21,9 @@ from crivo.sources.star import audit_events, proposals, requests
 from crivo.streaming import streams
 
 
+ARRIVAL_FILES = 1000
+
+
 def scan_portfolio(spark, folder):
     path = scratch_path(spark, "portfolio")
     files.write_portfolio(proposals(spark, folder), path)
@@ -161,13 +164,15 @@ def admission_stream(spark, folder):
 
 def admission_stream_accounts(spark, folder):
     """Decided and late requests of three arrivals, two of them behind: each request lies in one table."""
-    source, rows = scratch_path(spark, "requests"), _merged(spark, folder)
+    rows = _merged(spark, folder)
+    source, path, checkpoint = (scratch_path(spark, name) for name in ("requests", "admissions", "checkpoint"))
     for arrival in range(3):
-        rows.filter(F.col("event_id") % 3 == arrival).coalesce(1).write.mode("append").parquet(source)
-    stream = streams.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
-    path = scratch_path(spark, "admissions")
-    decided = streams.admission_stream(stream, DAILY, "3 days")
-    streams.admission_sink(decided, path, scratch_path(spark, "checkpoint"), True).awaitTermination()
+        # At most as many files as the stream takes at once: an arrival is one batch, however large.
+        come = rows.filter(F.col("event_id") % 3 == arrival).coalesce(ARRIVAL_FILES)
+        come.write.mode("append").parquet(source)
+        stream = streams.read_files(spark, source, rows.schema, files_per_batch=ARRIVAL_FILES)
+        decided = streams.admission_stream(stream, DAILY, "3 days")
+        streams.admission_sink(decided, path, checkpoint, True).awaitTermination()
     tables = [
         streams.scan_admissions(spark, path, late).withColumn("late", F.lit(int(late))) for late in (False, True)
     ]

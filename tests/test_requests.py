@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,65 @@ def test_late_requests_go_to_a_table_of_their_own(spark):
     assert {r.event_id for r in side} == late and {2000, 2001, 2002} <= late and len(side) == len(late)
     assert sorted((r.event_id, r.us, r.ip, r.endpoint) for r in kept + side) == sorted(e for a in arrivals for e in a)
     assert {r.event_id: (r.decision, r.remaining) for r in kept} == simulate(decided, SMALL)
+
+
+def test_addresses_share_state_rows(spark):
+    """Many addresses cost no state row and call each, and are decided as ever."""
+    draw = random.Random(17)
+    ips = [*(f"10.1.{i // 250}.{i % 250}" for i in range(2500)), "10.0.1.3"]
+    events = sorted(
+        ((i, BASE + draw.randrange(900) * Q.SECOND, ips[i % len(ips)] if i % 3 else ips[i % 7], draw.choice(ENDPOINTS))
+         for i in range(9000)), key=lambda e: (e[1], e[0]),
+    )
+    source = scratch_path(spark, "in")
+    for i in range(0, len(events), 4500):
+        table(spark, events[i:i + 4500]).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    out = scratch_path(spark, "out")
+    query = streams.admission_stream(stream, SMALL).writeStream.format("parquet").option(
+        "checkpointLocation", scratch_path(spark, "cp")
+    ).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 1024
+    got = {r.event_id: (r.decision, r.remaining) for r in spark.read.parquet(out).collect()}
+    assert got == simulate(events, SMALL)
+
+
+class Held:
+    """State of a group between calls of the state function."""
+
+    exists, get, hasTimedOut, watermark, timeout = False, None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, timeout):
+        assert timeout > self.watermark
+        self.timeout = timeout
+
+
+def test_addresses_of_one_group_leave_the_state_one_by_one():
+    """An idle address goes while another stays; a missing address is one like any other."""
+    def rows(*events):
+        return iter([pd.DataFrame([e], columns=["event_id", "us", "ip", "endpoint"]) for e in events])
+
+    run, state, hour = streams.admission_step(SMALL), Held(), 3600 * Q.SECOND
+    first = list(run((0,), rows((2, BASE + hour, None, "/x"), (1, BASE, "a", "/x"), (0, BASE, "10.0.1.3", "/x")), state))
+    got = {r.event_id: r.decision for r in pd.concat(first).itertuples()}
+    assert got == {0: "whitelist", 1: "admitted", 2: "admitted"}
+    assert set(state.get[0]) == {"a", None} and state.timeout == (BASE + hour) // 1000
+    state.watermark, state.hasTimedOut = (BASE + hour) // 1000 + 1, True
+    assert list(run((0,), iter([]), state)) == []
+    assert state.get[0] == [None] and state.timeout == (BASE + 2 * hour) // 1000
+    state.hasTimedOut = False
+    out = pd.concat(run((0,), rows((3, BASE + hour, None, "/x"), (4, BASE + hour + Q.SECOND, None, "/x")), state))
+    assert list(out["decision"]) == ["late", "admitted"] and list(out["remaining"])[1:] == [6]
+    assert list(out["remaining"].isna()) == [True, False] and out["ip"].isna().all()
+    state.watermark, state.hasTimedOut = (BASE + 3 * hour) // 1000, True
+    assert list(run((0,), iter([]), state)) == [] and not state.exists
